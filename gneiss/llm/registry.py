@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from gneiss.llm import substring_dedup
+from gneiss.llm import packing, sharding, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op3_simhash_near_dedup": simhash.query,
+    "op4_best_fit_packing": packing.query,
+    "op5_warc": warc.query,
+    "op6_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {}
