@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from gneiss.llm import packing, sharding, simhash, substring_dedup, warc
+from gneiss.llm import decontaminate, packing, sharding, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_decontamination": decontaminate.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_best_fit_packing": packing.query,
     "op5_warc": warc.query,
     "op6_sharding": sharding.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_decontamination": decontaminate.SQL,
+    "op5_warc": warc.SQL,
+}

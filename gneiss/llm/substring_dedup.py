@@ -352,3 +352,21 @@ def _kept(t: pa.Table, text_at: str, names: list[str], rows: np.ndarray, windows
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, s, array_to_string(w[s + 1:s + 13], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS s FROM d WHERE len(w) >= 13)
+), m AS (
+  SELECT k, min(doc_id) AS low FROM t GROUP BY k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM t JOIN m USING (k) WHERE m.low < t.doc_id
+), w AS (
+  SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM d
+), e AS (
+  SELECT w.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN w.word END, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(e.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(e.kept, '')) AS kept_sha256 FROM d LEFT JOIN e USING (doc_id)
+"""

@@ -170,3 +170,19 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def _base32_sql(hexadecimal: str) -> str:
+    """SQL for the base32 text of a 40-digit hexadecimal column: every five digits are four letters."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr({h}, {at}, 5) AS BIGINT) >> {by}) & 31) + 1 AS BIGINT), 1)"
+    return " || ".join(letter.format(h=hexadecimal, at=at, by=by) for at in range(1, 41, 5) for by in (15, 10, 5, 0))
+
+
+SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), q AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS last FROM p
+)
+SELECT page_id, payload_bytes, {_base32_sql('h')} AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM q
+"""
