@@ -45,7 +45,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     """
     owned = durable(item_windows(items, width, item_text, item_id))
     windows = owned.select("window").distinct()
-    size = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")))).first()[0] or 0
+    size = owned.agg(F.sum(F.octet_length(F.concat_ws(" ", "item_id", "window")))).first()[0] or 0  # bounds every table joined below
     small = (lambda df: F.broadcast(df)) if size <= broadcast_bytes else (lambda df: df)
 
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), words(F.col(f"`{text}`")).alias("words"))
