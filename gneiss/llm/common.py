@@ -35,6 +35,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list of keys up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """df without the rows whose values in the columns of keys, nulls included, are among its rows; a short list is broadcast."""
+    keys = durable(keys)
+    renamed = keys.toDF(*[f"{c} to drop" for c in keys.columns])
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        renamed = renamed.hint("broadcast")
+    same = None
+    for c in keys.columns:
+        one = df[f"`{c}`"].eqNullSafe(renamed[f"`{c} to drop`"])
+        same = one if same is None else same & one
+    return df.join(renamed, same, "left_anti")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, element by element."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

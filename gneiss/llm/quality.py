@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.llm.common import U64, durable, mix, row_slices, table, texts_of, word_hashes
+from gneiss.llm.common import U64, mix, row_slices, table, texts_of, word_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 2, 2
 SHAPES = 50
@@ -96,32 +97,25 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return ((mean - weight @ mean) * (sums[:, DIM:] > 0)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, features): each whole text's mean word vector, shares of shapes, and the logarithm of its length."""
-    given = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def pool(batches):
-        v = given.value
-        for b in batches:
-            data, offsets = texts_of(b.column(1))
-            out = np.zeros((b.num_rows, DIM + SHAPES + 1), np.float32)
-            for i, j in row_slices(offsets):
-                bucket, shape, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                size = np.diff(first)
-                row = np.repeat(np.arange(j - i), size)
-                full = np.flatnonzero(size)
-                if len(full):
-                    out[i + full, :DIM] = np.add.reduceat(v[bucket], first[full], axis=0)
-                shapes = [row * SHAPES + shape]
-                for step in (1, 2):
-                    same = (row[step:] == row[:-step]) & (bucket[step:] == bucket[:-step])
-                    shapes.append(row[step:][same] * SHAPES + SHAPES - step)
-                out[i:j, DIM : DIM + SHAPES] = np.bincount(np.concatenate(shapes), minlength=(j - i) * SHAPES).reshape(j - i, SHAPES)
-                out[i:j, :-1] /= np.maximum(size, 1)[:, None]
-                out[i:j, -1] = np.log1p(size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "features"])
-
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), _body(docs, text)).mapInArrow(pool, "doc_id long, features binary")
+def features(bodies, v: np.ndarray) -> np.ndarray:
+    """A row for each text of an Arrow column: its mean word vector, its shares of shapes, and the logarithm of its length."""
+    data, offsets = texts_of(bodies)
+    out = np.zeros((len(offsets) - 1, DIM + SHAPES + 1), np.float32)
+    for i, j in row_slices(offsets):
+        bucket, shape, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        size = np.diff(first)
+        row = np.repeat(np.arange(j - i), size)
+        full = np.flatnonzero(size)
+        if len(full):
+            out[i + full, :DIM] = np.add.reduceat(v[bucket], first[full], axis=0)
+        shapes = [row * SHAPES + shape]
+        for step in (1, 2):
+            same = (row[step:] == row[:-step]) & (bucket[step:] == bucket[:-step])
+            shapes.append(row[step:][same] * SHAPES + SHAPES - step)
+        out[i:j, DIM : DIM + SHAPES] = np.bincount(np.concatenate(shapes), minlength=(j - i) * SHAPES).reshape(j - i, SHAPES)
+        out[i:j, :-1] /= np.maximum(size, 1)[:, None]
+        out[i:j, -1] = np.log1p(size)
+    return out
 
 
 class Network:
@@ -168,34 +162,58 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", accept: float = ACCEPT, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs; score is the probability of label 1, predicted is score >= accept.
-
-    It learns from labels(doc_id, `label`) of 0 or 1, at most `sample` of them, never from rows whose crc32(doc_id as text) mod 4 is
-    2. Null labels don't count; labels of one doc_id count each; without labels of both kinds every score is the share of ones, or
-    one half. Null and empty texts have a score like others. A null doc_id is not held out and isn't learnt from. Rows of one doc_id
-    get a row each. Texts are read whole. Other columns don't matter, whatever their names; an empty table gives an empty one.
-    """
-    features = durable(pooled(docs, word_vectors(docs, text), text, doc_id))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE):
+    """(vectors, judge): the word vectors of docs, and what turns feature rows into probabilities of label 1."""
+    vectors = word_vectors(docs, text)
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    learnt = features.join(known, "doc_id").select("features", "y").orderBy(F.xxhash64("doc_id"), "y").limit(sample).toArrow()
+    known = known.orderBy(F.xxhash64("doc_id"), "y").limit(sample)
+    given = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def pool(batches):
+        for b in batches:
+            made = features(b.column(2), given.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "y", "features"])
+
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _body(docs, text).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    learnt = own.mapInArrow(pool, "doc_id long, y double, features binary").orderBy(F.xxhash64("doc_id"), "y", "features").limit(sample).toArrow()
     y = np.asarray(learnt.column("y"))
     x = np.frombuffer(b"".join(learnt.column("features").to_pylist()), np.float32).reshape(len(y), DIM + SHAPES + 1).astype(float)
-    if len(np.unique(y)) == 2:
-        # rows come in order of a hash, so every fifth is a fair part
-        own = np.arange(len(y)) % 5 != 0
-        network = Network(x.shape[1]).fit(x[own], y[own]).calibrate(x[~own], y[~own])
-        judge = network.probability
-    else:
+    if len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        judge = lambda x: np.full(len(x), share)
+        return vectors, lambda x: np.full(len(x), share)
+    # rows come in order of a hash, so every fifth is a fair part
+    part = np.arange(len(y)) % 5 != 0
+    return vectors, Network(x.shape[1]).fit(x[part], y[part]).calibrate(x[~part], y[~part]).probability
+
+
+def with_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """docs with all columns and the probability of label 1, in one pass over the texts; see score()."""
+    vectors, judge = fit(docs, labels, text, doc_id, label, sample)
+    given = docs.sparkSession.sparkContext.broadcast(vectors)
+    columns = [c for c in docs.columns if c != name]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    at = columns.index(text)
 
     def rate(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, DIM + SHAPES + 1).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(judge(x), pa.float64())], ["doc_id", "score"])
+            p = judge(features(b.column(at).cast(pa.string()), given.value).astype(float))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "score"])
+
+    rated = plain.mapInArrow(rate, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("score").alias(name))
 
-    rated = features.mapInArrow(rate, "doc_id long, score double")
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", accept: float = ACCEPT, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs; score is the probability of label 1, predicted is score >= accept.
+
+    It learns from labels(doc_id, `label`) of 0 or 1, at most `sample` of them, never from rows whose crc32(doc_id as text) mod 4 is
+    2. Null labels don't count; labels of one doc_id count each; without labels of both kinds every score is the share of ones, or
+    one half. Null and empty texts have a score like others. A null doc_id is not held out and isn't learnt from. Rows of one doc_id
+    get a row each. Texts are read whole. Other columns don't matter, whatever their names; an empty table gives an empty one.
+    """
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("y"))
+    rated = with_score(own, known, label="y", sample=sample)
     return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 

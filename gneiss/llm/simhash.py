@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, durable, mix, table, texts_of
+from gneiss.llm.common import U64, durable, mix, table, texts_of, without
 from gneiss.llm.components import components
 
 PIVOTS = 16
@@ -46,16 +46,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null text has no words."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long. Null text has no words."""
 
     def make(batches):
         for b in batches:
-            data, off = texts_of(b.column(1))
+            data, off = texts_of(b.column(2))
             raw = data.tobytes()
             fp = np.array([fingerprint(raw[s:e], shingle) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(make, "doc_id long, fp long")
+    body = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(make, "doc_id long, text_hash long, fp long")
 
 
 def _masks(bits: list[int], sizes: list[int], keep: int) -> list[int]:
@@ -183,6 +184,16 @@ def with_pivots(prints: DataFrame) -> DataFrame:
     return prints.withColumn("pivots", F.unhex(F.concat(*near)))
 
 
+def clusters(docs: DataFrame, shingle: int, radius: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, root, component_id) of every fingerprint."""
+    marked = durable(fingerprints(docs, shingle, text, doc_id))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(nodes.select("fp").transform(with_pivots), radius))
+    lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked, lows.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; fingerprints within `radius` bits link, and component_id is the smallest
     doc_id that is reached.
@@ -192,14 +203,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
     Other columns, whatever their names, don't matter. An empty table gives an empty table. Equal fingerprints meet once, as one
     node, so copies cost no pairs.
     """
-    marked = durable(fingerprints(docs, shingle, text, doc_id))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fp").transform(with_pivots), radius))
-    lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    told = lows.select("fp", "root").join(least, "root").select("fp", "component_id")
+    marked, told = clusters(docs, shingle, radius, text, doc_id)
     return marked.join(told, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id (a null one last), and of the smallest text
+    hash among rows of that id. Only keys of rows to drop meet the texts; a short list of them is broadcast."""
+    marked, told = clusters(docs, shingle, radius, text, doc_id)
+    ranked = marked.join(told, "fp").select("root", "doc_id", "text_hash")
+    first = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select("root", "k.doc_id", "k.text_hash")
+    same = ["root", "doc_id", "text_hash"]
+    drop = ranked.join(first.withColumn("first", F.lit(True)), [ranked[c].eqNullSafe(first[c]) for c in same], "left").where("first is null").select(ranked["doc_id"], ranked["text_hash"]).distinct()
+    key = "hash of the text"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    kept = without(keyed, drop.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(key)))
+    twins = durable(marked.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(key)))
+    if not twins.isEmpty():  # like rows of one doc_id
+        like = [kept[f"`{c}`"].eqNullSafe(twins[f"`{c}`"]) for c in (doc_id, key)]
+        kept = without(kept, twins).unionByName(kept.join(twins, like, "left_semi").dropDuplicates([doc_id, key]))
+    return kept.drop(key)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
