@@ -59,8 +59,22 @@ def _body(docs: DataFrame, text: str):
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """(BUCKETS, DIM): the centred mean index vector around each bucket's tokens, counted over all documents.
+def add_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the compressed double tables of `size` numbers in the column sums, one a row: in two steps, held one at a time."""
+
+    def add(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(pa.decompress(x, 8 * size, "zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
+
+    one = parts.repartition(16).mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary").first()
+    return np.frombuffer(pa.decompress(bytes(one[0]), 8 * size, "zstd", asbytes=True))
+
+
+def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """(BUCKETS, DIM + 1): the summed index vectors around each bucket's tokens and, last, their number, over all documents.
 
     Every task sends one table of sums; tables are added up in two steps, one at a time. Only one, of fixed size, goes to the driver.
     """
@@ -82,16 +96,12 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                             total += np.bincount(own * width + _PLACE[other, k], _SIGN[other, k], BUCKETS * width)
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
 
-    def add(batches):
-        total = np.zeros(BUCKETS * width)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.frombuffer(pa.decompress(x, 8 * len(total), "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
-
     parts = docs.select(_body(docs, text)).mapInArrow(count, "sums binary")
-    one = parts.repartition(16).mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary").first()
-    sums = np.frombuffer(pa.decompress(bytes(one[0]), 8 * BUCKETS * width, "zstd", asbytes=True)).reshape(BUCKETS, width)
+    return add_up(parts, BUCKETS * width).reshape(BUCKETS, width)
+
+
+def centred(sums: np.ndarray) -> np.ndarray:
+    """Word vectors: each bucket's mean index vector less that of all tokens; zero for buckets that don't occur."""
     mean = sums[:, :DIM] / np.maximum(sums[:, DIM:], 1)
     weight = sums[:, DIM] / max(1, sums[:, DIM].sum())
     return ((mean - weight @ mean) * (sums[:, DIM:] > 0)).astype(np.float32)
@@ -164,7 +174,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE):
     """(vectors, judge): the word vectors of docs, and what turns feature rows into probabilities of label 1."""
-    vectors = word_vectors(docs, text)
+    vectors = centred(context_sums(docs, text))
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "y").limit(sample)
     given = docs.sparkSession.sparkContext.broadcast(vectors)

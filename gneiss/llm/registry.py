@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gneiss.llm import ann, decontaminate, html_extract, packing, quality, sharding, simhash, substring_dedup, warc
+from gneiss.llm import ann, decontaminate, html_extract, packing, pseudo_likelihood, quality, sharding, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_warc": warc.query,
     "op6_sharding": sharding.query,
+    "op7_pseudo_likelihood": pseudo_likelihood.query,
     "op8_nearest": ann.query,
     "op9_quality": quality.query,
     "op10_html_text": html_extract.query,
