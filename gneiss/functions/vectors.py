@@ -44,15 +44,26 @@ def angle(a: Vector, b: Vector) -> Column:
     return F.when(n > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))))
 
 
-def frame(origin: Vector, toward: Vector, plane: Vector) -> tuple[Vector, Vector, Vector]:
-    """Axes x, y, z: y points from origin toward the second point, x lies in the plane of the third, z = x cross y."""
-    y = unit(minus(toward, origin))
-    c = minus(plane, origin)
-    x = unit(minus(c, times(y, dot(c, y))))
-    return x, y, cross(x, y)
+def point(a: Vector) -> Column:
+    """A vector as a struct."""
+    return F.struct(*[c.alias(n) for c, n in zip(a, "xyz", strict=True)])
 
 
-def into(axes: tuple[Vector, Vector, Vector], origin: Vector, p: Vector) -> Vector:
+def with_frame(df, origin: Vector, toward: Vector, plane: Vector):
+    """Adds the structs fo (origin) and fx, fy, fz: y points from the origin toward the second point, x lies in the plane of the third,
+    z = x cross y. Each axis is a column of its own, so later axes read it instead of computing it again."""
+    df = df.withColumn("fo", point(origin)).withColumn("fy", point(unit(minus(toward, origin))))
+    df = df.withColumn("fc", point(minus(plane, vector("fo"))))
+    df = df.withColumn("fq", point(minus(vector("fc"), times(vector("fy"), dot(vector("fc"), vector("fy"))))))
+    df = df.withColumn("fx", point(unit(vector("fq"))))
+    return df.withColumn("fz", point(cross(vector("fx"), vector("fy")))).drop("fc", "fq")
+
+
+def axes() -> tuple[Vector, Vector, Vector]:
+    return vector("fx"), vector("fy"), vector("fz")
+
+
+def into(frame: tuple[Vector, Vector, Vector], origin: Vector, p: Vector) -> Vector:
     """Coordinates of p in the frame."""
     d = minus(p, origin)
-    return dot(d, axes[0]), dot(d, axes[1]), dot(d, axes[2])
+    return dot(d, frame[0]), dot(d, frame[1]), dot(d, frame[2])

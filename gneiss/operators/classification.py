@@ -67,21 +67,29 @@ def folds_in_order(df: DataFrame, label: str, key: list[str], k: int) -> DataFra
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*key)) - 1) % k)
 
 
+def _bucket(value, thresholds: list[float]):
+    """How many of the sorted thresholds a value reaches, as a balanced tree of comparisons."""
+
+    def tree(low: int, high: int):
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= thresholds[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(thresholds))
+
+
 def best_threshold(df: DataFrame, feature: str, positive: str, thresholds: list[float]) -> DataFrame:
-    """(threshold, above, f1) of the best cut in either direction; all cuts are counted in one pass."""
-    pos = F.col(positive).cast("boolean")
-    sums = [F.count_if(pos).alias("all_pos"), F.count("*").alias("n")]
-    for i, t in enumerate(thresholds):
-        sums += [F.count_if((F.col(feature) >= t) & pos).alias(f"tp{i}"), F.count_if(F.col(feature) >= t).alias(f"said{i}")]
-    one = df.agg(*sums)
-    rows = []
-    for i, t in enumerate(thresholds):
-        for above in (True, False):
-            tp = F.col(f"tp{i}") if above else F.col("all_pos") - F.col(f"tp{i}")
-            said = F.col(f"said{i}") if above else F.col("n") - F.col(f"said{i}")
-            rows.append(F.struct(F.lit(float(t)).alias("threshold"), F.lit(above).alias("above"), (2.0 * tp / (said + F.col("all_pos"))).alias("f1")))
-    every = one.select(F.inline(F.array(*rows)))
-    return every.orderBy(F.desc("f1"), "threshold", F.desc("above")).limit(1)
+    """(threshold, above, f1) of the best cut in either direction. Rows are counted by the cuts they reach, once; sums over the few
+    counts serve all cuts."""
+    cuts = sorted(float(t) for t in thresholds)
+    c = df.groupBy(_bucket(F.col(feature), cuts).alias("b")).agg(F.count_if(F.col(positive).cast("boolean")).alias("pos"), F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(cuts)], "i int, threshold double")
+    total = c.agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    own = F.broadcast(every).join(c, F.col("b") >= F.col("i"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("said")).crossJoin(F.broadcast(total))
+    up, down = 2.0 * F.col("tp") / (F.col("said") + F.col("p")), 2.0 * (F.col("p") - F.col("tp")) / (F.col("m") - F.col("said") + F.col("p"))
+    both = own.select("threshold", F.inline(F.array(F.struct(F.lit(True).alias("above"), up.alias("f1")), F.struct(F.lit(False).alias("above"), down.alias("f1")))))
+    return both.orderBy(F.desc("f1"), "threshold", F.desc("above")).limit(1)
 
 
 def decision_stump(df: DataFrame, feature: str, positive: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.elements import lookup
-from gneiss.functions.vectors import angle, cross, frame, into, minus, norm, vector
+from gneiss.functions.vectors import angle, axes, cross, into, minus, norm, vector, with_frame
 
 
 def pick(atoms: DataFrame, *indexes: int) -> DataFrame:
@@ -62,25 +62,18 @@ def nearest_to_center(atoms: DataFrame) -> DataFrame:
     return far.groupBy("mol_id").agg(F.min(F.struct("dist", "atom_idx")).alias("m")).select("mol_id", "m.atom_idx", "m.dist")
 
 
-def _framed(atoms: DataFrame, base: tuple[int, int, int], midpoint_of: tuple[int, int] | None = None) -> tuple[DataFrame, tuple, tuple]:
+def _framed(atoms: DataFrame, base: tuple[int, int, int], midpoint_of: tuple[int, int] | None = None) -> DataFrame:
     points = pick(atoms, *base, *(midpoint_of or ()))
-    origin = vector("p0")
-    if midpoint_of:
-        origin = tuple((F.col(f"p3.{c}") + F.col(f"p4.{c}")) / 2 for c in "xyz")
-    axes = frame(origin, vector("p1"), vector("p2"))
-    return points, origin, axes
+    origin = tuple((F.col(f"p3.{c}") + F.col(f"p4.{c}")) / 2 for c in "xyz") if midpoint_of else vector("p0")
+    return with_frame(points, origin, vector("p1"), vector("p2")).select("mol_id", "fo", "fx", "fy", "fz")
 
 
 def frame_transform(atoms: DataFrame, base: tuple[int, int, int], midpoint_of: tuple[int, int] | None = None) -> DataFrame:
     """Atoms in the frame of three base atoms: origin, y direction, plane; a midpoint of two atoms may be the origin. Null if collinear.
 
     The frame is one row a molecule, joined to its atoms on the molecule."""
-    points, origin, axes = _framed(atoms, base, midpoint_of)
-    names = [f"{a}{c}" for a in "uvw" for c in "xyz"] + ["ox", "oy", "oz"]
-    flat = points.select("mol_id", *[c.alias(n) for c, n in zip([c for a in axes for c in a] + list(origin), names, strict=True)])
-    both = atoms.alias("a").join(flat, "mol_id")
-    ax = tuple(tuple(F.col(f"{a}{c}") for c in "xyz") for a in "uvw")
-    new = into(ax, (F.col("ox"), F.col("oy"), F.col("oz")), vector("a"))
+    both = atoms.alias("a").join(_framed(atoms, base, midpoint_of), "mol_id")
+    new = into(axes(), vector("fo"), vector("a"))
     return both.select("mol_id", "atom_idx", "symbol", *[n.alias(c) for n, c in zip(new, "xyz", strict=True)])
 
 
@@ -95,11 +88,9 @@ def npa_dipole(atoms: DataFrame, charges: DataFrame, base: tuple[int, int, int],
 
 def rotated_dipole(atoms: DataFrame, dipoles: DataFrame, base: tuple[int, int, int]) -> DataFrame:
     """dipoles(mol_id, dx, dy, dz) in the frame of base; a right-handed rotation, so the total stays."""
-    points, _, axes = _framed(atoms, base)
     d = (F.col("dx"), F.col("dy"), F.col("dz"))
-    zero = (F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    new = into(axes, zero, d)
-    return points.join(dipoles, "mol_id").select("mol_id", *[n.alias(f"dip_{c}") for n, c in zip(new, "xyz", strict=True)], norm(d).alias("total"))
+    new = into(axes(), (F.lit(0.0), F.lit(0.0), F.lit(0.0)), d)
+    return _framed(atoms, base).join(dipoles, "mol_id").select("mol_id", *[n.alias(f"dip_{c}") for n, c in zip(new, "xyz", strict=True)], norm(d).alias("total"))
 
 
 def charges_at(charges: DataFrame, indexes: list[int], kind: str = "nbo") -> DataFrame:

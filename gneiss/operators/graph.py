@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gneiss.functions.elements import HALOGENS, METALS, lookup
 from gneiss.operators.geometry import pairs
+from gneiss.storage import durable
 
 
 def connectivity(atoms: DataFrame, threshold: float = 2.12, h_threshold: float = 1.5, halogen_reach: float = 2.6, metal_reach: float = 2.8, max_coordination: int = 6) -> DataFrame:
@@ -76,14 +77,15 @@ def reachable(bonds: DataFrame, source: int, direction: int, levels: int = 20) -
     """(mol_id, atom): what is reached from `direction` without passing `source`, and the source itself.
 
     Breadth first: a level is joined to the bonds and freed of known atoms by an anti-join, for all molecules at once."""
+    bonds = durable(bonds.select("mol_id", "a1", "a2"))
     n = neighbours(bonds).where((F.col("atom") != source) & (F.col("other") != source))
-    known = bonds.select("mol_id").distinct().withColumn("atom", F.lit(direction))
+    known = durable(bonds.select("mol_id").distinct().withColumn("atom", F.lit(direction)))
     edge = known
     for _ in range(levels):
-        edge = edge.join(n, ["mol_id", "atom"]).select("mol_id", F.col("other").alias("atom")).distinct().join(known, ["mol_id", "atom"], "left_anti").checkpoint()
+        edge = durable(edge.join(n, ["mol_id", "atom"]).select("mol_id", F.col("other").alias("atom")).distinct().join(known, ["mol_id", "atom"], "left_anti"))
         if edge.isEmpty():
             break
-        known = known.unionByName(edge)
+        known = durable(known.unionByName(edge))
     return known.unionByName(bonds.select("mol_id").distinct().withColumn("atom", F.lit(source))).distinct()
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gneiss.functions.elements import symbol_of
 from gneiss.sources.text_blocks import block, every, numbers, rows_of
@@ -137,7 +136,7 @@ def xyz_atoms(files: DataFrame) -> DataFrame:
     return rows.where("atom_idx > 0 AND size(c) >= 4").select("mol_id", "frame", "energy", "atom_idx", F.get("c", F.lit(0)).alias("symbol"), *[F.get("c", F.lit(1 + i)).try_cast("double").alias(x) for i, x in enumerate("xyz")])
 
 
-JSON_SCHEMA = T.StructType.fromDDL(
+JSON_SCHEMA = (
     "molecule struct<atoms: array<struct<symbol: string, x: double, y: double, z: double>>>, properties struct<dipole: array<double>, polarizability: struct<iso: double, aniso: double>>, "
     "vibrations struct<modes: array<struct<frequency: double, ir: double, displacements: array<array<double>>>>>, charges struct<nbo: array<double>, hirshfeld: array<double>, cm5: array<double>>, "
     "energies struct<scf: double, total: double, electronic: double, homo_lumo_gap: double>"
