@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.storage import durable, shared_dir
+
+__all__ = ["durable", "shared_dir"]
+
 U64 = np.uint64
 WORD_GAP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_WORD = np.ones(256, bool)
@@ -19,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read again: lineage ends here and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a list of keys up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
