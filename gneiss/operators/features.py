@@ -58,11 +58,25 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumns(scaled).select(*df.columns)
 
 
+def _vifs(p: np.ndarray) -> np.ndarray:
+    """1 / (1 - R²) of each column on the others; infinite where they determine it."""
+    d = np.sqrt(np.diag(p))
+    d[d == 0] = 1
+    r = p / np.outer(d, d)
+    out = np.ones(len(r))
+    for i in range(len(r)):
+        rest = [j for j in range(len(r)) if j != i]
+        if rest:
+            b = np.linalg.lstsq(r[np.ix_(rest, rest)], r[rest, i], rcond=1e-10)[0]
+            left = 1 - b @ r[rest, i]
+            out[i] = 1 / left if left > 1e-10 else np.inf
+    return out
+
+
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, vif), worst first: the diagonal of the inverse correlation matrix."""
+    """(feature, vif), worst first; infinite for a column that the others determine."""
     _, _, p = gram(moments(df, columns).first(), columns)
-    d = np.sqrt(np.diag(p))
-    values = np.diag(np.linalg.pinv(p / np.outer(d, d)))
+    values = _vifs(p)
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, vif double").orderBy(F.desc("vif"))
 
 
@@ -71,9 +85,7 @@ def prune_by_vif(df: DataFrame, columns: list[str], limit: float = 5.0) -> list[
     _, _, p = gram(moments(df, columns).first(), columns)
     keep = list(range(len(columns)))
     while len(keep) > 1:
-        q = p[np.ix_(keep, keep)]
-        d = np.sqrt(np.diag(q))
-        v = np.diag(np.linalg.pinv(q / np.outer(d, d)))
+        v = _vifs(p[np.ix_(keep, keep)])
         if v.max() <= limit:
             break
         keep.pop(int(v.argmax()))

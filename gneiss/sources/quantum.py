@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, path: str, suffix: str = "*", least: int | N
         files = files.where(F.col("length") >= least)
     if most is not None:
         files = files.where(F.col("length") <= most)
-    return files.select(stem(F.col("path")).alias("mol_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(stem(F.col("path")).alias("mol_id"), F.decode("content", "UTF-8").alias("text"))
 
 
 def stem(path):
@@ -72,7 +72,7 @@ def log_modes(logs: DataFrame) -> DataFrame:
     body = block(F.col("text"), "Harmonic frequencies", "Thermochemistry")
     line = lambda word: F.flatten(F.transform(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(rf"{word}[^\n]*"), F.lit(0)), numbers))
     both = logs.select("mol_id", F.posexplode(F.arrays_zip(line("Frequencies --").alias("f"), line(r"IR Inten\s+--").alias("i"))).alias("k", "m"))
-    return both.select("mol_id", (F.col("k") + 1).alias("mode_idx"), F.col("m.0").alias("frequency"), F.col("m.1").alias("ir"))
+    return both.select("mol_id", (F.col("k") + 1).alias("mode_idx"), F.col("m.f").alias("frequency"), F.col("m.i").alias("ir"))
 
 
 def log_displacements(logs: DataFrame) -> DataFrame:

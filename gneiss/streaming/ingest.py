@@ -11,7 +11,7 @@ from gneiss.sources import quantum
 def ingest_logs(spark: SparkSession, folder: str, out: str, checkpoint: str):
     """Starts a query that parses each new log once and appends to the tables atoms, charges, modes and summary under `out`."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    logs = files.select(quantum.stem(F.col("path")).alias("mol_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    logs = files.select(quantum.stem(F.col("path")).alias("mol_id"), F.decode("content", "UTF-8").alias("text"))
 
     def write(batch: DataFrame, number: int) -> None:
         for name, parse in (("atoms", quantum.log_atoms), ("charges", quantum.log_npa_charges), ("modes", quantum.log_modes), ("summary", quantum.summary)):
@@ -23,5 +23,5 @@ def ingest_logs(spark: SparkSession, folder: str, out: str, checkpoint: str):
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) in tumbling windows; works on streams, where rows later than `late` are left out, and on tables."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return own.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
