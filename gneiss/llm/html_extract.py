@@ -50,25 +50,30 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+#: Of an article's classes, only these say that it isn't the article.
+NAMED_ARTICLE = re.compile(r"(?:^|\s)(?:comment|comments|reply|ad|advert|advertisement|teaser|related|promo|sponsored)(?:$|\s)", re.I)
+
+
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """2 if the element can't be content, 1 if its names say that it isn't, else 0."""
     if tag in NOT_CONTENT or tag == "header" and not in_article:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and NAMED.search(value) and not (in_article and tag in ("p", "h1", "h2", "h3")):
-            return True
+        if key in ("class", "id") and (NAMED_ARTICLE if tag == "article" else NAMED).search(value) and not (in_article and tag in ("p", "h1", "h2", "h3")):
+            return 1
         if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?=\s|/|$)", attributes))
+            return 2
+    return 2 if re.search(r"(?:^|\s)hidden(?=\s|/|$)", attributes) else 0
 
 
 class Page:
     """Elements (tag, parent, boilerplate, in article, hash) and text blocks (text, element) of a page, in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.plate, self.within, self.hash = ["#"], [-1], [False], [False], [0]
+        self.tag, self.parent, self.plate, self.within, self.hash = ["#"], [-1], [0], [False], [0]
         self.blocks: list[tuple[str, int]] = []
         self.title, self.articles = "", []
         self._open, self._parts, self._text, self._at = [0], [[]], [], 0
@@ -175,20 +180,30 @@ class Page:
         return {h for h, tag, within in zip(self.hash, self.tag, self.within, strict=True) if h and tag not in ("html", "body", "article", "main") and (not within or tag in CONTAINER)}
 
     def identity(self) -> int:
-        """What tells pages of different content apart: the first heading of the content, else the title."""
-        first = next((text for text, e in self.blocks if self.within[e]), self.title)
+        """What tells pages of different content apart: the content's first block, else the title, else all text."""
+        first = next((text for text, e in self.blocks if self.within[e]), self.title) or "\n".join(text for text, _ in self.blocks)
         return xxhash.xxh64_intdigest(first, 2)
 
     def text(self, template: frozenset[int] | set[int]) -> str:
         """The blocks of the articles, or of the whole page without one, that no boilerplate or template element holds."""
-        gone = [False] * len(self.tag)
         may = self.candidates() & template if template else ()
-        for e in range(1, len(self.tag)):
-            up = self.parent[e]
-            gone[e] = gone[up] or self.plate[e] or (bool(may) and self.hash[e] in may and (not self.within[e] or self.tag[e] in CONTAINER) and self.tag[e] not in ("html", "body", "article", "main"))
-        for kind in ("article", "main"):
-            regions = {e for e in self.articles if not gone[e] and (self.tag[e] == kind or kind == "main")}
-            if regions:
+        for rescue in (False, True):
+            # names are weak evidence against what holds the page's only articles
+            holds = set()
+            for e in (x for x in self.articles if rescue and not self.plate[x]):
+                while e > 0:
+                    holds.add(e)
+                    e = self.parent[e]
+            gone = [False] * len(self.tag)
+            for e in range(1, len(self.tag)):
+                plate = self.plate[e] == 2 or self.plate[e] == 1 and e not in holds
+                same = bool(may) and self.hash[e] in may and (not self.within[e] or self.tag[e] in CONTAINER) and self.tag[e] not in ("html", "body", "article", "main")
+                gone[e] = gone[self.parent[e]] or plate or same
+            for kind in ("article", "main"):
+                regions = {e for e in self.articles if not gone[e] and (self.tag[e] == kind or kind == "main")}
+                if regions:
+                    break
+            if regions or not self.articles:
                 break
         inside = [False] * len(self.tag)
         for e in range(len(self.tag)):

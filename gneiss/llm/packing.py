@@ -92,42 +92,32 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empties bins: documents of the emptiest bin move to others, or change places one for one, two for one or one for two, as long
-    as a fuller bin gets fuller by it, that is, as long as the sum of squared fills rises. Ends at the least count that the total
-    allows, or when no exchange helps the emptiest bin any more."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, width: int = 48) -> list[list[int]]:
+    """Empties bins: documents move to fuller bins, or change places one for one, two for one or one for two, whenever the fuller bin
+    gets fuller by it, that is, whenever the sum of squared fills rises. The `width` emptiest bins trade with each other, and the
+    emptiest with all. Ends at the least count that the total allows, or when no exchange raises the sum any more."""
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    order = sorted(range(len(bins)), key=fill.__getitem__)
-    count, at = len(bins), 0
-    while count > least and at < len(order):
-        e = order[at]
-        better = True
-        while better and bins[e]:
-            better = False
-            for b in reversed(order[at + 1 :]):
-                gap = capacity - fill[b]
-                if not gap or fill[b] < fill[e]:
-                    continue
-                swap = _exchange(bins[e], bins[b], lengths, gap)
+    count, better = len(bins), True
+    while better and count > least:
+        better = False
+        slack = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__)
+        for k, e in enumerate(slack[:width]):
+            for b in reversed(slack[1:] if k == 0 else slack[k + 1 : width]):
+                swap = _exchange(bins[e], bins[b], lengths, capacity - fill[b]) if bins[e] and fill[e] <= fill[b] < capacity else None
                 if swap:
                     out, back = swap
                     gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    for i in out:
-                        bins[e].remove(i)
-                    for i in back:
-                        bins[b].remove(i)
-                    bins[b] += out
-                    bins[e] += back
+                    bins[e] = [i for i in bins[e] if i not in out] + list(back)
+                    bins[b] = [i for i in bins[b] if i not in back] + list(out)
                     fill[b] += gain
                     fill[e] -= gain
                     better = True
-                    if not bins[e]:
-                        break
-        if bins[e]:
-            break
-        count -= 1
-        at += 1
+            if not bins[e]:
+                count -= 1
+                if count <= least:
+                    break
     return [b for b in bins if b]
 
 
