@@ -24,17 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def without(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """df without the rows whose values in the columns of keys, nulls included, are among its rows; a short list is broadcast."""
+def without(df: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """df without the rows whose values in the columns of keys, nulls included, are among its rows (left_semi: only those); a short
+    list of keys is broadcast, and df isn't shuffled then."""
     keys = durable(keys)
-    renamed = keys.toDF(*[f"{c} to drop" for c in keys.columns])
+    renamed = keys.toDF(*[f"{c} to find" for c in keys.columns])
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         renamed = renamed.hint("broadcast")
     same = None
     for c in keys.columns:
-        one = df[f"`{c}`"].eqNullSafe(renamed[f"`{c} to drop`"])
+        one = df[f"`{c}`"].eqNullSafe(renamed[f"`{c} to find`"])
         same = one if same is None else same & one
-    return df.join(renamed, same, "left_anti")
+    return df.join(renamed, same, how)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gneiss.llm import ann, decontaminate, html_extract, packing, pseudo_likelihood, quality, registry, sharding, simhash, substring_dedup, warc
+from gneiss.llm import ann, decontaminate, html_extract, packing, pseudo_likelihood, quality, registry, sharding, simhash, similar, substring_dedup, warc
 from tests.llm.fixtures import documents, prose, texts
 from tests.oracle import agree
 
@@ -147,6 +147,52 @@ def test_simhash(spark):
     assert len(kept[0]) == 7
 
 
+def unlike(rows, k=5, least=0.8):
+    """Ids that stay when of each group linked by similarity that of the smallest id does."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def edited(seed, text, changes):
+    import random
+
+    r, w = random.Random(seed), text.split()
+    for p in r.sample(range(len(w)), changes):
+        w[p] = f"new{seed}x{p}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_keep_unlike(spark, monkeypatch, small):
+    """Copies with some words changed, about the limit of similarity; also when every part goes by leaders."""
+    monkeypatch.setattr(similar, "SMALL", small)
+    rows = [(i, t) for i, t in dict((r for r in texts() if r[0] is not None)).items()]
+    base = prose(77, 400, 3000)
+    rows += [(200 + i, edited(i, base, c)) for i, c in enumerate([0, 1, 2, 4, 6, 8, 9, 30, 60])]
+    got = similar.keep_unlike(documents(spark, [*rows, (None, base), (None, None)]))
+    assert len(got.columns) == 7
+    kept = Counter(r["doc_id"] for r in got.collect())
+    want = Counter(unlike(rows))
+    want[None] += 1  # the null text; the copy without an id falls to that with one
+    assert kept == want
+    assert similar.keep_unlike(documents(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_links_are_whole_in_a_dense_ball(spark, monkeypatch, most):
     """A group of near fingerprints, also when parts are taken to be too large and parted again."""
