@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import decontaminate, packing, quality, simhash, substring_dedup
+from gneiss.llm import decontaminate, packing, quality, simhash, similar, substring_dedup
 from gneiss.llm.common import shared_dir, table, without
 
 
@@ -20,8 +20,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, that of the smallest doc_id: first of fingerprints within three bits, then of
+    texts that share four fifths of their runs of five words."""
+    return similar.keep_unlike(simhash.keep_one(docs))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
