@@ -72,6 +72,13 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def bites(batches, rows: int = 512):
+    """Arrow batches in slices of few rows, so that what a task makes of one stays small; no copies."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def row_slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of about `most` bytes each, a longer row alone, so that temporary arrays stay small."""
     n, i = len(offsets) - 1, 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, mix, row_slices, table, texts_of
+from gneiss.llm.common import U64, bites, mix, row_slices, table, texts_of
 from gneiss.llm.quality import BUCKETS, DIM, add_up, centred, context_sums, tokens
 
 CLASSES, OWN, WINDOW, HIDDEN = 128, 64, 2, 32
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, text: str, one_in: int):
     def train(batches):
         begin, kinds = given.value
         own, seen = Model.of(begin), 0
-        for b in batches:
+        for b in bites(batches):
             raw, off = texts_of(b.column(0))
             for i, j in row_slices(off, SLICE):
                 bucket, at, t, _ = windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], kinds)
@@ -175,7 +175,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
     def rate(batches):
         kinds, shares, flat = given.value
         own = Model.of(flat)
-        for b in batches:
+        for b in bites(batches):
             raw, off = texts_of(b.column(1))
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             for i, j in row_slices(off, SLICE):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import U64, mix, row_slices, table, texts_of, word_hashes
+from gneiss.llm.common import U64, bites, mix, row_slices, table, texts_of, word_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 2, 2
 SHAPES = 50
@@ -82,7 +82,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches):
         total = np.zeros(BUCKETS * width)
-        for b in batches:
+        for b in bites(batches):
             data, offsets = texts_of(b.column(0))
             for i, j in row_slices(offsets):
                 bucket, _, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     given = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches):
-        for b in batches:
+        for b in bites(batches):
             made = features(b.column(2), given.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "y", "features"])
 
@@ -205,7 +205,7 @@ def with_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     at = columns.index(text)
 
     def rate(batches):
-        for b in batches:
+        for b in bites(batches):
             p = judge(features(b.column(at).cast(pa.string()), given.value).astype(float))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "score"])
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, durable, mix, table, texts_of, without
+from gneiss.llm.common import U64, bites, durable, mix, table, texts_of, without
 from gneiss.llm.components import components
 
 PIVOTS = 16
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
     """(doc_id, text_hash, fp): fp is the fingerprint as a signed long. Null text has no words."""
 
     def make(batches):
-        for b in batches:
+        for b in bites(batches):
             data, off = texts_of(b.column(2))
             raw = data.tobytes()
             fp = np.array([fingerprint(raw[s:e], shingle) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], U64).view(np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, durable, grams, mix, row_slices, texts_of, without, word_hashes, words_of
+from gneiss.llm.common import U64, bites, durable, grams, mix, row_slices, texts_of, without, word_hashes, words_of
 from gneiss.llm.components import components
 from gneiss.llm.simhash import REFERENCES
 
@@ -53,7 +53,7 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
 
 def _prints(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     def make(batches):
-        for b in batches:
+        for b in bites(batches):
             sets = shingle_sets(b.column(2), k)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())], ["doc_id", "text_hash", "n", "wide"])
 
@@ -156,7 +156,7 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     wanted = without(keyed, named.select(doc_id, key), "left_semi").select(F.col(f"`{doc_id}`").alias(doc_id), key, F.col(f"`{text}`").cast("string").alias("body"))
 
     def sets(batches):
-        for b in batches:
+        for b in bites(batches):
             made = shingle_sets(b.column(2), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["doc_id", "text_hash", "shingles"])
 
