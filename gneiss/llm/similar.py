@@ -19,8 +19,8 @@ from gneiss.llm.components import components
 from gneiss.llm.simhash import REFERENCES
 
 TABLES, KEY_BITS, RADIUS = 64, 16, 18
-#: Shingles of least hash that vote for a fingerprint; verification takes all.
-VOTES = 1024
+#: Shingles whose bits are laid out at once.
+SLICE = 4080
 SMALL = 32
 _SEEDS = mix(np.arange(501, 501 + TABLES * KEY_BITS // 64, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,12 +43,13 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
 
 def wide_fingerprint(shingles: np.ndarray) -> bytes:
     """Majority bits of TABLES * KEY_BITS independent hash bits of the shingles."""
-    s = shingles[:VOTES]  # sorted: those of least hash
-    bits = mix(mix(s)[:, None] ^ _SEEDS[None, :]).view(np.uint8).reshape(len(s), 8 * len(_SEEDS))
-    ones = np.zeros(bits.shape[1] * 8, np.int64)
-    for i in range(0, len(s), 255):
-        ones += np.unpackbits(bits[i : i + 255], axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(s)).tobytes()
+    ones = np.zeros(TABLES * KEY_BITS, np.int64)
+    for j in range(0, len(shingles), SLICE):
+        s = shingles[j : j + SLICE]
+        bits = mix(mix(s)[:, None] ^ _SEEDS[None, :]).view(np.uint8).reshape(len(s), 8 * len(_SEEDS))
+        for i in range(0, len(s), 255):
+            ones += np.unpackbits(bits[i : i + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
 def _prints(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
