@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss.operators.ranks import bucket, running
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, n) with totals, null standing for all, as a cube."""
@@ -67,23 +69,11 @@ def folds_in_order(df: DataFrame, label: str, key: list[str], k: int) -> DataFra
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*key)) - 1) % k)
 
 
-def _bucket(value, thresholds: list[float]):
-    """How many of the sorted thresholds a value reaches, as a balanced tree of comparisons."""
-
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= thresholds[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
-
-    return tree(0, len(thresholds))
-
-
 def best_threshold(df: DataFrame, feature: str, positive: str, thresholds: list[float]) -> DataFrame:
     """(threshold, above, f1) of the best cut in either direction. Rows are counted by the cuts they reach, once; sums over the few
     counts serve all cuts."""
     cuts = sorted(float(t) for t in thresholds)
-    c = df.groupBy(_bucket(F.col(feature), cuts).alias("b")).agg(F.count_if(F.col(positive).cast("boolean")).alias("pos"), F.count("*").alias("n"))
+    c = df.groupBy(bucket(F.col(feature), cuts).alias("b")).agg(F.count_if(F.col(positive).cast("boolean")).alias("pos"), F.count("*").alias("n"))
     every = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(cuts)], "i int, threshold double")
     total = c.agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
     own = F.broadcast(every).join(c, F.col("b") >= F.col("i"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("said")).crossJoin(F.broadcast(total))
@@ -93,12 +83,11 @@ def best_threshold(df: DataFrame, feature: str, positive: str, thresholds: list[
 
 
 def decision_stump(df: DataFrame, feature: str, positive: str) -> DataFrame:
-    """(cut, gini): the midpoint of the least class-balanced Gini impurity. Values are counted first, so the window runs over
-    distinct values only."""
+    """(cut, gini): the midpoint of the least class-balanced Gini impurity. Values are counted first, and the
+    running sums over distinct values are taken part by part."""
     c = df.groupBy(F.col(feature).alias("v")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.sum(1.0 - F.col(positive).cast("double")).alias("q"))
-    w = Window.orderBy("v")
     total = c.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    t = c.select("v", F.lead("v").over(w).alias("next"), F.sum("p").over(w).alias("lp"), F.sum("q").over(w).alias("lq")).where("next IS NOT NULL").crossJoin(F.broadcast(total))
+    t = running(c, "v", ["p", "q"]).where("next IS NOT NULL").select("v", "next", (F.col("before_p") + F.col("p")).alias("lp"), (F.col("before_q") + F.col("q")).alias("lq")).crossJoin(F.broadcast(total))
     a, b = F.col("lp") / F.col("P") / 2, F.col("lq") / F.col("Q") / 2
     gini = lambda x, y: F.when(x + y > 0, (x + y) * (1 - (x / (x + y)) ** 2 - (y / (x + y)) ** 2)).otherwise(0.0)
     g = gini(a, b) + gini(0.5 - a, 0.5 - b)

@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from gneiss.functions.distributions import chi2_cdf, f_cdf, t_cdf, t_quantile
 from gneiss.operators.features import gram, moments
+from gneiss.operators.ranks import dealt_places
+from gneiss.storage import durable
 
 RIDGE = 1e-5
 
@@ -261,12 +263,12 @@ def spike_and_slab(df: DataFrame, features: list[str], target: str, draws: int =
 
 
 def randomisation_check(df: DataFrame, features: list[str], target: str, key: str, runs: int = 20) -> DataFrame:
-    """(run, r2) with the target dealt out anew by seeded hash order; run -1 is the data as it is. n rows are ranked a run."""
+    """(run, r2) with the target dealt out anew by seeded hash order; run -1 is the data as it is."""
     base = df.select(key, *features, target)
     rows = [(-1, float(fit(base, features, target)["r2"]))]
+    a = durable(dealt_places(base, key, -1).drop(key, target))
     for run in range(runs):
-        a = base.select(key, *features, F.row_number().over(Window.orderBy(key)).alias("place"))
-        b = base.select(F.col(target), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(run)), key)).alias("place"))
+        b = dealt_places(base, key, 2 * run).select(target, "place")
         rows.append((run, float(fit(a.join(b, "place"), features, target)["r2"])))
     return df.sparkSession.createDataFrame(rows, "run int, r2 double")
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss.operators.ranks import running
+
 
 def stratified(df: DataFrame, group: str, key: list[str], size: int | float | dict) -> DataFrame:
     """A number, a share, or a number by group, of each group's rows, in order of the key."""
@@ -56,8 +58,7 @@ def folds_none_empty(df: DataFrame, key: list[str], k: int, seed: int = 0) -> Da
 def ks_statistic(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """(ks): the largest distance of two groups' distribution functions, over counts of distinct values."""
     c = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    w = Window.orderBy(value)
-    cum = c.select(F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb"))
+    cum = running(c, value, ["na", "nb"]).select((F.col("before_na") + F.col("na")).alias("ca"), (F.col("before_nb") + F.col("nb")).alias("cb"))
     total = c.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     return cum.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 

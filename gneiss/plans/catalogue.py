@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gneiss.functions.vectors import norm as length_of
-from gneiss.operators import alignment, classification, features, geometry, graph, regression, sampling, sterimol, vibrations
+from gneiss.operators import alignment, classification, diagnostics, features, geometry, graph, logit, paths, regression, sampling, sterics, sterimol, vibrations
 from gneiss.plans import sqlgen as S
 from gneiss.plans.sqlgen import BONDS, NEAR, PAIRS, SQL_ATOMS, SQL_CHARGES, SQL_MOVES, SQL_SAMPLES, framed_cte, frame_ctes, pick, query, v
 from gneiss.sources import sinks, tables, text_blocks
@@ -696,3 +696,111 @@ def event_windows(spark, d):
 @register("xyz_text", query(SQL_ATOMS, select="SELECT mol_id, CAST(count(*) AS VARCHAR) AS head FROM atoms GROUP BY mol_id"))
 def xyz_text(spark, d):
     return sinks.xyz_text(tables.atoms(spark, d)).select("mol_id", F.split("value", "\n")[0].alias("head"))
+
+
+# --- sizes of ligands -------------------------------------------------------------------------------------------------
+
+_d, _axis = S.sub(("a.x", "a.y", "a.z"), v(0)), S.sub(v(1), v(0))
+
+
+@register("cone_angle", query(SQL_ATOMS, pick("p", 1, 2), f"h AS (SELECT a.mol_id, CASE WHEN {_bondi} >= {S.norm(_d)} THEN 180.0 ELSE {S.angle(_d, _axis)} + degrees(asin(least(1.0, {_bondi} / {S.norm(_d)}))) END AS half FROM atoms a JOIN p USING (mol_id) WHERE a.atom_idx <> 1)", select=f"SELECT mol_id, {rd('2 * max(half)', 'cone', 4)} FROM h GROUP BY mol_id"), 4)
+def cone_angle(spark, d):
+    return sterics.cone_angle(tables.atoms(spark, d), 1, 2)
+
+
+@register("octant_volumes", query(SQL_ATOMS, framed_cte(BASE), "g AS (SELECT i + 0.25::DOUBLE AS i, j + 0.25::DOUBLE AS j, k + 0.25::DOUBLE AS k FROM (SELECT unnest(range(-7, 7)) * 0.5 AS i), (SELECT unnest(range(-7, 7)) * 0.5 AS j), (SELECT unnest(range(-7, 7)) * 0.5 AS k))", f"o AS (SELECT *, {_bondi} * 1.17::DOUBLE AS r FROM framed WHERE atom_idx <> 1)", "c AS (SELECT mol_id, i, j, k, bool_or((i - x)*(i - x) + (j - y)*(j - y) + (k - z)*(k - z) <= r*r) AS hit FROM o, g WHERE i*i + j*j + k*k <= 12.25 GROUP BY ALL)", select=f"SELECT mol_id, CAST((i > 0)::INT + 2 * (j > 0)::INT + 4 * (k > 0)::INT AS INT) AS octant, {rd('avg(hit::INT::DOUBLE)', 'fraction', 4)} FROM c GROUP BY 1, 2"), 4)
+def octant_volumes(spark, d):
+    return sterics.octant_volumes(tables.atoms(spark, d), BASE)
+
+
+@register("closest_atoms", query(SQL_ATOMS, "f AS (SELECT p.mol_id, p.atom_idx AS point, a.atom_idx, (a.x-p.x)*(a.x-p.x) + (a.y-p.y)*(a.y-p.y) + (a.z-p.z)*(a.z-p.z) AS far FROM atoms p JOIN atoms a ON a.mol_id = p.mol_id AND p.atom_idx > 10 AND a.atom_idx <= 10)", select="SELECT mol_id, point, atom_idx FROM f QUALIFY row_number() OVER (PARTITION BY mol_id, point ORDER BY far, atom_idx) = 1"))
+def closest_atoms(spark, d):
+    a = tables.atoms(spark, d)
+    return sterics.nearest_atoms(a.where("atom_idx > 10").select("mol_id", F.col("atom_idx").alias("point"), "x", "y", "z"), a.where("atom_idx <= 10")).select("mol_id", "point", "atom_idx")
+
+
+_turn = "(SELECT mol_id, least(abs(max(x*cos(radians(t)) + z*sin(radians(t)))), abs(min(x*cos(radians(t)) + z*sin(radians(t)))), abs(max(z*cos(radians(t)) - x*sin(radians(t)))), abs(min(z*cos(radians(t)) - x*sin(radians(t))))) AS h FROM framed, (SELECT unnest(range(0, 90, 10)) AS t) GROUP BY mol_id, t)"
+
+
+@register("surface_sterimol", query(SQL_ATOMS, framed_cte(BASE), f"sides AS (SELECT mol_id, min(h) AS b1 FROM {_turn} GROUP BY mol_id)", select=f"SELECT mol_id, {rd('max(y)', 'l', 4)}, {rd('max(b1)', 'b1', 4)}, {rd('max(sqrt(x*x + z*z))', 'b5', 4)} FROM framed JOIN sides USING (mol_id) GROUP BY mol_id"), 4)
+def surface_sterimol(spark, d):
+    a = tables.atoms(spark, d)
+    return sterics.surface_sterimol(a.select("mol_id", "x", "y", "z"), a, BASE, 10)
+
+
+# --- paths and maps ---------------------------------------------------------------------------------------------------
+
+
+def _bonds(spark, d) -> DataFrame:
+    return graph.connectivity(tables.atoms(spark, d))
+
+
+@register("base_atoms", query(SQL_ATOMS, PAIRS, BONDS, NEAR, select="SELECT mol_id, 1 AS origin, 2 AS direction, coalesce(min(other) FILTER (atom = 2 AND other <> 1), min(other) FILTER (atom = 1 AND other <> 2)) AS third FROM near GROUP BY mol_id"))
+def base_atoms(spark, d):
+    return paths.base_atoms(_bonds(spark, d), 1, 2)
+
+
+@register("accompanied", query(SQL_ATOMS, PAIRS, BONDS, NEAR, select="SELECT mol_id, atom_idx AS old_idx FROM atoms a WHERE atom_idx % 3 <> 0 AND EXISTS (SELECT 1 FROM near n WHERE n.mol_id = a.mol_id AND n.atom = a.atom_idx AND n.other % 3 <> 0)"))
+def accompanied(spark, d):
+    m = tables.atoms(spark, d).where("atom_idx % 3 <> 0").select("mol_id", F.col("atom_idx").alias("old_idx"), F.col("atom_idx").alias("new_idx"))
+    return paths.accompanied(m, _bonds(spark, d)).select("mol_id", "old_idx")
+
+
+@register("bonds_of_element", query(SQL_ATOMS, PAIRS, BONDS, select="SELECT b.mol_id, b.a1, b.a2 FROM bonds b JOIN atoms p ON p.mol_id = b.mol_id AND p.atom_idx = b.a1 JOIN atoms q ON q.mol_id = b.mol_id AND q.atom_idx = b.a2 WHERE p.symbol = 'N' OR q.symbol = 'N'"))
+def bonds_of_element(spark, d):
+    return paths.bonds_of(_bonds(spark, d).select("mol_id", "a1", "a2"), tables.atoms(spark, d), ["N"])
+
+
+@register("diameter_path")
+def diameter_path(spark, d):
+    return paths.diameter_path(_bonds(spark, d))
+
+
+@register("atom_classes")
+def atom_classes(spark, d):
+    return paths.atom_classes(tables.atoms(spark, d), _bonds(spark, d))
+
+
+@register("closed_map", query(SQL_ATOMS, select="SELECT mol_id, atom_idx AS old_idx, CASE WHEN atom_idx < 5 THEN atom_idx + 1 WHEN atom_idx = 5 THEN 1 ELSE atom_idx END AS new_idx FROM atoms"))
+def closed_map(spark, d):
+    """A chain from the first atom to the fifth, closed."""
+    a = tables.atoms(spark, d)
+    return paths.closed_map(a.where("atom_idx < 5").select("mol_id", F.col("atom_idx").alias("old_idx"), (F.col("atom_idx") + 1).alias("new_idx")), a)
+
+
+# --- assumptions of linear models -------------------------------------------------------------------------------------
+
+_sse = "(regr_syy(y, f1) - regr_sxy(y, f1) * regr_sxy(y, f1) / regr_sxx(y, f1))"
+
+
+@register("goldfeld_quandt", query(SQL_SAMPLES, "m AS (SELECT quantile_cont(f1, 0.5) AS m FROM samples)", f"s AS (SELECT f1 > m AS high, {_sse} / (count(*) - 2) AS v FROM samples, m GROUP BY 1)", select=f"SELECT {rd('max(v) FILTER (high) / max(v) FILTER (NOT high)', 'f')} FROM s"))
+def goldfeld_quandt(spark, d):
+    return _one(spark, {"f": diagnostics.goldfeld_quandt(tables.samples(spark, d), ["f1"], "y", "f1")[0]})
+
+
+@register("rainbow", query(SQL_SAMPLES, "m AS (SELECT quantile_cont(f1, 0.25) AS low, quantile_cont(f1, 0.75) AS high FROM samples)", f"w AS (SELECT count(*) AS n, {_sse} AS s FROM samples)", f"i AS (SELECT count(*) AS m, {_sse} AS t FROM samples, m WHERE f1 BETWEEN low AND high)", select=f"SELECT {rd('((s - t) / (n - m)) / (t / (m - 2))', 'f')} FROM w, i"))
+def rainbow(spark, d):
+    return _one(spark, {"f": diagnostics.rainbow(tables.samples(spark, d), ["f1"], "y", "f1")[0]})
+
+
+@register("ljung_box", "WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey) AS e FROM orders), l AS (SELECT *, coalesce(lag(e) OVER w, 0) AS l1, coalesce(lag(e, 2) OVER w, 0) AS l2 FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), s AS (SELECT o_custkey, count(*) AS n, sum(e*e) AS s0, sum(e*l1) AS s1, sum(e*l2) AS s2 FROM l GROUP BY 1) SELECT o_custkey, n, round(n * (n + 2) * (pow(s1/s0, 2) / (n - 1) + pow(s2/s0, 2) / (n - 2)), 6) + 0.0 AS q FROM s WHERE n > 2 AND s0 > 0")
+def ljung_box(spark, d):
+    return diagnostics.ljung_box(tables.table(spark, d, "orders"), "o_totalprice", ["o_custkey"], ["o_orderkey"], 2)
+
+
+@register("anderson_darling", digits=4)
+def anderson_darling(spark, d):
+    return diagnostics.anderson_darling(tables.samples(spark, d), "y")
+
+
+@register("harvey_collier", digits=4)
+def harvey_collier(spark, d):
+    t, p = diagnostics.harvey_collier(_groups(spark, d), ["x1", "x2"], "y", "x1", "k")
+    return _one(spark, {"t": t, "p": p})
+
+
+@register("logit_search", digits=4)
+def logit_search(spark, d):
+    """All subsets of up to two features by McFadden's measure, three classes of orders."""
+    o = tables.table(spark, d, "orders").select(F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 97).alias("key"), (F.col("o_custkey") % 31).alias("customer"), F.col("o_orderstatus").alias("status"))
+    return logit.search(o, ["price", "key", "customer"], "status").select(F.array_join("combo", ",").alias("combo"), "k", "ll", "mcfadden")
