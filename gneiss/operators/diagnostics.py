@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from gneiss.functions.distributions import chi2_cdf, f_cdf, t_cdf
 from gneiss.operators.features import gram, moments
-from gneiss.operators.ranks import bucket, running
+from gneiss.operators.ranks import bucket, quantiles, running
 from gneiss.operators.regression import fit
 
 #: The published approximation of its p value ends here.
@@ -50,7 +50,7 @@ def _sse(df: DataFrame, features: list[str], target: str) -> tuple[int, float]:
 
 def goldfeld_quandt(df: DataFrame, features: list[str], target: str, order: str) -> tuple[float, float]:
     """(F, p): error variance of the rows above the median of `order` over that of the others."""
-    middle = df.agg(F.percentile(order, 0.5)).first()[0]
+    (middle,) = quantiles(df, order, [0.5])
     (n1, low), (n2, high) = (_sse(df.where(c), features, target) for c in (F.col(order) <= middle, F.col(order) > middle))
     d1, d2 = n2 - len(features) - 1, n1 - len(features) - 1
     f = (high / d1) / (low / d2)
@@ -59,7 +59,7 @@ def goldfeld_quandt(df: DataFrame, features: list[str], target: str, order: str)
 
 def rainbow(df: DataFrame, features: list[str], target: str, order: str) -> tuple[float, float]:
     """(F, p): the fit of all rows against that of the middle half by `order`."""
-    low, high = df.agg(F.percentile(order, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    low, high = quantiles(df, order, [0.25, 0.75])
     (n, whole), (m, inner) = _sse(df, features, target), _sse(df.where(F.col(order).between(low, high)), features, target)
     d1, d2 = n - m, m - len(features) - 1
     f = ((whole - inner) / d1) / (inner / d2)

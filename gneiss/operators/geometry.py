@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.elements import lookup
-from gneiss.functions.vectors import angle, axes, cross, into, minus, norm, vector, with_frame
+from gneiss.functions.vectors import angle, axes, cross, dot, into, minus, norm, unit, vector, with_frame
 
 
 def pick(atoms: DataFrame, *indexes: int) -> DataFrame:
@@ -144,3 +144,32 @@ def cosine_distance_difference(first: DataFrame, second: DataFrame) -> DataFrame
 
     both = cosines(first).join(cosines(second).withColumnRenamed("d", "d2"), ["mol_id", "a1", "a2"])
     return both.groupBy("mol_id").agg(F.avg(F.abs(F.col("d") - F.col("d2"))).alias("difference"))
+
+
+def push_apart(atoms: DataFrame, threshold: float = 0.5, distance: float = 0.3) -> DataFrame:
+    """Atoms, those within the threshold of an earlier one set `distance` from the last such along the line that joins them; atoms at
+    one place stay there, as they have no such line."""
+    close = pairs(atoms).where((F.col("dist") < threshold) & (F.col("dist") > 0)).groupBy("mol_id", F.col("a2").alias("atom_idx")).agg(F.max_by("a1", "a1").alias("partner"), F.max_by("dist", "a1").alias("dist"))
+    other = atoms.select("mol_id", F.col("atom_idx").alias("partner"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    moved = close.join(other, ["mol_id", "partner"])
+    new = [F.coalesce(F.col(f"p{c}") + distance * (F.col(c) - F.col(f"p{c}")) / F.col("dist"), F.col(c)).alias(c) for c in "xyz"]
+    return atoms.join(moved, ["mol_id", "atom_idx"], "left").select(*[c for c in atoms.columns if c not in "xyz"], *new)
+
+
+def turn_onto(atoms: DataFrame, i: int, j: int, direction: tuple[float, float, float]) -> DataFrame:
+    """Atoms turned about atom i, which goes to the origin, so that atom j lies in the direction: the shortest turn; for the opposite
+    direction a half turn about an axis across it."""
+    size = sum(d * d for d in direction) ** 0.5
+    u = tuple(d / size for d in direction)
+    least = min(range(3), key=lambda k: abs(u[k]))
+    e = tuple(float(k == least) for k in range(3))
+    across = (u[1] * e[2] - u[2] * e[1], u[2] * e[0] - u[0] * e[2], u[0] * e[1] - u[1] * e[0])
+    long = sum(a * a for a in across) ** 0.5
+    b, axis = tuple(F.lit(c) for c in u), tuple(F.lit(a / long) for a in across)
+    d = atoms.alias("a").join(pick(atoms, i, j), "mol_id")
+    p, a = minus(vector("a"), vector("p0")), unit(minus(vector("p1"), vector("p0")))
+    w, c = cross(a, b), dot(a, b)
+    once, back = cross(w, p), 2 * dot(axis, p)
+    twice = cross(w, once)
+    new = [F.when(c < -1 + 1e-9, back * axis[k] - p[k]).otherwise(p[k] + once[k] + twice[k] / (1 + c)).alias(n) for k, n in enumerate("xyz")]
+    return d.select("mol_id", "atom_idx", "symbol", *new)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.operators.ranks import running
+from gneiss.operators.ranks import dealt_places, running
 
 
 def stratified(df: DataFrame, group: str, key: list[str], size: int | float | dict) -> DataFrame:
@@ -70,3 +70,28 @@ def fibonacci_sphere(spark, n: int) -> DataFrame:
     t = i * (math.pi * (3 - math.sqrt(5)))
     r = F.sqrt(1 - z * z)
     return spark.range(n).select(i.alias("i"), (r * F.cos(t)).alias("x"), (r * F.sin(t)).alias("y"), z.alias("z"))
+
+
+def sample_again(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """A sample with replacement: each draw is a hashed place in a dealt order; a row comes once a draw, with the draw's number."""
+    placed = dealt_places(df, key, seed)
+    n = df.count()
+    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))) + 1).alias("place"))
+    return draws.join(placed, "place").drop("place")
+
+
+def drop_for_shape(df: DataFrame, key: str, value: str, count: int, measure: str = "mean") -> DataFrame:
+    """df without `count` rows, picked one by one so that the mean or the population deviation of the rest stays nearest to that of all;
+    ties go to the smaller key. Keys are unique, values not null. A pick is one scan that returns one row."""
+    if measure not in ("mean", "std"):
+        raise ValueError(f"measure must be mean or std, not {measure}")
+    n, mean, s2 = df.agg(F.count(value), F.avg(value), F.var_pop(value)).first()
+    if not 0 <= count < n:
+        raise ValueError(f"{count} of {n} rows can't go")
+    v, gone, total, squares = F.col(value) - F.lit(mean), [], 0.0, n * s2  # sums of what is left, about the mean of all
+    for m in range(n - 1, n - 1 - count, -1):
+        left = (F.lit(total) - v) / m
+        score = F.abs(left) if measure == "mean" else F.abs(F.sqrt(F.greatest(F.lit(0.0), (F.lit(squares) - v * v) / m - left * left)) - F.lit(s2**0.5))
+        k, d = df.where(~F.col(key).isin(gone)).select(key, v.alias("d"), score.alias("score")).orderBy("score", key).limit(1).first()[:2]
+        gone, total, squares = [*gone, k], total - d, squares - d * d
+    return df.where(~F.col(key).isin(gone))

@@ -804,3 +804,16 @@ def logit_search(spark, d):
     """All subsets of up to two features by McFadden's measure, three classes of orders."""
     o = tables.table(spark, d, "orders").select(F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 97).alias("key"), (F.col("o_custkey") % 31).alias("customer"), F.col("o_orderstatus").alias("status"))
     return logit.search(o, ["price", "key", "customer"], "status").select(F.array_join("combo", ",").alias("combo"), "k", "ll", "mcfadden")
+
+
+# --- structure editing ------------------------------------------------------------------------------------------------
+
+
+@register("push_apart", query(SQL_ATOMS, PAIRS, "c AS (SELECT mol_id, a2 AS atom_idx, max(a1) AS partner, arg_max(dist, a1) AS dist FROM pairs WHERE dist < 0.9 AND dist > 0 GROUP BY 1, 2)", select="SELECT a.mol_id, a.atom_idx, a.symbol, " + ", ".join(f"round(coalesce(p.{k} + 0.3 * (a.{k} - p.{k}) / c.dist, a.{k}), 6) + 0.0 AS {k}" for k in "xyz") + " FROM atoms a LEFT JOIN c ON c.mol_id = a.mol_id AND c.atom_idx = a.atom_idx LEFT JOIN atoms p ON p.mol_id = c.mol_id AND p.atom_idx = c.partner"))
+def push_apart(spark, d):
+    return geometry.push_apart(tables.atoms(spark, d), 0.9).select("mol_id", "atom_idx", "symbol", "x", "y", "z")
+
+
+@register("turn_onto")
+def turn_onto(spark, d):
+    return geometry.turn_onto(tables.atoms(spark, d), 1, 2, (0.0, 0.0, 1.0))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import selectors
 from gneiss.functions.distributions import normal_cdf
-from gneiss.operators import diagnostics, logit, paths, ranks, regression, sterics
+from gneiss.operators import diagnostics, geometry, logit, paths, ranks, regression, sampling, sterics
+from gneiss.sources import results
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +135,54 @@ def test_selectors(spark):
     assert selectors.slug("Énergie (kcal/mol)") == "energie-kcal-mol"
     d = spark.createDataFrame([("1,2  3,4",), ("",), (None,)], "t string")
     assert [r[0] for r in d.select(selectors.atom_groups_column(F.col("t"))).collect()] == [[[1, 2], [3, 4]], [], None]
+
+
+def test_quantiles_are_exact(rows):
+    df, pdf = rows
+    for column in ("y", "tie"):
+        assert ranks.quantiles(df, column, [0.0, 0.25, 0.5, 1.0]) == pytest.approx(np.quantile(pdf[column], [0.0, 0.25, 0.5, 1.0]))
+
+
+@pytest.mark.parametrize("measure", ["mean", "std"])
+def test_rows_dropped_keep_the_shape(rows, measure):
+    df, pdf = rows
+    got = sampling.drop_for_shape(df, "id", "y", 3, measure)
+    kept, stat = pdf, (lambda v: v.mean()) if measure == "mean" else (lambda v: v.std(ddof=0))
+    for _ in range(3):
+        worst = min(kept["id"], key=lambda i: (round(abs(stat(kept["y"][kept["id"] != i]) - stat(pdf["y"])), 15), i))
+        kept = kept[kept["id"] != worst]
+    assert sorted(r["id"] for r in got.select("id").collect()) == sorted(kept["id"])
+    with pytest.raises(ValueError):
+        sampling.drop_for_shape(df, "id", "y", 300)
+
+
+def test_sample_with_replacement(rows):
+    got = sampling.sample_again(rows[0], "id", 1000, 2).collect()
+    assert len(got) == 1000 and len({r["draw"] for r in got}) == 1000 and 250 < len({r["id"] for r in got}) <= 300
+
+
+def test_turn_and_push(spark, chain):
+    a = spark.createDataFrame([("m", 1, "C", 1.0, 1.0, 1.0), ("m", 2, "C", 1.0, 1.0, -1.0), ("m", 3, "N", 2.0, 1.0, 1.0), ("m", 4, "H", 2.2, 1.0, 1.0)], "mol_id string, atom_idx int, symbol string, x double, y double, z double")
+    for direction in ((0.0, 0.0, 1.0), (0.0, 0.0, -1.0), (1.0, 2.0, 2.0)):
+        got = {r["atom_idx"]: np.array([r["x"], r["y"], r["z"]]) for r in geometry.turn_onto(a, 1, 2, direction).collect()}
+        assert got[2] == pytest.approx(2 * np.array(direction) / np.linalg.norm(direction), abs=1e-9)
+        assert np.linalg.norm(got[3]) == pytest.approx(1) and abs(got[3] @ got[2]) < 1e-9
+    got = {r["atom_idx"]: r["x"] for r in geometry.push_apart(a).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 2.0, 4: pytest.approx(2.3)}
+
+
+def test_tables_of_runs(spark, chain, tmp_path):
+    (tmp_path / "a.csv").write_text("combo,q2\nx,0.5\ny,\n")
+    spark.createDataFrame([("z", 0.9, 1.0)], "combo string, q2 double, mae double").write.parquet(str(tmp_path / "b"))
+    got = results.load_results(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b")]).collect()
+    assert [r["combo"] for r in got] == ["z", "x", "y"] and got[0]["mae"] == 1.0
+    (tmp_path / "ids.csv").write_text("Name,Canonical SMILES\n water ,O\n")
+    assert [tuple(r) for r in results.read_identifiers(spark, str(tmp_path / "ids.csv")).collect()] == [("water", "O")]
+    written = {r["mol_id"]: r["n"] for r in results.write_feather(chain[0], str(tmp_path / "f")).collect()}
+    assert written == {"m": 5, "r": 6}
+    assert pd.read_feather(tmp_path / "f" / "m.feather")["symbol"].tolist() == list("CCCCO")
+    results.write_tables({"Bond table": chain[1]}, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "bond-table")).count() == 10
+    assert results.run_folder("/x/", "My set", "ee %", "t1") == "/x/my-set_ee_t1"
+    out = results.with_output(chain[0], spark.createDataFrame([("m", 1.5)], "mol_id string, output double"), "mol_id", "output")
+    assert out.where("output = 1.5").count() == 5 and out.count() == 11
