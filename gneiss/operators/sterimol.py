@@ -49,17 +49,24 @@ def envelope(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi",
     return e.groupBy("mol_id", "degree").agg(F.max(F.col("x") * F.cos(t) + F.col("z") * F.sin(t) + F.col("r")).alias("h"))
 
 
+def sphere():
+    """A sphere of columns x, y, z and r so that a point p is inside if p . (x2, y2, z2) >= p . p + rest."""
+    x, y, z, r = (F.col(c) for c in "xyzr")
+    return F.struct((2 * x).alias("x2"), (2 * y).alias("y2"), (2 * z).alias("z2"), (x * x + y * y + z * z - r * r).alias("rest"))
+
+
 def buried_volume(atoms: DataFrame, center: int, radius: float = 3.5, scale: float = 1.17, spacing: float = 0.5, radii: str = "bondi") -> DataFrame:
     """(mol_id, fraction): the share of grid points in a sphere around an atom that another atom's scaled sphere covers.
 
     Grid points are made a molecule at a time; each asks its molecule's atoms, as an array, whether one covers it."""
     c = atoms.where(F.col("atom_idx") == center).select("mol_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    others = atoms.where(F.col("atom_idx") != center).withColumn("r", lookup(F.col("symbol"), radii) * scale).groupBy("mol_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("others"))
+    seen = atoms.where(F.col("atom_idx") != center).withColumn("r", lookup(F.col("symbol"), radii) * scale).join(c, "mol_id").select("mol_id", "r", *[(F.col(k) - F.col(f"c{k}")).alias(k) for k in "xyz"])
+    others = seen.groupBy("mol_id").agg(F.collect_list(sphere()).alias("others"))
     n = int(radius / spacing)
     steps = F.sequence(F.lit(-n), F.lit(n))
-    grid = c.join(others, "mol_id")
+    grid = others
     for k in "ijk":
         grid = grid.withColumn(k, F.explode(steps)).withColumn(k, F.col(k) * spacing)
-    grid = grid.where(F.col("i") ** 2 + F.col("j") ** 2 + F.col("k") ** 2 <= radius**2)
-    covered = F.exists("others", lambda o: (F.col("cx") + F.col("i") - o["x"]) ** 2 + (F.col("cy") + F.col("j") - o["y"]) ** 2 + (F.col("cz") + F.col("k") - o["z"]) ** 2 <= o["r"] ** 2)
+    grid = grid.withColumn("pp", F.col("i") * F.col("i") + F.col("j") * F.col("j") + F.col("k") * F.col("k")).where(F.col("pp") <= radius**2)
+    covered = F.exists("others", lambda o: F.col("i") * o["x2"] + F.col("j") * o["y2"] + F.col("k") * o["z2"] >= F.col("pp") + o["rest"])
     return grid.groupBy("mol_id").agg(F.avg(covered.cast("double")).alias("fraction"))
