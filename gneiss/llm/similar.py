@@ -3,8 +3,10 @@
 Texts that share four fifths of their shingles differ in about a seventh of their SimHash bits, too many for a few agreeing blocks of
 one fingerprint. So each text gets a wide fingerprint: TABLES parts of KEY_BITS independent bits. Two such texts agree on a whole part
 with a probability of 0.07, and on one of 64 with 0.99. Rows meet in parts they agree on; there the pivot table of the first 64 bits
-discards by coordinate differences, the bits themselves by RADIUS, and the numbers of shingles by the similarity. In large parts a row
-meets leaders only: rows unlike all leaders before them. What survives is verified on the whole sets of shingles.
+discards by coordinate differences, the bits themselves by RADIUS, and the numbers of shingles by the similarity. All near pairs of a
+part are verified on the whole sets of shingles. Where these are over SMALL a row, links to leaders (rows unlike all leaders before
+them) are verified first, and then all near pairs of rows that no verified link connects yet: the others can't change what is
+connected, so copies of one text don't cost the square of their number, and no pair that counts is left out.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import U64, bites, durable, grams, mix, row_slices, texts_of, without, word_hashes, words_of
 from gneiss.llm.components import components
-from gneiss.llm.simhash import REFERENCES
+from gneiss.llm.simhash import REFERENCES, _ended
 
 TABLES, KEY_BITS, RADIUS = 64, 16, 18
 #: Shingles whose bits are laid out at once.
 SLICE = 4080
+#: Near pairs a row up to which all of a part's are verified at once.
 SMALL = 32
+#: Rows of parts that are compared many parts at a time.
+FEW = 32
 _SEEDS = mix(np.arange(501, 501 + TABLES * KEY_BITS // 64, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,8 +101,42 @@ class _Leaders:
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes(node, n, wide) -> (a, b), distinct."""
+def _whole_parts(batches):
+    """Columns of rows in part order, as arrays that end where a part ends."""
+    held: list[list[np.ndarray]] = []
+    join = lambda x: [np.concatenate(c) for c in zip(*x, strict=True)]
+    for batch in _ended(batches):
+        if batch is None:
+            if held:
+                yield join(held)
+        elif batch.num_rows:
+            cols = [np.asarray(c) for c in batch.columns]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and (last or held[-1][0][0] != cols[0][0]):
+                yield join([*held, [c[:last] for c in cols]])
+                held = []
+            elif last:
+                yield [c[:last] for c in cols]
+            held.append([c[last:] for c in cols])
+
+
+def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarray | None = None):
+    """Blocks of places (i, j) of all near pairs of one part; with root, in its order, of those whose roots differ."""
+    for i in range(0, len(fp), 256):
+        own = slice(i, min(i + 256, len(fp)))
+        start = i if root is None else int(np.searchsorted(root, root[i], "right"))
+        for j in range(start, len(fp), 4096):
+            to = slice(j, j + 4096)
+            near = _near(fp[own][:, None], n[own][:, None], fp[None, to], n[None, to], similarity)
+            x, y = np.nonzero(near)
+            x, y = x + i, y + j
+            apart = x < y if root is None else (x < y) & (root[x] != root[y])
+            if apart.any():
+                yield x[apart], y[apart]
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """nodes(node, n, wide) -> (part, node, fp, n): a row for each table. fp has 64 bits of which none is the part's own."""
 
     def spread(batches):
         for batch in batches:
@@ -106,41 +145,68 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             key = wide.reshape(batch.num_rows, TABLES, KEY_BITS // 8).astype(np.int64)
             key = (np.arange(TABLES) << KEY_BITS) + (key[:, :, 0] << 8) + key[:, :, 1]
-            fp, node, n = np.ascontiguousarray(wide[:, :8]).view(np.int64).ravel(), np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            bits = np.ascontiguousarray(wide[:, :16]).view(np.int64)
+            fp = np.where(np.arange(TABLES) < 64 // KEY_BITS, bits[:, 1:], bits[:, :1])
+            node, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for i in range(0, batch.num_rows, 2000):
                 rep = lambda x: np.repeat(x[i : i + 2000], TABLES)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 2000].ravel()), pa.array(rep(node)), pa.array(rep(fp)), pa.array(rep(n))], ["part", "node", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 2000].ravel()), pa.array(rep(node)), pa.array(fp[i : i + 2000].ravel()), pa.array(rep(n))], ["part", "node", "fp", "n"])
+
+    return nodes.select("node", "n", "wide").mapInArrow(spread, "part long, node long, fp long, n int")
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, n, wide) -> (a, b), distinct near pairs, and (part, node, fp, n) of the parts of which that is the leaders' only."""
+    most = SMALL
+
+    def emit(a, b, part=None, fp=None, n=None):
+        rest = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32())] if part is None else [pa.array(x) for x in (part, fp, n)]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) if part is None else pa.nulls(len(b), pa.int64()), pa.array(b, pa.int64()), *rest], ["a", "b", "part", "fp", "n"])
 
     def meet(batches):
-        part_now, leaders = None, None
-        for batch in batches:
-            part, node, fp, n = (np.asarray(batch.column(i)) for i in range(4))
-            if not len(part):
-                continue
+        for part, node, fp, n in _whole_parts(batches):
             fp = fp.view(U64)
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends, found = np.append(heads[1:], len(part)), []
-            size = np.repeat(ends - heads, ends - heads)
-            inner = (size <= SMALL) & (part != part[0]) & (part != part[-1])
-            for d in range(1, SMALL):
+            inner = np.repeat(ends - heads, ends - heads) <= min(FEW, 2 * most)
+            for d in range(1, FEW):
                 i = np.flatnonzero(inner[:-d] & (part[:-d] == part[d:])) if d < len(part) else np.zeros(0, np.int64)
                 if not len(i):
                     break
                 i = i[_near(fp[i], n[i], fp[i + d], n[i + d], similarity)]
                 found.append((node[i], node[i + d]))
-            for s, e in zip(heads.tolist(), ends.tolist(), strict=True):
-                if not inner[s]:
-                    if part[s] != part_now:
-                        part_now, leaders = part[s], _Leaders()
-                    found.append(leaders.add(node[s:e], fp[s:e], n[s:e], similarity))
+            for s, e in zip(*(x[~inner[heads]].tolist() for x in (heads, ends)), strict=True):
+                pairs, count = [], 0
+                for x, y in _near_pairs(fp[s:e], n[s:e], similarity):
+                    pairs.append((node[s + x], node[s + y]))
+                    count += len(x)
+                    if count > most * (e - s):
+                        pairs = [_Leaders().add(node[s:e], fp[s:e], n[s:e], similarity)]
+                        yield emit(node[s:e], node[s:e], part[s:e], fp[s:e].view(np.int64), n[s:e])
+                        break
+                found += pairs
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield emit(pairs[0], pairs[1])
+
+    met = durable(_spread(nodes).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(meet, "a long, b long, part long, fp long, n int"))
+    return met.where("a is not null").select("a", "b").distinct(), met.where("a is null").select("part", F.col("b").alias("node"), "fp", "n")
 
-    rows = nodes.select("node", "n", "wide").mapInArrow(spread, "part long, node long, fp long, n int")
-    met = rows.repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(meet, "a long, b long")
-    return met.distinct()
+
+def _rest(large: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """large(part, node, fp, n) -> (a, b), distinct: all near pairs whose roots differ."""
+
+    def meet(batches):
+        for part, root, node, fp, n in _whole_parts(batches):
+            heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True):
+                for x, y in _near_pairs(fp[s:e].view(U64), n[s:e], similarity, root[s:e]):
+                    a, b = node[s + x], node[s + y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    rows = large.join(roots, "node", "left").select("part", F.coalesce("root", "node").alias("root"), "node", "fp", "n")
+    return rows.repartition("part").sortWithinPartitions("part", "root").mapInArrow(meet, "a long, b long").distinct()
 
 
 def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -150,10 +216,11 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     prints = durable(_prints(docs, shingle, text, doc_id)).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = durable(prints.groupBy("wide", "n").agg(F.min(order).alias("first")).select(F.xxhash64("wide", "n").alias("node"), "wide", "n", "first"))
-    pairs = durable(_candidates(nodes, similarity))
+    pairs, large = _candidates(nodes, similarity)
+    pairs = durable(pairs)
     key = "hash of the text"
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
-    named = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias(doc_id), F.col("first.text_hash").alias(key)))
+    named = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "node").select("node", F.col("first.doc_id").alias(doc_id), F.col("first.text_hash").alias(key)))
     wanted = without(keyed, named.select(doc_id, key), "left_semi").select(F.col(f"`{doc_id}`").alias(doc_id), key, F.col(f"`{text}`").cast("string").alias("body"))
 
     def sets(batches):
@@ -163,10 +230,16 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
 
     held = wanted.select(F.col(doc_id).cast("long"), key, "body").mapInArrow(sets, "doc_id long, text_hash long, shingles array<long>").dropDuplicates(["doc_id", "text_hash"])
     by_node = durable(named.join(held, named[f"`{doc_id}`"].eqNullSafe(held["doc_id"]) & (named[key] == held["text_hash"])).select("node", "shingles"))
-    both = pairs.join(by_node.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(by_node.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = durable(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+    def verified(some):
+        both = some.join(by_node.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(by_node.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return durable(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+    links = verified(pairs)
     roots = components(links)
+    if not large.isEmpty():
+        roots = components(links.union(verified(_rest(large, roots, similarity))))
     rooted = nodes.join(roots, "node", "left").select("wide", "n", "first", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     kept = rooted.select("wide", "n", "root").join(best, "root").select("wide", "n", "best")

@@ -193,6 +193,18 @@ def test_keep_unlike(spark, monkeypatch, small):
     assert similar.keep_unlike(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_keep_unlike_of_one_template(spark, monkeypatch, small):
+    """Texts that share a template are near to one leader and unlike it; the copies among them are found all the same."""
+    monkeypatch.setattr(similar, "SMALL", small)
+    template = prose(91, 200, 3000)
+    rows = [(i, f"{template} {prose(1000 + i, 30, 9000)}") for i in range(300)]
+    rows += [(300 + i, edited(i, t, 4)) for i, t in rows[:30]]
+    want = unlike(rows)
+    assert want == set(range(300))
+    assert {r["doc_id"] for r in similar.keep_unlike(documents(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_links_are_whole_in_a_dense_ball(spark, monkeypatch, most):
     """A group of near fingerprints, also when parts are taken to be too large and parted again."""
