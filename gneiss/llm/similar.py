@@ -2,7 +2,8 @@
 
 Texts that share four fifths of their shingles differ in about a seventh of their SimHash bits, too many for a few agreeing blocks of
 one fingerprint. So each text gets a wide fingerprint: TABLES parts of KEY_BITS independent bits. Two such texts agree on a whole part
-with a probability of 0.07, and on one of 64 with 0.99. Rows meet in parts they agree on; there the pivot table of the first 64 bits
+with a probability of 0.07, and on one of 64 with 0.99. That holds for long texts: of few shingles, ties in the votes push bits apart,
+so pairs of which one has up to SHORT meet exactly, on the rarest shingles of which two similar texts must share one. Others meet in parts they agree on; there the pivot table of the first 64 bits
 discards by coordinate differences, the bits themselves by RADIUS, and the numbers of shingles by the similarity. All near pairs of a
 part are verified on the whole sets of shingles. Where these are over SMALL a row, links to leaders (rows unlike all leaders before
 them) are verified first, and then all near pairs of rows that no verified link connects yet: the others can't change what is
@@ -21,6 +22,8 @@ from gneiss.llm.components import components
 from gneiss.llm.simhash import REFERENCES, _ended
 
 TABLES, KEY_BITS, RADIUS = 64, 16, 18
+#: Texts of up to this many shingles meet on shingles.
+SHORT = 16
 #: Shingles whose bits are laid out at once.
 SLICE = 4080
 #: Near pairs a row up to which all of a part's are verified at once.
@@ -57,14 +60,17 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
-def _prints(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
+def _prints(docs: DataFrame, k: int, similarity: float, text: str, doc_id: str) -> DataFrame:
+    most = int(SHORT / similarity + 1e-9)
+
     def make(batches):
         for b in bites(batches):
             sets = shingle_sets(b.column(2), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())], ["doc_id", "text_hash", "n", "wide"])
+            few = pa.array([s.view(np.int64) if len(s) <= most else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary()), few], ["doc_id", "text_hash", "n", "wide", "few"])
 
     body = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(make, "doc_id long, text_hash long, n int, wide binary")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(make, "doc_id long, text_hash long, n int, wide binary, few array<long>")
 
 
 def _near(fa, na, fb, nb, similarity: float) -> np.ndarray:
@@ -155,8 +161,19 @@ def _spread(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "wide").mapInArrow(spread, "part long, node long, fp long, n int")
 
 
+def _spread_short(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes(node, n, few) -> (part, node, fp, n): a row for each shingle of a short text's prefix, the rarest first. Of two similar
+    texts' prefixes at least one shingle is the same. fp is 0, as bits don't count here. Parts of table keys aren't negative."""
+    each = nodes.where("few is not null").select("node", "n", F.explode("few").alias("shingle"))
+    common = each.groupBy("shingle").count()
+    sorted_ = each.join(common, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    first = sorted_.select("node", "n", F.explode(F.slice("all", F.lit(1), length)).alias("s")).where("s.count > 1")
+    return first.select((F.lit(-1).cast("long") - F.shiftrightunsigned("s.shingle", 1)).alias("part"), "node", F.lit(0).cast("long").alias("fp"), "n")
+
+
 def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """nodes(node, n, wide) -> (a, b), distinct near pairs, and (part, node, fp, n) of the parts of which that is the leaders' only."""
+    """nodes(node, n, wide, few) -> (a, b), distinct near pairs, and (part, node, fp, n) of the parts of which that is the leaders' only."""
     most = SMALL
 
     def emit(a, b, part=None, fp=None, n=None):
@@ -190,7 +207,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield emit(pairs[0], pairs[1])
 
-    met = durable(_spread(nodes).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(meet, "a long, b long, part long, fp long, n int"))
+    met = durable(_spread(nodes).unionByName(_spread_short(nodes, similarity)).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(meet, "a long, b long, part long, fp long, n int"))
     return met.where("a is not null").select("a", "b").distinct(), met.where("a is null").select("part", F.col("b").alias("node"), "fp", "n")
 
 
@@ -213,9 +230,9 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     """docs, all columns, with one row of each group that verified links of at least `similarity` connect: that of the smallest doc_id
     (a null one last). Texts without words are unlike all others; of texts with like sets of shingles one stays. Rows that are alike in
     doc_id and text stay or go together. An empty table gives an empty one. Like texts should be dropped before, as keep_one does."""
-    prints = durable(_prints(docs, shingle, text, doc_id)).where("n > 0")
+    prints = durable(_prints(docs, shingle, similarity, text, doc_id)).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = durable(prints.groupBy("wide", "n").agg(F.min(order).alias("first")).select(F.xxhash64("wide", "n").alias("node"), "wide", "n", "first"))
+    nodes = durable(prints.groupBy("wide", "n").agg(F.min(order).alias("first"), F.min("few").alias("few")).select(F.xxhash64("wide", "n").alias("node"), "wide", "n", "first", "few"))
     pairs, large = _candidates(nodes, similarity)
     pairs = durable(pairs)
     key = "hash of the text"
