@@ -1,7 +1,7 @@
 """HTML extraction by site template removal.
 
 A page is parsed into elements and text blocks. Every element's subtree is hashed by its tags and text; Spark counts, for each host,
-on how many pages of different titles a subtree recurs, and subtrees that recur on many of them are the site's template and go.
+on how many pages of different content a subtree recurs, and subtrees that recur on many of them are the site's template and go.
 Elements that say themselves that they aren't content (menus, footers, adverts, forms, comments and the like) go too. Paragraphs and
 other plain blocks of an article are never template: the same licence line may close many articles.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import table
 
-#: A subtree is template if it recurs on this many pages of different titles, and on this share of the host's.
-MIN_PAGES, MIN_SHARE = 10, 0.1
+#: A subtree is template if it recurs on this many pages of different content, and on the host's number of them to this power: on 10
+#: of up to 100, on 100 of 10000.
+MIN_PAGES, MIN_POWER = 10, 0.5
 #: Rows of the template table up to which it is broadcast; beyond it, pages and templates are joined.
 BROADCAST_ROWS = 200_000
 
@@ -180,9 +181,9 @@ class Page:
         return {h for h, tag, within in zip(self.hash, self.tag, self.within, strict=True) if h and tag not in ("html", "body", "article", "main") and (not within or tag in CONTAINER)}
 
     def identity(self) -> int:
-        """What tells pages of different content apart: the content's first block, else the title, else all text."""
-        first = next((text for text, e in self.blocks if self.within[e]), self.title) or "\n".join(text for text, _ in self.blocks)
-        return xxhash.xxh64_intdigest(first, 2)
+        """What tells pages of different content apart: all text of the articles, else the title and all text."""
+        content = [text for text, e in self.blocks if self.within[e]] or [self.title, *(text for text, _ in self.blocks)]
+        return xxhash.xxh64_intdigest("\n".join(content), 2)
 
     def text(self, template: frozenset[int] | set[int]) -> str:
         """The blocks of the articles, or of the whole page without one, that no boilerplate or template element holds."""
@@ -215,32 +216,32 @@ def _unsigned(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages(url, html) -> (host, subtree): hashes of the subtrees that recur on many pages, of different titles, of their host.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_power: float = MIN_POWER) -> DataFrame:
+    """pages(url, html) -> (host, subtree): hashes of the subtrees that recur on many pages, of different content, of their host.
 
-    A host's pages of one title, copies above all, count as one. Hosts and subtrees are counted by partial aggregation, so a host
+    A host's pages of like content, that is copies, count as one. Hosts and subtrees are counted by partial aggregation, so a host
     with most pages is no bottleneck.
     """
 
     def parse(batches):
         for b in batches:
-            hosts, titles, trees = [], [], []
+            hosts, contents, trees = [], [], []
             for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(source or "")
                 hosts.append(host_of(url))
-                titles.append(_unsigned(page.identity()))
+                contents.append(_unsigned(page.identity()))
                 trees.append([_unsigned(h) for h in page.candidates()])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(titles, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], ["host", "title", "trees"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], ["host", "content", "trees"])
 
-    seen = pages.select("url", "html").mapInArrow(parse, "host string, title long, trees array<long>")
-    # subtree null counts the host's titles themselves
-    rows = seen.select("host", "title", F.explode(F.concat("trees", F.array(F.lit(None).cast("long")))).alias("subtree")).distinct()
+    seen = pages.select("url", "html").mapInArrow(parse, "host string, content long, trees array<long>")
+    # subtree null counts the host's contents themselves
+    rows = seen.select("host", "content", F.explode(F.concat("trees", F.array(F.lit(None).cast("long")))).alias("subtree")).distinct()
     counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     totals = counts.where("subtree is null").select("host", F.col("n").alias("total"))
-    return counts.where((F.col("n") >= min_pages) & F.col("subtree").isNotNull()).join(totals, "host").where(F.col("n") >= min_share * F.col("total")).select("host", "subtree")
+    return counts.where((F.col("n") >= min_pages) & F.col("subtree").isNotNull()).join(totals, "host").where(F.col("n") >= F.pow("total", F.lit(min_power))).select("host", "subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS, source: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_power: float = MIN_POWER, broadcast_rows: int = BROADCAST_ROWS, source: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, joined by two line ends.
 
     Null or empty html, and a page without content, give an empty text. A null or odd URL belongs to the host of no name. Rows of one
@@ -248,7 +249,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     don't matter, whatever their names; an empty table gives an empty one.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("html"))
-    found = templates(rows, min_pages, min_share)
+    found = templates(rows, min_pages, min_power)
     first = found.limit(broadcast_rows + 1).toArrow()
     if first.num_rows <= broadcast_rows:
         of: dict[str, set[int]] = {}

@@ -449,3 +449,13 @@ def test_article_paragraphs_are_no_template(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><h1>A{i}</h1><div><p>Menu of all</p></div><p>Licence: free for all</p></article>") for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["text"] for r in html_extract.extract(pages).where("page_id = 7").collect()} == {"A7\n\nLicence: free for all"}
+
+
+def test_template_of_pages_that_begin_alike(spark):
+    """One title or breadcrumb on all pages of a host doesn't make them one page; nor need a section's template be on a tenth of them."""
+    rows = [(i, f"http://a.example/{i}", f"<title>Site</title><body><div><p>Welcome here</p></div><div><p>Text {i}</p></div></body>") for i in range(30)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<main><p>Home</p><div><p>Welcome here</p></div><p>Text {i}</p></main>") for i in range(30)]
+    rows += [(1000 + i, f"http://c.example/{i}", f"<body><div><p>{'Section' if i < 50 else f'Else {i}'}</p></div><div><p>Text {i}</p></div></body>") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).where("page_id IN (3, 103, 1003)").collect()}
+    assert got == {3: "Text 3", 103: "Home\n\nText 3", 1003: "Text 3"}
