@@ -4,7 +4,7 @@ Every token is masked in turn and predicted from WINDOW tokens on either side; a
 log-probabilities. Tokens fall into hashed buckets, buckets into classes: the most frequent have one each, the others share classes
 by likeness of their contexts. The network, one tanh layer over position-wise embeddings, predicts the class; a bucket's share of its
 class comes from counts over all documents. The network starts from a small sample and is then trained in every task on windows of
-its own documents, a fixed share of all; the tasks' networks are averaged by their numbers of windows.
+its own documents, by default all of them; the tasks' networks are averaged by their numbers of windows.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from gneiss.llm.common import U64, bites, mix, row_slices, table, texts_of
 from gneiss.llm.quality import BUCKETS, DIM, add_up, centred, context_sums, tokens
 
 CLASSES, OWN, WINDOW, HIDDEN = 128, 64, 2, 32
-#: Every so many-th window, by hash of its tokens, is trained on.
-ONE_IN = 32
+#: Every so many-th window, by hash of its tokens, is trained on: all.
+ONE_IN = 1
 START_DOCS, START_EPOCHS, BATCH, RATE = 400, 3, 256, 0.15
 SLICE = 1 << 18
 
@@ -51,6 +51,7 @@ class Model:
         self.inputs = rng.normal(0, 0.3, (2 * WINDOW, CLASSES + 1, HIDDEN)).astype(np.float32)
         self.hidden, self.outputs = np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, (HIDDEN, CLASSES)).astype(np.float32)
         self.bias = np.zeros(CLASSES, np.float32)
+        self.windows = 0  # that the tasks trained on
 
     def parts(self) -> list[np.ndarray]:
         return [self.inputs, self.hidden, self.outputs, self.bias]
@@ -117,6 +118,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
 
 
 def _picked(bucket: np.ndarray, around: np.ndarray, one_in: int) -> np.ndarray:
+    if one_in == 1:
+        return np.arange(len(bucket))
     key = bucket.astype(U64)
     for k in range(around.shape[1]):
         key = key * U64(1000003) + around[:, k].astype(U64)
@@ -158,7 +161,9 @@ def fit(docs: DataFrame, text: str, one_in: int):
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(sums.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
 
     total = add_up(body.mapInArrow(train, "sums binary"), len(start) + 1)
-    return kind, share, Model.of(total[:-1] / total[-1] if total[-1] else start)
+    model = Model.of(total[:-1] / total[-1] if total[-1] else start)
+    model.windows = int(total[-1])
+    return kind, share, model
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN) -> DataFrame:

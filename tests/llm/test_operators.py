@@ -346,6 +346,11 @@ def test_pseudo_likelihood(spark, data):
     assert pseudo_likelihood.score(documents(spark, [])).count() == 0
 
 
+def test_every_window_is_trained_on(spark):
+    model = pseudo_likelihood.fit(documents(spark), "text", pseudo_likelihood.ONE_IN)[2]
+    assert model.windows == quality.context_sums(documents(spark))[:, quality.DIM].sum()
+
+
 def test_log_probabilities_are_of_a_distribution():
     m = pseudo_likelihood.Model()
     around = np.array([[0, 1, 2, pseudo_likelihood.CLASSES]] * pseudo_likelihood.CLASSES)
