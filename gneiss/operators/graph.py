@@ -73,7 +73,7 @@ def has_bond(bonds: DataFrame, i: int, j: int) -> DataFrame:
     return bonds.where((F.col("a1") == min(i, j)) & (F.col("a2") == max(i, j))).select("mol_id")
 
 
-def reachable(bonds: DataFrame, source: int, direction: int, levels: int = 20) -> DataFrame:
+def reachable(bonds: DataFrame, source: int, direction: int) -> DataFrame:
     """(mol_id, atom): what is reached from `direction` without passing `source`, and the source itself.
 
     Breadth first: a level is joined to the bonds and freed of known atoms by an anti-join, for all molecules at once."""
@@ -81,7 +81,7 @@ def reachable(bonds: DataFrame, source: int, direction: int, levels: int = 20) -
     n = neighbours(bonds).where((F.col("atom") != source) & (F.col("other") != source))
     known = durable(bonds.select("mol_id").distinct().withColumn("atom", F.lit(direction)))
     edge = known
-    for _ in range(levels):
+    while True:
         edge = durable(edge.join(n, ["mol_id", "atom"]).select("mol_id", F.col("other").alias("atom")).distinct().join(known, ["mol_id", "atom"], "left_anti"))
         if edge.isEmpty():
             break

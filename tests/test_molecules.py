@@ -163,6 +163,11 @@ def test_water_geometry(spark):
     assert geometry.frame_transform(collinear, (1, 2, 3)).first()["x"] is None
 
 
+def test_reach_along_a_long_chain(spark):
+    bonds = spark.createDataFrame([(1, i, i + 1) for i in range(1, 24)], "mol_id long, a1 int, a2 int")
+    assert {r["atom"] for r in graph.reachable(bonds, 1, 2).collect()} == set(range(1, 25))
+
+
 def test_alignment_restores_a_moved_copy(spark):
     a = _water(spark)
     m = a.select("mol_id", F.col("atom_idx").alias("old_idx"), F.col("atom_idx").alias("new_idx"))
