@@ -10,35 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import decontaminate, packing, quality, simhash, similar, substring_dedup
-from gneiss.llm.common import shared_dir, table, without
+from gneiss.llm.common import fresh, shared_dir, small_batches, table, without
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    rated = quality.with_score(docs, table(spark, sf_dir, "labels"), name="quality score")
-    return rated.where(F.col("`quality score`") >= quality.ACCEPT).drop("quality score")
+    """Documents that the classifier accepts; null and empty texts are judged like others."""
+    small_batches(spark)
+    name = fresh(docs, "quality score")
+    rated = quality.with_score(docs, table(spark, sf_dir, "labels"), name=name)
+    return rated.where(F.col(f"`{name}`") >= quality.ACCEPT).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id: first of fingerprints within three bits, then of
     texts that share four fifths of their runs of five words."""
+    small_batches(spark)
     return similar.keep_unlike(simhash.keep_one(docs))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word runs that an earlier one has; n_chars follows the text."""
+    small_batches(spark)
     kept = substring_dedup.remove_repeats(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item: one item's passage is a leak already."""
+    small_batches(spark)
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), least_items=1)
     return without(docs, judged.where("contaminated").select("doc_id").distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

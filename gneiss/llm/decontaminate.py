@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import durable, table
+from gneiss.llm.common import durable, small_batches, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,6 +81,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.llm.common import U64, durable, table
+from gneiss.llm.common import U64, durable, small_batches, table
 
 BUCKET_ROWS = 20_000
 
@@ -58,4 +58,5 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, bites, durable, mix, table, texts_of, without
+from gneiss.llm.common import U64, bites, durable, fresh, mix, small_batches, table, texts_of, tidy, without
 from gneiss.llm.components import components
 
 PIVOTS = 16
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
     body = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(make, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(tidy(make), "doc_id long, text_hash long, fp long")
 
 
 def _masks(bits: list[int], sizes: list[int], keep: int) -> list[int]:
@@ -151,7 +151,7 @@ def _parts(rows: DataFrame, radius: int, most: int | None) -> DataFrame:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield emit(False, a, b, np.zeros(len(a), np.int64))
 
-    return rows.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(link, "a long, b long, mask long")
+    return rows.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(tidy(link), "a long, b long, mask long")
 
 
 def _ended(batches):
@@ -209,13 +209,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest doc_id (a null one last), and of the smallest text
-    hash among rows of that id. Only keys of rows to drop meet the texts; a short list of them is broadcast."""
+    hash among rows of that id. Only keys of rows to drop meet the texts; a short list of them is broadcast.
+
+    Null and empty texts, and those of white space, are alike: one of them all stays. Very long texts are hashed whole. Rows that are
+    alike in doc_id and text are one, whatever their other columns. Columns pass through under any name. An empty table gives an
+    empty one."""
     marked, told = clusters(docs, shingle, radius, text, doc_id)
     ranked = marked.join(told, "fp").select("root", "doc_id", "text_hash")
     first = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select("root", "k.doc_id", "k.text_hash")
     same = ["root", "doc_id", "text_hash"]
     drop = ranked.join(first.withColumn("first", F.lit(True)), [ranked[c].eqNullSafe(first[c]) for c in same], "left").where("first is null").select(ranked["doc_id"], ranked["text_hash"]).distinct()
-    key = "hash of the text"
+    key = fresh(docs, "hash of the text")
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
     kept = without(keyed, drop.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(key)))
     twins = durable(marked.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(key)))
@@ -226,4 +230,5 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "te
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

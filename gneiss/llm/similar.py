@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, bites, durable, grams, mix, row_slices, texts_of, without, word_hashes, words_of
+from gneiss.llm.common import U64, bites, durable, fresh, grams, mix, row_slices, texts_of, tidy, without, word_hashes, words_of
 from gneiss.llm.components import components
 from gneiss.llm.simhash import REFERENCES, _ended
 
@@ -70,7 +70,7 @@ def _prints(docs: DataFrame, k: int, similarity: float, text: str, doc_id: str)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary()), few], ["doc_id", "text_hash", "n", "wide", "few"])
 
     body = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(make, "doc_id long, text_hash long, n int, wide binary, few array<long>")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(tidy(make), "doc_id long, text_hash long, n int, wide binary, few array<long>")
 
 
 def _near(fa, na, fb, nb, similarity: float) -> np.ndarray:
@@ -158,7 +158,7 @@ def _spread(nodes: DataFrame) -> DataFrame:
                 rep = lambda x: np.repeat(x[i : i + 2000], TABLES)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 2000].ravel()), pa.array(rep(node)), pa.array(fp[i : i + 2000].ravel()), pa.array(rep(n))], ["part", "node", "fp", "n"])
 
-    return nodes.select("node", "n", "wide").mapInArrow(spread, "part long, node long, fp long, n int")
+    return nodes.select("node", "n", "wide").mapInArrow(tidy(spread), "part long, node long, fp long, n int")
 
 
 def _spread_short(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -207,7 +207,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield emit(pairs[0], pairs[1])
 
-    met = durable(_spread(nodes).unionByName(_spread_short(nodes, similarity)).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(meet, "a long, b long, part long, fp long, n int"))
+    met = durable(_spread(nodes).unionByName(_spread_short(nodes, similarity)).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(tidy(meet), "a long, b long, part long, fp long, n int"))
     return met.where("a is not null").select("a", "b").distinct(), met.where("a is null").select("part", F.col("b").alias("node"), "fp", "n")
 
 
@@ -223,19 +223,20 @@ def _rest(large: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     rows = large.join(roots, "node", "left").select("part", F.coalesce("root", "node").alias("root"), "node", "fp", "n")
-    return rows.repartition("part").sortWithinPartitions("part", "root").mapInArrow(meet, "a long, b long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "root").mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
 def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, all columns, with one row of each group that verified links of at least `similarity` connect: that of the smallest doc_id
     (a null one last). Texts without words are unlike all others; of texts with like sets of shingles one stays. Rows that are alike in
-    doc_id and text stay or go together. An empty table gives an empty one. Like texts should be dropped before, as keep_one does."""
+    doc_id and text stay or go together. Very long texts count with all their shingles. Columns pass through under any name. An empty
+    table gives an empty one. Like texts should be dropped before, as keep_one does."""
     prints = durable(_prints(docs, shingle, similarity, text, doc_id)).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = durable(prints.groupBy("wide", "n").agg(F.min(order).alias("first"), F.min("few").alias("few")).select(F.xxhash64("wide", "n").alias("node"), "wide", "n", "first", "few"))
     pairs, large = _candidates(nodes, similarity)
     pairs = durable(pairs)
-    key = "hash of the text"
+    key = fresh(docs, "hash of the text")
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
     named = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "node").select("node", F.col("first.doc_id").alias(doc_id), F.col("first.text_hash").alias(key)))
     wanted = without(keyed, named.select(doc_id, key), "left_semi").select(F.col(f"`{doc_id}`").alias(doc_id), key, F.col(f"`{text}`").cast("string").alias("body"))
@@ -245,7 +246,7 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
             made = shingle_sets(b.column(2), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["doc_id", "text_hash", "shingles"])
 
-    held = wanted.select(F.col(doc_id).cast("long"), key, "body").mapInArrow(sets, "doc_id long, text_hash long, shingles array<long>").dropDuplicates(["doc_id", "text_hash"])
+    held = wanted.select(F.col(doc_id).cast("long"), key, "body").mapInArrow(tidy(sets), "doc_id long, text_hash long, shingles array<long>").dropDuplicates(["doc_id", "text_hash"])
     by_node = durable(named.join(held, named[f"`{doc_id}`"].eqNullSafe(held["doc_id"]) & (named[key] == held["text_hash"])).select("node", "shingles"))
 
     def verified(some):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import durable, shared_dir, table
+from gneiss.llm.common import durable, shared_dir, small_batches, table, tidy
 
 STEP = 1 << 16
 #: Of uncompressed record bytes, after which a task begins a new archive.
@@ -129,7 +129,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, payload: str = "html",
             made.append((path, count))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{os.path.basename(m[0])}" for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "records"])
 
-    return durable(told.mapInArrow(put, "path string, records long"))
+    return durable(told.mapInArrow(tidy(put), "path string, records long"))
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def read(archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     spread = archives.select("path").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 2))
-    return spread.mapInArrow(get, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return spread.mapInArrow(tidy(get), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -169,6 +169,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
