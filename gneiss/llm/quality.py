@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import U64, bites, mix, row_slices, table, texts_of, word_hashes
+from gneiss.llm.common import U64, bites, durable, mix, release, row_slices, small_batches, table, texts_of, tidy, word_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 2, 2
 SHAPES = 50
@@ -35,9 +36,9 @@ _PLACE, _SIGN = (_AT % U64(DIM)).astype(np.int64), np.where((_AT >> U64(40)) & U
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
-    """(bucket, shape, first): of every token, and the n + 1 token indexes at which rows begin."""
+    """(hash, shape, first): of every token, and the n + 1 token indexes at which rows begin."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     c = _CLASS[data]
     new = np.ones(len(c), bool)
     new[1:] = c[1:] != c[:-1]
@@ -51,32 +52,46 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     caps = upper[ends] - upper[starts]
     case = np.where(caps == 0, 0, np.where((caps == 1) & _UPPER[data[starts]], 1, np.where(caps * 2 > size, 2, 3)))
     shape = (kind - 1) * 16 + case * 4 + np.minimum(size - 1, 12) // 4
-    bucket = (word_hashes(data, starts, ends) % U64(BUCKETS)).astype(np.int64)
-    return bucket, shape, np.searchsorted(starts, offsets)
+    return word_hashes(data, starts, ends), shape, np.searchsorted(starts, offsets)
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % U64(BUCKETS)).astype(np.int64)
 
 
 def _body(docs: DataFrame, text: str):
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
 
+#: Tables that are added up in one task.
+FAN = 16
+
+
 def add_up(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of the compressed double tables of `size` numbers in the column sums, one a row: in two steps, held one at a time."""
+    """The sum of the compressed double tables of `size` numbers in the column sums, one a row, with a number of its own in the column
+    part. They are added up as a tree, FAN at a time, in order of part, so that no task's share grows with their number."""
 
-    def add(batches):
+    def add(t):
         total = np.zeros(size)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.frombuffer(pa.decompress(x, 8 * size, "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
+        for x in t.sort_by("part").column("sums").to_pylist():
+            total += np.frombuffer(pa.decompress(x, 8 * size, "zstd", asbytes=True))
+        out = pa.table({"part": pa.array([t.column("part")[0].as_py() // FAN], pa.int64()), "sums": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
+        release()
+        return out
 
-    one = parts.repartition(16).mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary").first()
-    return np.frombuffer(pa.decompress(bytes(one[0]), 8 * size, "zstd", asbytes=True))
+    parts = durable(parts)
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts, n = parts.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(add, "part long, sums binary"), -(-n // FAN)
+        if n == 1:
+            one = parts.first()
+            return np.frombuffer(pa.decompress(bytes(one["sums"]), 8 * size, "zstd", asbytes=True)) if one else np.zeros(size)
 
 
 def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
     """(BUCKETS, DIM + 1): the summed index vectors around each bucket's tokens and, last, their number, over all documents.
 
-    Every task sends one table of sums; tables are added up in two steps, one at a time. Only one, of fixed size, goes to the driver.
+    Every task sends one table of sums; tables are added up as a tree. Only one, of fixed size, goes to the driver.
     """
     width = DIM + 1
 
@@ -85,7 +100,8 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
         for b in bites(batches):
             data, offsets = texts_of(b.column(0))
             for i, j in row_slices(offsets):
-                bucket, _, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                hashes, _, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                bucket = bucket_of(hashes)
                 row = np.repeat(np.arange(j - i), np.diff(first))
                 total[DIM::width] += np.bincount(bucket, minlength=BUCKETS)
                 for step in range(1, REACH + 1):
@@ -94,9 +110,9 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
                     for own, other in ((left, right), (right, left)):
                         for k in range(NONZERO):
                             total += np.bincount(own * width + _PLACE[other, k], _SIGN[other, k], BUCKETS * width)
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "sums"])
 
-    parts = docs.select(_body(docs, text)).mapInArrow(count, "sums binary")
+    parts = docs.select(_body(docs, text)).mapInArrow(tidy(count), "part long, sums binary")
     return add_up(parts, BUCKETS * width).reshape(BUCKETS, width)
 
 
@@ -112,7 +128,8 @@ def features(bodies, v: np.ndarray) -> np.ndarray:
     data, offsets = texts_of(bodies)
     out = np.zeros((len(offsets) - 1, DIM + SHAPES + 1), np.float32)
     for i, j in row_slices(offsets):
-        bucket, shape, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hashes, shape, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        bucket = bucket_of(hashes)
         size = np.diff(first)
         row = np.repeat(np.arange(j - i), size)
         full = np.flatnonzero(size)
@@ -185,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "y", "features"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _body(docs, text).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
-    learnt = own.mapInArrow(pool, "doc_id long, y double, features binary").orderBy(F.xxhash64("doc_id"), "y", "features").limit(sample).toArrow()
+    learnt = own.mapInArrow(tidy(pool), "doc_id long, y double, features binary").orderBy(F.xxhash64("doc_id"), "y", "features").limit(sample).toArrow()
     y = np.asarray(learnt.column("y"))
     x = np.frombuffer(b"".join(learnt.column("features").to_pylist()), np.float32).reshape(len(y), DIM + SHAPES + 1).astype(float)
     if len(np.unique(y)) < 2:
@@ -206,10 +223,10 @@ def with_score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     def rate(batches):
         for b in bites(batches):
-            p = judge(features(b.column(at).cast(pa.string()), given.value).astype(float))
+            p = np.round(judge(features(b.column(at).cast(pa.string()), given.value).astype(float)), 12)  # the last digits depend on a row's place
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "score"])
 
-    rated = plain.mapInArrow(rate, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    rated = plain.mapInArrow(tidy(rate), T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
     return rated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("score").alias(name))
 
 
@@ -228,4 +245,5 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
