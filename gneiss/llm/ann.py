@@ -2,7 +2,8 @@
 
 Codebooks span the full dimension and are trained in turn on the residuals of a bounded sample. A vector's codes come from a beam
 search over all codebooks; its norm is stored as the ratio to its decoded vector's. A block of codes is scored for many queries by
-lookup tables of inner products; the best of each block are ranked again by the exact double inner product of the original vectors.
+lookup tables of inner products; a bounded number of rows, those of the best scores, is ranked again by the exact double inner product
+of the original vectors. Blocks are dealt by hash, so each holds its share of any query's neighbours.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.llm.common import durable, table
+from gneiss.llm.common import durable, release, small_batches, table, tidy
 
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are trained on: those of the smallest hashes.
-SAMPLE = 8192
+SAMPLE = 16384
 BLOCK_ROWS = 16384
 QUERY_BATCH = 32768
-#: Of each block, for each query, ranked exactly.
-RERANK = 1600
+#: Of all rows, for each query, ranked exactly; shared() says how many of a block that makes.
+RERANK = 320
 
 
 def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -46,33 +47,48 @@ def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: in
 def encode(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) by beam search for the least error, and the norm of each vector over that of its decoded vector."""
     m, k, dim = books.shape
-    flat = books.reshape(m * k, dim)
-    gram, square = flat @ flat.T, (flat**2).sum(1)
+    square = (books**2).sum(2)
     codes, ratio = np.zeros((len(vectors), m), np.uint8), np.ones(len(vectors), np.float32)
-    for i in range(0, len(vectors), 512):
-        x = vectors[i : i + 512].astype(np.float32)
-        n, dots = len(x), x @ flat.T
-        paths, error = np.zeros((n, 1, 0), np.int64), (x**2).sum(1)[:, None]
-        for j in range(m):
-            own = slice(j * k, (j + 1) * k)
-            cost = error[:, :, None] - 2 * dots[:, None, own] + square[own]
-            for t in range(j):
-                cost += 2 * gram[t * k + paths[:, :, t]][:, :, own]
+    for i in range(0, len(vectors), 256):
+        x = vectors[i : i + 256].astype(np.float32)
+        n, left = len(x), x[:, None, :]
+        paths, error = np.zeros((n, 1, 0), np.uint8), np.zeros((n, 1), np.float32)
+        for j in range(m):  # what each path leaves, less each word of the next book
+            cost = error[:, :, None] + (square[j] - 2 * (left.reshape(-1, dim) @ books[j].T)).reshape(n, -1, k)
             cost = cost.reshape(n, -1)
             best = np.argpartition(cost, min(beam, cost.shape[1]) - 1, axis=1)[:, :beam]
             error = np.take_along_axis(cost, best, 1)
-            paths = np.concatenate([np.take_along_axis(paths, (best // k)[:, :, None], 1), (best % k)[:, :, None]], axis=2)
-        paths = np.take_along_axis(paths, np.argmin(error, 1)[:, None, None], 1)[:, 0]
-        codes[i : i + n] = paths
-        made = np.linalg.norm(flat[paths + np.arange(m) * k].sum(1), axis=1)
+            path, word = best // k, best % k
+            left = np.take_along_axis(left, path[:, :, None], 1) - books[j][word]
+            paths = np.concatenate([np.take_along_axis(paths, path[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
+        last = np.argmin(error, 1)
+        codes[i : i + n] = paths[np.arange(n), last]
+        made = np.linalg.norm(x - left[np.arange(n), last], axis=1)
         ratio[i : i + n] = np.linalg.norm(x, axis=1) / np.where(made > 0, made, 1)
     return codes, ratio
 
 
+def shared(rerank: int, blocks: int, top: int) -> int:
+    """How many of a block's rows are ranked exactly for a query: a block's even share, four deviations of it more, and `top`, so that
+    neither chance nor copies of one vector keep a neighbour out."""
+    share = rerank / blocks
+    return rerank if blocks == 1 else math.ceil(share + 4 * math.sqrt(share)) + top
+
+
+def _few_copies(vectors: np.ndarray, top: int) -> np.ndarray:
+    """Places of the rows without those that have `top` + 1 equal rows before them: these can't be among any query's `top`."""
+    _, kind = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.argsort(kind.ravel(), kind="stable")
+    own = kind.ravel()[order]
+    turn = np.arange(len(own)) - np.searchsorted(own, own)
+    return np.sort(order[turn <= top])
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray, top: int, rerank: int):
     """(query, id, score) of each query's best of a block whose rows are in order of id; equal scores go to smaller ids."""
-    m, k, _ = books.shape
-    wide, out = vectors.astype(np.float64), []
+    keep = _few_copies(vectors, top)
+    ids, vectors, codes, ratio = ids[keep], vectors[keep], codes[keep], ratio[keep]
+    m, out = len(books), []
     want = min(rerank, len(ids))
     for i in range(0, len(queries), 64):
         q = queries[i : i + 64]
@@ -87,7 +103,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ve
             near = np.flatnonzero(row > edge[a])
             near = np.concatenate([near, np.flatnonzero(row == edge[a])[: most - len(near)]])
             near = near[ids[near] != query_ids[i + a]]
-            exact = wide[near] @ q[a].astype(np.float64)
+            exact = vectors[near].astype(np.float64) @ q[a].astype(np.float64)
             order = np.lexsort((ids[near], -exact))[:top]
             out.append((np.full(len(order), query_ids[i + a]), ids[near][order], exact[order]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -113,12 +129,15 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, vector: str = "e
     Null ids and vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part.
     A query's own row, and others of its id, are no candidates; rows of one id are candidates each. With fewer candidates than `top`
     all are returned. Ties go to smaller ids. Other columns don't matter, whatever their names; an empty table gives an empty one.
-    The index is a table of codes in blocks by hash of the id; queries come to it in broadcast batches of bounded size.
+    The index is a table of codes in blocks by hash of the id; queries come to it in broadcast batches of bounded size. Every code is
+    scored for every query: where vectors have no clusters, as here, a coarse partition loses more neighbours than it saves work. With
+    few rows more of them are ranked exactly than the codes leave out.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vector, vec_id)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     book = train(_vectors(sample.column(0)), books)
+    del sample
 
     def index(batches):
         for b in batches:
@@ -126,7 +145,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, vector: str = "e
             codes, ratio = encode(x, book) if len(x) else (np.zeros((0, books), np.uint8), np.zeros(0, np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float32())], ["vec_id", "v", "codes", "ratio"])
 
-    indexed = durable(rows.mapInArrow(index, "vec_id long, v array<double>, codes binary, ratio float"))
+    indexed = durable(rows.mapInArrow(tidy(index), "vec_id long, v array<double>, codes binary, ratio float"))
     blocks = math.ceil(indexed.count() / BLOCK_ROWS) or 1
     indexed = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     asked = rows.where(F.col("vec_id") % every == 0)
@@ -136,7 +155,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, vector: str = "e
         batch = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(turns)) == turn).toArrow()
         given = spark.sparkContext.broadcast((np.asarray(batch.column(0)), _vectors(batch.column(1))))
 
-        part = indexed.groupBy("block").applyInArrow(_looker(given, book, top, rerank), "query_id long, vec_id long, score double")
+        part = indexed.groupBy("block").applyInArrow(_looker(given, book, top, shared(rerank, blocks, top)), "query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
@@ -150,10 +169,13 @@ def _looker(given, book: np.ndarray, top: int, rerank: int):
         query_ids, queries = given.value
         codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         q, i, s = search_block(queries, query_ids, np.asarray(t.column("vec_id")), _vectors(t.column("v")), codes, np.asarray(t.column("ratio")), book, top, rerank)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+        out = pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+        release()
+        return out
 
     return look
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
