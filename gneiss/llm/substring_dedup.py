@@ -4,10 +4,13 @@ Every window of `length` words has an anchor: of its runs of `GRAM` words, the o
 anchors, so a corpus falls into shards by anchor, and only windows whose anchor occurs in two documents can repeat.
 
 1. Documents are dealt to chunks of bounded bytes. A chunk sends its distinct anchors to buckets, as sorted arrays.
-2. A bucket tells each chunk, one bit an anchor, which of them other chunks hold too.
-3. A chunk cuts the word runs around repeated anchors, keeps each distinct one with its smallest doc_id, and sends it to a shard.
+2. A bucket tells each chunk, a bit an anchor, which of them other chunks hold too, and which of them are in HOT_CHUNKS or more.
+3. A chunk cuts the word runs around repeated anchors, keeps each distinct one with its smallest doc_id, and sends it to a shard. The
+   windows of an anchor that is in many chunks, as a line that many documents share may be, go one by one to the shards of their own
+   hashes, so that no shard has to hold all surroundings of such a line.
 4. A shard is the reference: it builds suffix automata of its distinct runs, each state with the smallest doc_id of its
-   occurrences, streams the runs through them, and from the matching statistics gets each window's smallest doc_id.
+   occurrences, streams the runs through them, and from the matching statistics gets each window's smallest doc_id. Where an anchor
+   has one distinct run, as most have, all of it matches, and no automaton is built.
 5. A chunk marks the windows with a smaller doc_id than its document's own; the union of them are the maximal spans to remove.
 
 Automata of a whole corpus have no size bound, so they aren't broadcast to every executor: each stays in the task of its shard and
@@ -21,15 +24,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import U64, grams, row_slices, table, texts_of, word_hashes, words_of
+from gneiss.llm.common import U64, grams, release, row_slices, small_batches, table, texts_of, word_hashes, words_of
 
 GRAM = 5
 CHUNK_BYTES = 8 << 20
 BUCKET_ANCHORS = 300_000
+HOT_CHUNKS = 16
 
 
 class SuffixAutomaton:
@@ -99,9 +104,12 @@ class SuffixAutomaton:
 
 
 def _runs(texts, ids: np.ndarray, known: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The word runs around all anchors: anchor, row, doc, first window (word index in the row), number of windows, byte range."""
+    """The word runs around all anchors: anchor, row, doc, first window (word index in the row), number of windows, byte range, and
+    the place of their first word in the byte ranges of all words of the slices that have windows."""
     data, offsets = texts_of(texts)
     parts: list[tuple] = []
+    spans: list[tuple] = []
+    n_words = 0
     reach = length - GRAM + 1
     for i, j in row_slices(offsets):
         if not known[i:j].any():
@@ -131,10 +139,13 @@ def _runs(texts, ids: np.ndarray, known: np.ndarray, length: int) -> dict[str, n
         head = np.flatnonzero(fresh)
         s1, count = w[head], np.diff(np.append(head, len(w)))
         r = row[s1]
-        parts.append((best[s1], r + i, ids[i:j][r], s1 - first[r], count, starts[s1] + base, ends[s1 + count + length - 2] + base))
-    names = ("anchor", "row", "doc", "window", "count", "start", "end")
-    kinds = (U64, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
-    return {k: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, t) for x, (k, t) in enumerate(zip(names, kinds, strict=True))} | {"data": data, "offsets": offsets}
+        parts.append((best[s1], r + i, ids[i:j][r], s1 - first[r], count, starts[s1] + base, ends[s1 + count + length - 2] + base, s1 + n_words))
+        spans.append((starts + base, ends + base))
+        n_words += len(starts)
+    names = ("anchor", "row", "doc", "window", "count", "start", "end", "word")
+    kinds = (U64, *[np.int64] * 7)
+    out = {k: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, t) for x, (k, t) in enumerate(zip(names, kinds, strict=True))}
+    return out | {"data": data, "spans": [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, np.int64)] * 2}
 
 
 def _ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -152,38 +163,54 @@ def _cut(sorted_buckets: np.ndarray, n: int):
     return [(b, edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges))]
 
 
-def _marked(t: pa.Table, masks: pa.Table, n: int, length: int):
-    """The runs of a chunk whose anchor occurs in two documents, here or, by the masks, in another chunk."""
+def _marked(t: pa.Table, masks: pa.Table, n: int, length: int) -> dict:
+    """The runs of a chunk whose anchor occurs in two documents, here or, by the masks, in another chunk; the windows of hot anchors are
+    runs of their own, with no anchor (`hot`)."""
     ids, known = _ids(t)
     runs = _runs(t.column("text"), ids, known, length)
     anchors = np.unique(runs["anchor"])
+    data, (word_start, word_end) = runs.pop("data"), runs.pop("spans")
     if not len(anchors):
-        return runs, np.zeros(0, np.int64)
+        return runs | {"data": data, "hot": np.zeros(0, bool)}
     order = np.argsort(runs["anchor"], kind="stable")
     head = np.searchsorted(runs["anchor"][order], anchors)
     doc = runs["doc"][order]
-    repeated = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
+    repeated, hot = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), np.zeros(len(anchors), bool)
     edges = np.searchsorted(_bucket(anchors, n), np.arange(n + 1))
     for b, bits in zip(masks.column("bucket").to_pylist(), masks.column("payload").to_pylist(), strict=True):
-        size = edges[b + 1] - edges[b]
-        repeated[edges[b] : edges[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
-    return runs, np.flatnonzero(repeated[np.searchsorted(anchors, runs["anchor"])])
+        size, raw = edges[b + 1] - edges[b], np.frombuffer(bits, np.uint8)
+        repeated[edges[b] : edges[b + 1]] |= np.unpackbits(raw[: len(raw) // 2], count=size).astype(bool)
+        hot[edges[b] : edges[b + 1]] = np.unpackbits(raw[len(raw) // 2 :], count=size)
+    place = np.searchsorted(anchors, runs["anchor"])
+    keep = np.flatnonzero(repeated[place])
+    runs, is_hot = {k: x[keep] for k, x in runs.items()}, hot[place][keep]
+    if is_hot.any():
+        apart, whole = {k: x[is_hot] for k, x in runs.items()}, {k: x[~is_hot] for k, x in runs.items()}
+        count = apart["count"]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        each = {k: np.repeat(x, count) for k, x in apart.items()}
+        word = each["word"] + step
+        each |= {"window": each["window"] + step, "count": np.ones(len(step), np.int64), "start": word_start[word], "end": word_end[word + length - 1], "word": word}
+        runs, is_hot = {k: np.concatenate([x, each[k]]) for k, x in whole.items()}, np.arange(len(whole["row"]) + len(step)) >= len(whole["row"])
+    return runs | {"data": data, "hot": is_hot}
 
 
-def _distinct(runs: dict, keep: np.ndarray, n: int):
-    """{bucket: (texts, anchors, smallest docs, sizes)} of distinct runs, in order of their bytes, and each kept run's (bucket, index)."""
+def _distinct(runs: dict, n: int):
+    """{bucket: (texts, anchors, smallest docs, sizes)} of distinct runs, in order of their bytes, and each run's text."""
     data = runs["data"].tobytes()
-    texts = [b" ".join(data[s:e].split()) for s, e in zip(runs["start"][keep].tolist(), runs["end"][keep].tolist(), strict=True)]
-    where = _bucket(runs["anchor"][keep], n).tolist()
+    texts = [b" ".join(data[s:e].split()) for s, e in zip(runs["start"].tolist(), runs["end"].tolist(), strict=True)]
+    anchors = runs["anchor"].copy()
+    alone = np.flatnonzero(runs["hot"])
+    anchors[alone] = np.fromiter((xxhash.xxh64_intdigest(texts[i], 3) for i in alone.tolist()), U64, len(alone))
     low: dict[int, dict[bytes, list]] = {}
-    for text, b, anchor, doc, count in zip(texts, where, runs["anchor"][keep].tolist(), runs["doc"][keep].tolist(), runs["count"][keep].tolist(), strict=True):
+    for text, b, anchor, doc, count in zip(texts, _bucket(anchors, n).tolist(), anchors.tolist(), runs["doc"].tolist(), runs["count"].tolist(), strict=True):
         at = low.setdefault(b, {})
         had = at.get(text)
         if had is None:
             at[text] = [doc, anchor, count]
         elif doc < had[0]:
             had[0] = doc
-    return {b: [(text, *at[text]) for text in sorted(at)] for b, at in low.items()}, texts, where
+    return {b: [(text, *at[text]) for text in sorted(at)] for b, at in low.items()}, texts
 
 
 def _shard(entries: list[tuple[int, bytes]], length: int):
@@ -227,7 +254,7 @@ def _unpack(payload: bytes):
     return docs.tolist(), anchors.tolist(), text.split(b"\n")
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """docs with the words gone that a window of `length` words covers whose words also start in a document of smaller doc_id.
 
     Words are runs of bytes other than ASCII white space; windows are judged on the input. All columns stay; text holds what is
@@ -260,19 +287,19 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
     def shared(key, t):
         own = [np.frombuffer(x, U64) for x in t.column("payload").to_pylist()]
         u, times = np.unique(np.concatenate(own), return_counts=True)
-        u = u[times > 1]
         bits = []
         for a in own:
-            at = np.searchsorted(u, a)
-            bits.append(np.packbits(u[np.minimum(at, len(u) - 1)] == a if len(u) else np.zeros(len(a), bool)).tobytes())
+            seen = times[np.searchsorted(u, a)]
+            bits.append(np.packbits(seen > 1).tobytes() + np.packbits(seen >= hot_chunks).tobytes())
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(own), pa.int32()), "chunk": t.column("chunk"), "payload": pa.array(bits, pa.binary())})
 
     def cut(key, t, masks):
-        runs, keep = _marked(plain(t), masks, n, length)
-        sent = _distinct(runs, keep, n)[0]
+        sent = _distinct(_marked(plain(t), masks, n, length), n)[0]
+        release()
         return pa.table({"bucket": pa.array(list(sent), pa.int32()), "chunk": pa.array([key[0].as_py()] * len(sent), pa.int32()), "payload": pa.array([_pack(x) for x in sent.values()], pa.binary())})
 
     def judge(key, t):
+        release()
         out = [(c, pa.compress(x.tobytes(), "zstd", asbytes=True)) for c, x in _shard(list(zip(t.column("chunk").to_pylist(), t.column("payload").to_pylist(), strict=True)), length)]
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "chunk": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary()), "is_mask": pa.array([False] * len(out))})
 
@@ -280,8 +307,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
 
     def remove(key, t, told):
         is_mask = told.column("is_mask").combine_chunks()
-        runs, keep = _marked(plain(t), told.filter(is_mask), n, length)
-        sent, texts, where = _distinct(runs, keep, n)
+        runs = _marked(plain(t), told.filter(is_mask), n, length)
+        sent, texts = _distinct(runs, n)
         at: dict[bytes, int] = {}
         low, size = [], 0
         judged = told.filter(pa.compute.invert(is_mask))
@@ -291,11 +318,13 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
                 size += row[3]
             low.append(payload)
         flat = np.concatenate([np.frombuffer(pa.decompress(p, 8 * sum(r[3] for r in sent[b]), "zstd", asbytes=True), np.int64) for b, p in zip(judged.column("bucket").to_pylist(), low, strict=True)]) if low else np.zeros(0, np.int64)
-        count = runs["count"][keep]
+        count = runs["count"]
         begin = np.array([at[x] for x in texts], np.int64)
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        hit = flat[np.repeat(begin, count) + step] < np.repeat(runs["doc"][keep], count)
-        rows, windows = np.repeat(runs["row"][keep], count)[hit], (np.repeat(runs["window"][keep], count) + step)[hit]
+        hit = flat[np.repeat(begin, count) + step] < np.repeat(runs["doc"], count)
+        rows, windows = np.repeat(runs["row"], count)[hit], (np.repeat(runs["window"], count) + step)[hit]
+        del runs, sent, texts, at
+        release()
         return _kept(t, text_at, names, rows, windows, length)
 
     first = dealt.groupBy("chunk").applyInArrow(anchors, "bucket int, chunk int, payload binary")
@@ -350,6 +379,7 @@ def _kept(t: pa.Table, text_at: str, names: list[str], rows: np.ndarray, windows
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
