@@ -1,60 +1,78 @@
 """LM scoring by masked pseudo-likelihood.
 
 Every token is masked in turn and predicted from WINDOW tokens on either side; a document's score is the sum of these conditional
-log-probabilities. Tokens fall into hashed buckets, buckets into classes: the most frequent have one each, the others share classes
-by likeness of their contexts. The network, one tanh layer over position-wise embeddings, predicts the class; a bucket's share of its
-class comes from counts over all documents. The network starts from a small sample and is then trained in every task on windows of
-its own documents, by default all of them; the tasks' networks are averaged by their numbers of windows.
+log-probabilities. The vocabulary is counted over all documents, token by token, and grows with them. The most frequent tokens are
+symbols of their own; the others share RARE symbols by hash, and a token's probability in such a symbol is its share of the symbol's
+count. Symbols are sorted by frequency into CLASSES classes. The network, one tanh layer over the neighbours' embeddings, weighted by
+place, predicts the class, and then the symbol among its class, from the same layer.
+
+Documents are dealt by hash to chunks of bounded bytes, which don't depend on how the input is split. Every chunk trains a copy of the
+network on all of its windows, in order of the documents; the copies are averaged by their numbers of windows. Scores are computed in
+tiles of one size and added up in fixed point, so like texts have like scores wherever they stand.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import U64, bites, mix, row_slices, table, texts_of
-from gneiss.llm.quality import BUCKETS, DIM, add_up, centred, context_sums, tokens
-
-CLASSES, OWN, WINDOW, HIDDEN = 128, 64, 2, 32
-#: Every so many-th window, by hash of its tokens, is trained on: all.
-ONE_IN = 1
-START_DOCS, START_EPOCHS, BATCH, RATE = 400, 3, 256, 0.15
-SLICE = 1 << 18
-
-
-def classes_of(sums: np.ndarray, seed: int = 5) -> np.ndarray:
-    """The class of each bucket: the OWN most frequent buckets have one each, k-means over context vectors deals out the rest."""
-    count, v = sums[:, DIM], centred(sums)
-    order = np.argsort(-count, kind="stable")
-    out = np.zeros(BUCKETS, np.int64)
-    out[order[:OWN]] = np.arange(OWN)
-    rest = order[OWN:]
-    x = v[rest] / (np.linalg.norm(v[rest], axis=1, keepdims=True) + 1e-9)
-    centre = x[np.random.default_rng(seed).integers(0, len(x), CLASSES - OWN)]
-    for _ in range(10):
-        near = np.argmax(x @ centre.T, axis=1)
-        for k in range(len(centre)):
-            if (near == k).any():
-                centre[k] = np.average(x[near == k], axis=0, weights=count[rest][near == k] + 1e-9)
-        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
-    out[rest] = OWN + np.argmax(x @ centre.T, axis=1)
-    return out
+from gneiss.llm.common import U64, durable, release, row_slices, small_batches, table, texts_of
+from gneiss.llm.quality import add_up, tokens
+
+CLASSES, SIZE, WINDOW, HIDDEN = 64, 128, 2, 32
+SYMBOLS, RARE = CLASSES * SIZE, 1024
+FREQUENT = SYMBOLS - RARE
+#: Stands for what lies beyond a document's ends.
+EDGE = SYMBOLS
+BATCH, RATE = 4096, 0.1
+TILE = 4096
+CHUNK_BYTES = 16 << 20
+#: Hashes that a bucket counts.
+BUCKET_TOKENS = 300_000
+SLICE = 1 << 19
+#: Scores are sums of multiples of this.
+STEP = 2.0**-20
+
+
+class Vocabulary:
+    """Symbols of token hashes: frequent tokens by rank, others by hash."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, rare: np.ndarray):
+        """frequent: hashes, the most frequent first, with their counts; rare: the counts of the RARE symbols."""
+        order = np.argsort(frequent)
+        self.hashes, self.rank, self.rare = frequent[order], order, np.maximum(rare, 1)
+        self.counts = np.concatenate([counts, np.zeros(FREQUENT - len(counts), np.int64), rare])
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        out = (FREQUENT + (h % U64(RARE)).astype(np.int64)).astype(np.int32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            own = self.hashes[at] == h
+            out[own] = self.rank[at[own]]
+        return out
 
 
 class Model:
-    """Class CLASSES stands for what lies beyond a document's ends."""
+    """embed: of symbols and the edge; place: the weights of the window's places; then the layers of classes and of their symbols."""
 
-    def __init__(self, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.inputs = rng.normal(0, 0.3, (2 * WINDOW, CLASSES + 1, HIDDEN)).astype(np.float32)
-        self.hidden, self.outputs = np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, (HIDDEN, CLASSES)).astype(np.float32)
-        self.bias = np.zeros(CLASSES, np.float32)
-        self.windows = 0  # that the tasks trained on
+    def __init__(self, counts: np.ndarray | None = None, seed: int = 3):
+        rng, f = np.random.default_rng(seed), np.float32
+        self.embed = rng.normal(0, 0.3, (SYMBOLS + 1, HIDDEN)).astype(f)
+        self.place = (1 + rng.normal(0, 0.3, (2 * WINDOW, HIDDEN))).astype(f)
+        self.hidden = np.zeros(HIDDEN, f)
+        self.top, self.low = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(f), rng.normal(0, 0.1, (CLASSES, HIDDEN, SIZE)).astype(f)
+        seen = np.log(np.maximum(np.zeros(SYMBOLS) if counts is None else counts, 0.1)).reshape(CLASSES, SIZE)
+        most = seen.max(1, keepdims=True)
+        whole = most[:, 0] + np.log(np.exp(seen - most).sum(1))
+        self.top_bias, self.low_bias = (whole - whole.max()).astype(f), (seen - whole[:, None]).astype(f)
+        self._seen: dict[str, np.ndarray] | None = None
 
     def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.hidden, self.outputs, self.bias]
+        return [self.embed, self.place, self.hidden, self.top, self.low, self.top_bias, self.low_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()]).astype(float)
@@ -67,135 +85,242 @@ class Model:
             at += p.size
         return out
 
-    def _layer(self, around: np.ndarray) -> np.ndarray:
-        h = self.inputs[0][around[:, 0]] + self.hidden
+    def layer(self, around: np.ndarray) -> np.ndarray:
+        h = self.embed[around[:, 0]] * self.place[0]
         for k in range(1, 2 * WINDOW):
-            h += self.inputs[k][around[:, k]]
+            h += self.embed[around[:, k]] * self.place[k]
+        h += self.hidden
         return np.tanh(h, out=h)
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
+    def _begin(self) -> None:
+        """What AdaGrad remembers: of embeddings by row, of layers by column."""
+        f = np.float32
+        self._seen = {"embed": np.zeros((SYMBOLS + 1, 1), f), "place": np.zeros_like(self.place), "hidden": np.zeros(HIDDEN, f), "top": np.zeros((1, CLASSES), f), "low": np.zeros((CLASSES, 1, SIZE), f), "top_bias": np.zeros(CLASSES, f), "low_bias": np.zeros((CLASSES, SIZE), f)}
+
+    def _move(self, name: str, at, gradient: np.ndarray, axis: int | None = None) -> None:
+        """A step of AdaGrad, with one rate for what lies along `axis`."""
+        seen = self._seen[name]
+        square = gradient * gradient
+        now = seen[at] + (square if axis is None else np.add.reduce(square, axis, keepdims=True) / square.shape[axis])
+        seen[at] = now
+        now += 1e-8
+        np.sqrt(now, out=now)
+        np.divide(RATE, now, out=now)
+        getattr(self, name)[at] -= gradient * now
+
+    def train(self, around: np.ndarray, target: np.ndarray) -> None:
+        if self._seen is None:
+            self._begin()
         for i in range(0, len(target), BATCH):
             a, t = around[i : i + BATCH], target[i : i + BATCH]
-            h = self._layer(a)
-            z = h @ self.outputs + self.bias
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(t)), t] -= 1
-            z *= rate / BATCH
-            back = z @ self.outputs.T * (1 - h * h)
-            self.outputs -= h.T @ z
-            self.bias -= z.sum(0)
-            self.hidden -= back.sum(0)
+            n = len(t)
+            order = np.argsort(t // SIZE, kind="stable")
+            a, t = a[order], t[order]
+            kind = t // SIZE
+            h = self.layer(a)
+            z = _softmax(h @ self.top + self.top_bias)
+            z[np.arange(n), kind] -= 1
+            back = z @ self.top.T
+            self._move("top", slice(None), h.T @ z, 0)
+            self._move("top_bias", slice(None), z.sum(0))
+            heads = np.flatnonzero(np.diff(kind, prepend=-1))
+            for s, e in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):
+                c, own = kind[s], h[s:e]
+                z = _softmax(own @ self.low[c] + self.low_bias[c])
+                z[np.arange(e - s), t[s:e] % SIZE] -= 1
+                back[s:e] += z @ self.low[c].T
+                self._move("low", c, own.T @ z, 0)
+                self._move("low_bias", c, z.sum(0))
+            back *= 1 - h * h
+            self._move("hidden", slice(None), back.sum(0))
+            turn, where = np.zeros((2 * WINDOW, HIDDEN), np.float32), a.T.ravel()
+            moves = np.empty((2 * WINDOW, n, HIDDEN), np.float32)
             for k in range(2 * WINDOW):
-                np.subtract.at(self.inputs[k], a[:, k], back * 8)  # embeddings are met seldom
+                turn[k] = (back * self.embed[a[:, k]]).sum(0)
+                np.multiply(back, self.place[k], out=moves[k])
+            order = np.argsort(where, kind="stable")
+            heads = np.flatnonzero(np.diff(where[order], prepend=-1))
+            self._move("embed", where[order][heads], np.add.reduceat(moves.reshape(-1, HIDDEN)[order], heads, axis=0), 1)
+            self._move("place", slice(None), turn)
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of each target symbol, in tiles of TILE rows and, in a class, of multiples of 16, so that no value depends on its place."""
         out = np.zeros(len(target))
-        for i in range(0, len(target), 8192):
-            a, t = around[i : i + 8192], target[i : i + 8192]
-            z = self._layer(a) @ self.outputs
-            z += self.bias
-            own = z[np.arange(len(t)), t]
-            top = z.max(1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[i : i + 8192] = own - top - np.log(z.sum(1))
+        for i in range(0, len(target), TILE):
+            t = target[i : i + TILE]
+            a = np.full((TILE, 2 * WINDOW), EDGE, np.int32)
+            a[: len(t)] = around[i : i + TILE]
+            h = self.layer(a)
+            kind = t // SIZE
+            own = _log_share(h @ self.top + self.top_bias, len(t), kind)
+            order = np.argsort(kind, kind="stable")
+            heads = np.flatnonzero(np.diff(kind[order], prepend=-1))
+            for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(t)], strict=True):
+                at, c = order[s:e], kind[order[s]]
+                rows = np.zeros((-(-(e - s) // 16) * 16, HIDDEN), np.float32)
+                rows[: e - s] = h[at]
+                own[at] += _log_share(rows @ self.low[c] + self.low_bias[c], e - s, t[at] % SIZE)
+            out[i : i + TILE] = own
         return out
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
-    """(bucket, around, target, first): of every token; around has the classes at its sides, target its own."""
-    bucket, _, first = tokens(data, offsets)
-    target = kind[bucket]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    around = np.full((len(bucket), 2 * WINDOW), CLASSES, np.int64)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_share(z: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the first n rows' softmax at one column each."""
+    z = z[:n]
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(n), at].astype(np.float64)
+    return own - np.log(np.exp(z).sum(1, dtype=np.float64))
+
+
+def windows(symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbols around every token of rows that begin at `first`: WINDOW to the left, nearest last, and WINDOW to the right."""
+    around = np.full((len(symbol), 2 * WINDOW), EDGE, np.int32)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for step in range(1, WINDOW + 1):
         same = row[step:] == row[:-step]
-        around[step:, WINDOW - step][same] = target[:-step][same]
-        around[:-step, WINDOW + step - 1][same] = target[step:][same]
-    return bucket, around, target, first
-
-
-def _picked(bucket: np.ndarray, around: np.ndarray, one_in: int) -> np.ndarray:
-    if one_in == 1:
-        return np.arange(len(bucket))
-    key = bucket.astype(U64)
-    for k in range(around.shape[1]):
-        key = key * U64(1000003) + around[:, k].astype(U64)
-    return np.flatnonzero(mix(key + np.arange(len(key), dtype=U64)) % U64(one_in) == 0)
-
-
-def fit(docs: DataFrame, text: str, one_in: int):
-    """(class of each bucket, log share of each bucket in its class, model)."""
-    sums = context_sums(docs, text)
-    kind, count = classes_of(sums), sums[:, DIM]
-    whole = np.bincount(kind, count + 1, CLASSES)
-    share = np.log((count + 1) / whole[kind])
-    body = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    model = Model()
-    with np.errstate(divide="ignore"):
-        model.bias[:] = np.log(np.maximum(np.bincount(kind, count, CLASSES), 1) / max(1, count.sum()))
-    # a start that all tasks share, of documents of bounded number and length
-    first = body.where(F.octet_length("text").between(1, 20_000)).orderBy(F.xxhash64("text"), "text").limit(START_DOCS).toArrow()
-    data, offsets = texts_of(first.column(0))
-    _, around, target, _ = windows(data, offsets, kind)
-    rng = np.random.default_rng(1)
-    for _ in range(START_EPOCHS):
-        order = rng.permutation(len(target))
-        model.train(around[order], target[order], RATE)
-    start = model.flat()
-    given = docs.sparkSession.sparkContext.broadcast((start, kind))
-
-    def train(batches):
-        begin, kinds = given.value
-        own, seen = Model.of(begin), 0
-        for b in bites(batches):
-            raw, off = texts_of(b.column(0))
-            for i, j in row_slices(off, SLICE):
-                bucket, at, t, _ = windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], kinds)
-                picked = _picked(bucket, at, one_in)
-                own.train(at[picked], t[picked], RATE / 2)
-                seen += len(picked)
+        around[step:, WINDOW - step][same] = symbol[:-step][same]
+        around[:-step, WINDOW + step - 1][same] = symbol[step:][same]
+    return around
+
+
+def _hashes(texts):
+    """(first row, hashes, first) of the slices of a column of texts."""
+    data, offsets = texts_of(texts)
+    for i, j in row_slices(offsets, SLICE):
+        h, _, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, h, first
+
+
+def _counted(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct token hashes of a column of texts, in order, and how often each occurs."""
+    found = [np.unique(h, return_counts=True) for _, h, _ in _hashes(texts)]
+    h, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+    return summed(h, n)
+
+
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, in order, with the sums of their numbers."""
+    order = np.argsort(h, kind="stable")
+    heads = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]) != 0)
+    return h[order][heads], np.add.reduceat(n[order], heads) if len(h) else n
+
+
+def _edges(h: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets, of even ranges of hashes, begins among hashes in order."""
+    return np.searchsorted((h >> U64(32)) * U64(n) >> U64(32), np.arange(n + 1))
+
+
+class Corpus:
+    """Documents dealt to chunks, and their counted vocabulary."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = BUCKET_TOKENS):
+        body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+        own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
+        total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        chunks, self.buckets = math.ceil(total / chunk_bytes) or 1, math.ceil(total / 60 / bucket_tokens) or 1
+        n = self.buckets
+        spread = F.xxhash64(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.col("doc_id")))
+        self.dealt = own.withColumn("chunk", F.pmod(spread, F.lit(chunks)).cast("int"))
+
+        def send(key, t):
+            h, count = _counted(t.column("text"))
+            edges = _edges(h, n)
+            held = np.flatnonzero(np.diff(edges))
+            out = pa.table({"bucket": pa.array(held, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(held), pa.int32()), "payload": pa.array([h[edges[b] : edges[b + 1]].tobytes() + count[edges[b] : edges[b + 1]].tobytes() for b in held], pa.binary())})
+            release()
+            return out
+
+        def count(key, t):
+            own = [np.frombuffer(x, U64).reshape(2, -1) for x in t.column("payload").to_pylist()]
+            h, times = summed(np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(np.int64))
+            back = [times[np.searchsorted(h, x[0])].tobytes() for x in own]
+            most = np.lexsort((h, -times))[:FREQUENT]
+            rare = np.bincount((h % U64(RARE)).astype(np.int64), times, RARE).astype(np.int64)
+            rows = len(own)
+            return pa.table({
+                "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int32()), "chunk": pa.concat_arrays([t.column("chunk").combine_chunks(), pa.array([None], pa.int32())]), "payload": pa.array([*back, None], pa.binary()),
+                "token": pa.array([*[None] * rows, h[most].view(np.int64)], pa.list_(pa.int64())), "times": pa.array([*[None] * rows, times[most]], pa.list_(pa.int64())), "rare": pa.array([*[None] * rows, rare], pa.list_(pa.int64())),
+            })
+
+        sent = self.dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, payload binary")
+        told = durable(sent.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, payload binary, token array<long>, times array<long>, rare array<long>"))
+        self.told = told.where("chunk is not null").select("chunk", "bucket", "payload")
+        ends = told.where("chunk is null")
+        each = ends.select(F.explode(F.arrays_zip("token", "times")).alias("x")).select("x.token", "x.times").orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+        rare = np.zeros(RARE, np.int64)
+        for r in ends.select(F.posexplode("rare").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # RARE rows
+            rare[r["at"]] = r["n"]
+        frequent, counts = np.asarray(each.column(0)).view(U64), np.asarray(each.column(1))
+        np.subtract.at(rare, (frequent % U64(RARE)).astype(np.int64), counts)
+        self.vocabulary = Vocabulary(frequent, counts, rare)
+
+
+def fit(corpus: Corpus) -> tuple[Model, int]:
+    """(model, number of windows that it was trained on)."""
+    words = corpus.vocabulary
+    given = corpus.dealt.sparkSession.sparkContext.broadcast(words)
+    size = len(Model().flat())
+
+    def train(key, t):
+        t, words, seen = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]), given.value, 0
+        own = Model(words.counts)
+        for _, h, first in _hashes(t.column("text")):
+            symbol = words.symbols(h)
+            own.train(windows(symbol, first), symbol)
+            seen += len(symbol)
         sums = np.append(own.flat() * seen, seen)
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(sums.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
+        out = pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([pa.compress(sums.tobytes(), "zstd", asbytes=True)], pa.binary())})
+        release()
+        return out
 
-    total = add_up(body.mapInArrow(train, "sums binary"), len(start) + 1)
-    model = Model.of(total[:-1] / total[-1] if total[-1] else start)
-    model.windows = int(total[-1])
-    return kind, share, model
+    total = add_up(corpus.dealt.groupBy("chunk").applyInArrow(train, "part long, sums binary"), size + 1)
+    return (Model.of(total[:-1] / total[-1]) if total[-1] else Model(words.counts)), int(total[-1])
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row: natural logarithms, summed over all masked tokens.
 
     Null and empty texts, and those of white space, have no tokens, a sum of 0 and a null mean. Rows of one doc_id, or of a null one,
     get a row each; like texts have like scores. Texts are read whole, in slices of rows. Other columns don't matter, whatever their
-    names; an empty table gives an empty one. Each task sends one table of counts and one network, so what is gathered grows with the
-    input, while what any one process holds doesn't.
+    names; an empty table gives an empty one. What is gathered grows with the input: all distinct tokens of every chunk are counted,
+    and every chunk sends a network; what any one process holds doesn't.
     """
-    kind, share, model = fit(docs, text, one_in)
-    given = docs.sparkSession.sparkContext.broadcast((kind, share, model.flat()))
-
-    def rate(batches):
-        kinds, shares, flat = given.value
-        own = Model.of(flat)
-        for b in bites(batches):
-            raw, off = texts_of(b.column(1))
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for i, j in row_slices(off, SLICE):
-                bucket, around, target, first = windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], kinds)
-                n[i:j] = np.diff(first)
-                each = own.log_probability(around, target) + shares[bucket]
-                full = np.flatnonzero(n[i:j])
-                if len(full):
-                    total[i + full] = np.add.reduceat(each, first[full])
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string"))
-    return rows.mapInArrow(rate, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    corpus = Corpus(docs, text, doc_id, chunk_bytes, bucket_tokens)
+    model, _ = fit(corpus)
+    given = docs.sparkSession.sparkContext.broadcast((corpus.vocabulary, [p.copy() for p in model.parts()]))
+    n_buckets = corpus.buckets
+
+    def rate(key, t, told):
+        words, parts = given.value
+        own = Model()
+        own.embed, own.place, own.hidden, own.top, own.low, own.top_bias, own.low_bias = parts
+        h, _ = _counted(t.column("text"))
+        edges, times = _edges(h, n_buckets), np.ones(len(h), np.int64)
+        for b, x in zip(told.column("bucket").to_pylist(), told.column("payload").to_pylist(), strict=True):
+            times[edges[b] : edges[b + 1]] = np.frombuffer(x, np.int64)
+        n, total = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
+        for i, hashes, first in _hashes(t.column("text")):
+            symbol = words.symbols(hashes)
+            each = own.log_probability(windows(symbol, first), symbol)
+            rare = np.flatnonzero(symbol >= FREQUENT)
+            each[rare] += np.log(times[np.searchsorted(h, hashes[rare])] / words.rare[symbol[rare] - FREQUENT])
+            whole = np.append(0, np.cumsum(np.rint(each / STEP).astype(np.int64)))
+            n[i : i + len(first) - 1], total[i : i + len(first) - 1] = np.diff(first), whole[first[1:]] - whole[first[:-1]]
+        mean = pa.array(total * STEP / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        out = pa.table({"doc_id": t.column("doc_id"), "n_tokens": pa.array(n), "log_likelihood": pa.array(total * STEP), "mean_log_likelihood": mean})
+        release()
+        return out
+
+    return corpus.dealt.groupBy("chunk").cogroup(corpus.told.groupBy("chunk")).applyInArrow(rate, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
