@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import U64, durable, release, row_slices, small_batches, table, texts_of
 from gneiss.llm.quality import add_up, tokens
 
-CLASSES, SIZE, WINDOW, HIDDEN = 64, 128, 2, 32
-SYMBOLS, RARE = CLASSES * SIZE, 1024
+CLASSES, SIZE, WINDOW, HIDDEN = 32, 64, 2, 24
+SYMBOLS, RARE = CLASSES * SIZE, 512
 FREQUENT = SYMBOLS - RARE
 #: Stands for what lies beyond a document's ends.
 EDGE = SYMBOLS
-BATCH, RATE = 4096, 0.1
-TILE = 4096
+BATCH, RATE = 8192, 0.1
+TILE = 8192
+PLACE_BITS = 16
 CHUNK_BYTES = 16 << 20
 #: Hashes that a bucket counts.
 BUCKET_TOKENS = 300_000
@@ -43,16 +44,33 @@ class Vocabulary:
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, rare: np.ndarray):
         """frequent: hashes, the most frequent first, with their counts; rare: the counts of the RARE symbols."""
-        order = np.argsort(frequent)
-        self.hashes, self.rank, self.rare = frequent[order], order, np.maximum(rare, 1)
+        self.hashes, self.rare = frequent, np.maximum(rare, 1)
         self.counts = np.concatenate([counts, np.zeros(FREQUENT - len(counts), np.int64), rare])
+        # a table by the first bits of the hash; of tokens that share a place the more frequent has it, the others are looked for
+        place = (frequent >> U64(64 - PLACE_BITS)).astype(np.int64)
+        self.table = np.full(1 << PLACE_BITS, -1, np.int32)
+        self.table[place[::-1]] = np.arange(len(frequent), dtype=np.int32)[::-1]
+        second = np.flatnonzero(self.table[place] != np.arange(len(frequent)))
+        self.second = second[np.argsort(frequent[second])].astype(np.int32)
+        self.crowded = np.zeros(1 << PLACE_BITS, bool)
+        self.crowded[place[second]] = True
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        out = (FREQUENT + (h % U64(RARE)).astype(np.int64)).astype(np.int32)
+        place = (h >> U64(64 - PLACE_BITS)).astype(np.int32)
+        out = self.table[place]
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            own = self.hashes[at] == h
-            out[own] = self.rank[at[own]]
+            own = self.hashes[out] == h  # place -1 is the last token's, which has another hash or is it
+        else:
+            own = np.zeros(len(h), bool)
+        if len(self.second):
+            more = np.flatnonzero(self.crowded[place] & ~own)
+            keys = self.hashes[self.second]
+            at = np.minimum(np.searchsorted(keys, h[more]), len(keys) - 1)
+            hit = keys[at] == h[more]
+            out[more[hit]] = self.second[at[hit]]
+            own[more[hit]] = True
+        rest = np.flatnonzero(~own)
+        out[rest] = FREQUENT + (h[rest] % U64(RARE)).astype(np.int32)
         return out
 
 
@@ -86,9 +104,9 @@ class Model:
         return out
 
     def layer(self, around: np.ndarray) -> np.ndarray:
-        h = self.embed[around[:, 0]] * self.place[0]
+        h = np.take(self.embed, around[:, 0], 0) * self.place[0]
         for k in range(1, 2 * WINDOW):
-            h += self.embed[around[:, k]] * self.place[k]
+            h += np.take(self.embed, around[:, k], 0) * self.place[k]
         h += self.hidden
         return np.tanh(h, out=h)
 
@@ -114,15 +132,15 @@ class Model:
         for i in range(0, len(target), BATCH):
             a, t = around[i : i + BATCH], target[i : i + BATCH]
             n = len(t)
-            order = np.argsort(t // SIZE, kind="stable")
-            a, t = a[order], t[order]
-            kind = t // SIZE
+            kind = (t // SIZE).astype(np.int16)
+            order = np.argsort(kind, kind="stable")
+            a, t, kind = np.take(a, order, 0), t[order], kind[order]
             h = self.layer(a)
             z = _softmax(h @ self.top + self.top_bias)
             z[np.arange(n), kind] -= 1
             back = z @ self.top.T
             self._move("top", slice(None), h.T @ z, 0)
-            self._move("top_bias", slice(None), z.sum(0))
+            self._move("top_bias", slice(None), np.ones(n, np.float32) @ z)
             heads = np.flatnonzero(np.diff(kind, prepend=-1))
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):
                 c, own = kind[s], h[s:e]
@@ -130,17 +148,18 @@ class Model:
                 z[np.arange(e - s), t[s:e] % SIZE] -= 1
                 back[s:e] += z @ self.low[c].T
                 self._move("low", c, own.T @ z, 0)
-                self._move("low_bias", c, z.sum(0))
+                self._move("low_bias", c, np.ones(e - s, np.float32) @ z)
             back *= 1 - h * h
             self._move("hidden", slice(None), back.sum(0))
             turn, where = np.zeros((2 * WINDOW, HIDDEN), np.float32), a.T.ravel()
             moves = np.empty((2 * WINDOW, n, HIDDEN), np.float32)
             for k in range(2 * WINDOW):
-                turn[k] = (back * self.embed[a[:, k]]).sum(0)
+                turn[k] = np.einsum("nh,nh->h", back, np.take(self.embed, a[:, k], 0))
                 np.multiply(back, self.place[k], out=moves[k])
-            order = np.argsort(where, kind="stable")
-            heads = np.flatnonzero(np.diff(where[order], prepend=-1))
-            self._move("embed", where[order][heads], np.add.reduceat(moves.reshape(-1, HIDDEN)[order], heads, axis=0), 1)
+            order = np.argsort(where.astype(np.int16), kind="stable")  # symbols fit, and 16 bits sort fast
+            where = where[order]
+            heads = np.flatnonzero(np.diff(where, prepend=-1))
+            self._move("embed", where[heads], np.add.reduceat(np.take(moves.reshape(-1, HIDDEN), order, 0), heads, axis=0), 1)
             self._move("place", slice(None), turn)
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -151,7 +170,7 @@ class Model:
             a = np.full((TILE, 2 * WINDOW), EDGE, np.int32)
             a[: len(t)] = around[i : i + TILE]
             h = self.layer(a)
-            kind = t // SIZE
+            kind = (t // SIZE).astype(np.int16)
             own = _log_share(h @ self.top + self.top_bias, len(t), kind)
             order = np.argsort(kind, kind="stable")
             heads = np.flatnonzero(np.diff(kind[order], prepend=-1))
@@ -165,9 +184,10 @@ class Model:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """Of training: logits begin at logarithms of shares, and what could leave the range of exp() is held back."""
+    np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], np.float32) + 1e-30))[:, None]
     return z
 
 
@@ -176,7 +196,8 @@ def _log_share(z: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     z = z[:n]
     z -= z.max(1, keepdims=True)
     own = z[np.arange(n), at].astype(np.float64)
-    return own - np.log(np.exp(z).sum(1, dtype=np.float64))
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
 
 
 def windows(symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -241,7 +262,7 @@ class Corpus:
             own = [np.frombuffer(x, U64).reshape(2, -1) for x in t.column("payload").to_pylist()]
             h, times = summed(np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(np.int64))
             back = [times[np.searchsorted(h, x[0])].tobytes() for x in own]
-            most = np.lexsort((h, -times))[:FREQUENT]
+            most = np.lexsort((h.view(np.int64), -times))[:FREQUENT]
             rare = np.bincount((h % U64(RARE)).astype(np.int64), times, RARE).astype(np.int64)
             rows = len(own)
             return pa.table({
