@@ -27,7 +27,7 @@ SHORT = 16
 #: Shingles whose bits are laid out at once.
 SLICE = 4080
 #: Near pairs a row up to which all of a part's are verified at once.
-SMALL = 32
+SMALL = 8
 #: Rows of parts that are compared many parts at a time.
 FEW = 32
 _SEEDS = mix(np.arange(501, 501 + TABLES * KEY_BITS // 64, dtype=U64))
