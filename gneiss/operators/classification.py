@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.operators.ranks import bucket, running
+from gneiss.operators.ranks import bucket, places_within, running
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -34,39 +36,56 @@ def null_log_likelihood(df: DataFrame, label: str) -> DataFrame:
 
 
 def logistic(df: DataFrame, features: list[str], label: str, rounds: int = 25, ridge: float = 1e-8) -> tuple[np.ndarray, float]:
-    """(coefficients with the intercept first, log-likelihood) by Newton steps; each is one aggregation of p² sums."""
-    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    b, ll = np.zeros(len(columns)), 0.0
+    """(coefficients with the intercept first, log-likelihood) by Newton steps; each is one aggregation of p² sums. Rows with nulls don't
+    count. Features count in standard deviations from their means inside. A step that lowers the likelihood is halved; where no step
+    gets small, as with classes that the features part wholly, a warning says so."""
+    own = df.dropna(subset=[*features, label])
+    stats = own.agg(*[f(F.col(c).cast("double")) for c in features for f in (F.avg, F.stddev_pop)]).first()
+    mean, scale = np.array(stats[0::2], float), np.array([v or 1.0 for v in stats[1::2]], float)
+    columns = [F.lit(1.0), *[(F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(d)) for f, m, d in zip(features, mean, scale, strict=True)]]
+    b, step, ll, last, done = np.zeros(len(columns)), np.zeros(len(columns)), -np.inf, -np.inf, False
     for _ in range(rounds):
         z = sum((c * float(w) for c, w in zip(columns[1:], b[1:], strict=True)), F.lit(float(b[0])))
         p, y = 1 / (1 + F.exp(-z)), F.col(label).cast("double")
-        sums = [F.sum(y * z - F.log1p(F.exp(z)))] + [F.sum(c * (y - p)) for c in columns] + [F.sum(columns[i] * columns[j] * p * (1 - p)) for i in range(len(columns)) for j in range(i, len(columns))]
-        row = list(df.agg(*sums).first())
+        sums = [F.sum(y * z - F.greatest(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z))))] + [F.sum(c * (y - p)) for c in columns] + [F.sum(columns[i] * columns[j] * p * (1 - p)) for i in range(len(columns)) for j in range(i, len(columns))]
+        row = list(own.agg(*sums).first())
+        if row[0] is None or row[0] < last - 1e-9 * abs(last):
+            step = step / 2
+            b = b - step
+            continue
         ll, g, h, at = row[0], np.array(row[1 : len(columns) + 1], float), np.zeros((len(columns), len(columns))), len(columns) + 1
+        last = ll
+        if done:
+            break
         for i in range(len(columns)):
             for j in range(i, len(columns)):
                 h[i, j] = h[j, i] = row[at]
                 at += 1
         step = np.linalg.solve(h + ridge * np.eye(len(h)), g)
+        size = np.abs(step).max()
+        step *= min(1.0, 5.0 / max(size, 1e-300))
         b = b + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return b, float(ll)
+        done = size < 1e-9
+    else:
+        warnings.warn(f"no convergence after {rounds} rounds: the features may part the classes wholly", RuntimeWarning, stacklevel=2)
+    slopes = b[1:] / scale
+    return np.append(b[0] - slopes @ mean, slopes), float(ll)
 
 
 def mcfadden(df: DataFrame, features: list[str], label: str) -> float:
-    return 1 - logistic(df, features, label)[1] / null_log_likelihood(df, label).first()["ll0"]
+    own = df.dropna(subset=[*features, label])
+    return 1 - logistic(own, features, label)[1] / null_log_likelihood(own, label).first()["ll0"]
 
 
-def stratified_folds(df: DataFrame, label: str, key: list[str], k: int) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: list[str], k: int, seed: int | None = None) -> DataFrame:
     """Adds fold: rows of each class are dealt out in order of a hash of the key."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*key), *key))
-    return df.withColumn("fold", (place - 1) % k)
+    h = F.xxhash64(*key) if seed is None else F.xxhash64(*key, F.lit(seed))
+    return places_within(df, [label], [h, *key], "fold").withColumn("fold", (F.col("fold") - 1) % k)
 
 
 def folds_in_order(df: DataFrame, label: str, key: list[str], k: int) -> DataFrame:
     """As stratified_folds in order of the key itself."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*key)) - 1) % k)
+    return places_within(df, [label], list(key), "fold").withColumn("fold", (F.col("fold") - 1) % k)
 
 
 def best_threshold(df: DataFrame, feature: str, positive: str, thresholds: list[float]) -> DataFrame:
@@ -103,22 +122,89 @@ def log_likelihood(df: DataFrame, probability: str) -> DataFrame:
     return df.agg(F.sum(F.log(F.greatest(F.col(probability), F.lit(1e-15)))).alias("ll"))
 
 
-def ordinal_logistic(df: DataFrame, feature: str, label: str, levels: int, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """(cut points, slope) of a proportional-odds model of one standardised feature, by gradient steps on counts of (value, level)."""
-    rows = df.groupBy(feature, label).count().collect()  # distinct values of the feature: bin it first
-    x = np.array([float(r[0]) for r in rows])
-    y, n = np.array([int(r[1]) for r in rows]), np.array([r[2] for r in rows], float)
-    scale = x.std() or 1
-    z, cuts, slope = (x - x.mean()) / scale, np.linspace(-1, 1, levels - 1), 0.0
-    s = lambda t: 1 / (1 + np.exp(-t))
+def ordinal_fit(df: DataFrame, features: list[str], label: str, levels: int, rounds: int = 30) -> dict:
+    """A proportional-odds model of levels 0 to `levels` - 1: (cuts, slopes, ll, converged), by Newton steps.
+
+    A round is one aggregation by level: all derivatives are sums over a level's rows of products of the features, so only `levels` rows
+    of p² sums leave Spark. Features count in standard deviations from their means inside. Rows with nulls don't count; a level without
+    rows is an error, as it has no cut."""
+    own = df.dropna(subset=[*features, label])
+    stats = own.agg(*[f(F.col(c).cast("double")) for c in features for f in (F.avg, F.stddev_pop)]).first()
+    mean, scale = np.array(stats[0::2], float), np.array([v or 1.0 for v in stats[1::2]], float)
+    x = [(F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(d)) for f, m, d in zip(features, mean, scale, strict=True)]
+    k, m = len(x), levels - 1
+    shares = {int(r[0]): r[1] for r in own.groupBy(F.col(label).cast("int")).count().collect()}
+    if sorted(shares) != list(range(levels)):
+        raise ValueError(f"levels must be 0 to {levels - 1}, each with rows; there are {sorted(shares)}")
+    below = np.cumsum([shares[i] for i in range(levels)])[:-1] / sum(shares.values())
+    at = np.concatenate([np.log(below / (1 - below)), np.zeros(k)])
+    step, last, ll, converged = np.zeros(m + k), -np.inf, -np.inf, False
     for _ in range(rounds):
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        up, low = s(edge[y + 1] - slope * z), s(edge[y] - slope * z)
-        p = np.maximum(up - low, 1e-12)
-        du, dl = up * (1 - up) / p * n, low * (1 - low) / p * n
-        g = np.zeros(levels + 1)
-        np.add.at(g, y + 1, du)
-        np.add.at(g, y, -dl)
-        cuts = np.sort(cuts + rate * g[1:-1] / n.sum())
-        slope += rate * float((-(du - dl) * z).sum()) / n.sum()
-    return cuts * scale + slope * x.mean(), slope / scale
+        if (np.diff(at[:m]) <= 0).any():
+            step = step / 2
+            at = at - step
+            continue
+        z = sum((c * float(w) for c, w in zip(x, at[m:], strict=True)), F.lit(0.0))
+        level = F.col(label).cast("int")
+        cut = lambda shift: F.element_at(F.array(*[F.lit(float(c)) for c in (-1e300, *at[:m], 1e300)]), level + shift)  # noqa: E731, B023
+        s = lambda t: 1 / (1 + F.exp(-t))
+        rows = own.select(level.alias("level"), *[c.alias(f"x{i}") for i, c in enumerate(x)], s(cut(2) - z).alias("u"), s(cut(1) - z).alias("l"))
+        rows = rows.withColumn("p", F.greatest(F.col("u") - F.col("l"), F.lit(1e-300))).withColumn("f", F.col("u") * (1 - F.col("u"))).withColumn("g", F.col("l") * (1 - F.col("l")))
+        p, f, g = F.col("p"), F.col("f"), F.col("g")
+        da, db = f / p, -g / p
+        haa, hbb, hab = f * (1 - 2 * F.col("u")) / p - da * da, -g * (1 - 2 * F.col("l")) / p - db * db, -da * db
+        v = [F.col(f"x{i}") for i in range(k)]
+        sums = [F.sum(F.log(p)), F.sum(da), F.sum(db), F.sum(haa), F.sum(hbb), F.sum(hab), *[F.sum((da + db) * c) for c in v], *[F.sum((haa + hab) * c) for c in v], *[F.sum((hbb + hab) * c) for c in v], *[F.sum((haa + 2 * hab + hbb) * v[i] * v[j]) for i in range(k) for j in range(i, k)]]
+        told = {r[0]: list(r)[1:] for r in rows.groupBy("level").agg(*sums).collect()}
+        ll = sum(r[0] for r in told.values())
+        if not ll >= last - 1e-9 * abs(last):
+            step = step / 2
+            at = at - step
+            continue
+        last = ll
+        if converged:
+            break
+        grad, h = np.zeros(m + k), np.zeros((m + k, m + k))
+        for j, r in told.items():
+            a, b = (j if j < m else None), (j - 1 if j > 0 else None)
+            for place, d, own_h, cross in ((a, r[1], r[3], r[6 + k : 6 + 2 * k]), (b, r[2], r[4], r[6 + 2 * k : 6 + 3 * k])):
+                if place is not None:
+                    grad[place] += d
+                    h[place, place] += own_h
+                    h[place, m:] -= cross
+                    h[m:, place] -= cross
+            if a is not None and b is not None:
+                h[a, b] += r[5]
+                h[b, a] += r[5]
+            grad[m:] -= r[6 : 6 + k]
+            i = 6 + 3 * k
+            for p_ in range(k):
+                for q_ in range(p_, k):
+                    h[m + p_, m + q_] += r[i]
+                    if p_ != q_:
+                        h[m + q_, m + p_] += r[i]
+                    i += 1
+        step = np.linalg.solve(-h + 1e-9 * np.eye(m + k), grad)
+        size = np.abs(step).max()
+        step *= min(1.0, 5.0 / max(size, 1e-300))
+        at, converged = at + step, size < 1e-8
+    if not converged:
+        warnings.warn(f"no convergence after {rounds} rounds", RuntimeWarning, stacklevel=2)
+    slopes = at[m:] / scale
+    return {"features": list(features), "cuts": at[:m] + slopes @ mean, "slopes": slopes, "ll": float(ll), "converged": converged}
+
+
+def ordinal_predict(df: DataFrame, model: dict, name: str = "level") -> DataFrame:
+    """Adds probability_0, probability_1, ... and the likeliest level, the lower one on ties, as Column expressions."""
+    z = sum((F.col(f).cast("double") * float(w) for f, w in zip(model["features"], model["slopes"], strict=True)), F.lit(0.0))
+    up = [*[1 / (1 + F.exp(-(F.lit(float(c)) - z))) for c in model["cuts"]], F.lit(1.0)]
+    parts = [up[0], *[b - a for a, b in zip(up, up[1:], strict=False)]]
+    out = df.withColumns({f"probability_{i}": p for i, p in enumerate(parts)})
+    each = F.array(*[F.col(f"probability_{i}") for i in range(len(parts))])
+    return out.withColumn(name, (F.array_position(each, F.array_max(each)) - 1).cast("int"))
+
+
+def ordinal_logistic(df: DataFrame, feature: str, label: str, levels: int) -> tuple[np.ndarray, float]:
+    """(cut points, slope) of a proportional-odds model of one feature."""
+    m = ordinal_fit(df, [feature], label, levels)
+    return m["cuts"], float(m["slopes"][0])

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gneiss.functions.distributions import chi2_cdf, f_cdf, t_cdf
-from gneiss.operators.features import gram, moments
-from gneiss.operators.ranks import bucket, quantiles, running
-from gneiss.operators.regression import fit
+from gneiss.operators.features import about, complete, gram, moments
+from gneiss.operators.ranks import PART_ROWS, bucket, quantiles, running
+from gneiss.operators.regression import fit, leverage, predict
 
 #: The published approximation of its p value ends here.
 SHAPIRO_ROWS = 5000
@@ -68,32 +68,35 @@ def rainbow(df: DataFrame, features: list[str], target: str, order: str) -> tupl
 
 def condition_number(df: DataFrame, features: list[str]) -> float:
     """Largest over least singular value of the features with a column of ones."""
-    n, mean, p = gram(moments(df, features).first(), features)
+    n, mean, p = gram(moments(df, features).first(), features)  # about zero, as asked
     raw = np.block([[np.array([[n]]), n * mean[None, :]], [n * mean[:, None], p + n * np.outer(mean, mean)]])
     values = np.linalg.eigvalsh(raw)
     return float(np.sqrt(values[-1] / max(values[0], 0.0))) if values[0] > 0 else math.inf
 
 
-def harvey_collier(df: DataFrame, features: list[str], target: str, order: str, key: str, parts: int = 16) -> tuple[float, float]:
+def harvey_collier(df: DataFrame, features: list[str], target: str, order: str, key: str, parts: int | None = None) -> tuple[float, float]:
     """(t, p) of the mean of standardised recursive residuals in the order of `order`, then key.
 
-    Rows are parted by quantiles of the order. A part starts from the sums of products of those before it, so parts run at once."""
-    k = len(features) + 1
+    Rows are parted by quantiles of the order, into more parts where there are more. A part starts from the sums of products of those
+    before it, so parts run at once. Rows with nulls don't count."""
+    k, columns = len(features) + 1, [*features, target]
+    df = complete(df, columns)
+    parts = parts or max(16, -(-df.count() // PART_ROWS))
     cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    columns = [*features, target]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(order).alias("o"), F.col(key).alias("k"), bucket(F.col(order), cuts).cast("int").alias("part"))
-    before, total = {}, (0, np.zeros((k + 1, k + 1)))
+    before, total, at = {}, (0, np.zeros((k + 1, k + 1))), np.zeros(k)
     for row in sorted(moments(d, columns, ["part"]).collect(), key=lambda r: r["part"]):
         before[row["part"]] = total
-        n, mean, p = gram(row, columns)
+        n, mean, p, at = about(row, columns)
         raw = np.block([[np.array([[n]]), n * mean[None, :]], [n * mean[:, None], p + n * np.outer(mean, mean)]])
         total = (total[0] + n, total[1] + raw)
-    given = df.sparkSession.sparkContext.broadcast(before)
+    given = df.sparkSession.sparkContext.broadcast((before, at))
 
     def recur(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "k"])
-        x, y = np.c_[np.ones(len(pdf)), pdf[features].to_numpy()], pdf[target].to_numpy()
-        n, g = given.value[int(pdf["part"].iloc[0])]
+        starts, from_ = given.value  # residuals don't depend on where values count from
+        x, y = np.c_[np.ones(len(pdf)), pdf[features].to_numpy() - from_[:-1]], pdf[target].to_numpy() - from_[-1]
+        n, g = starts[int(pdf["part"].iloc[0])]
         a, c, inverse, out = g[:k, :k].copy(), g[:k, k].copy(), None, []
         for i in range(len(x)):
             if inverse is None and n >= k and np.linalg.matrix_rank(a) == k:
@@ -113,13 +116,52 @@ def harvey_collier(df: DataFrame, features: list[str], target: str, order: str,
     return t, 2 * (1 - t_cdf(abs(t), n - 1))
 
 
+def robust_errors(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(name, estimate, error): standard errors that allow for unequal variances, each squared residual over the square of one less
+    its leverage (HC3); one more pass of sums."""
+    own = complete(df, [*features, target])
+    m = fit(own, features, target, 0.0)
+    w = ((F.col(target) - F.col("prediction")) / (1 - leverage(m))) ** 2
+    rated = predict(own, m).withColumn("hc", w)
+    d = [F.lit(1.0), *[F.col(c).cast("double") - float(x) for c, x in zip(features, m["mean"], strict=True)]]
+    k = len(d)
+    row = list(rated.agg(*[F.sum(F.col("hc") * d[i] * d[j]) for i in range(k) for j in range(i, k)]).first())
+    meat, at = np.zeros((k, k)), 0
+    for i in range(k):
+        for j in range(i, k):
+            meat[i, j] = meat[j, i] = row[at]
+            at += 1
+    bread = np.zeros((k, k))
+    bread[0, 0], bread[1:, 1:] = 1 / m["n"], m["inverse"]
+    v = bread @ meat @ bread  # of the intercept at the means, and the slopes
+    back = np.eye(k)
+    back[0, 1:] = -m["mean"]
+    errors = np.sqrt(np.diag(back @ v @ back.T))
+    return df.sparkSession.createDataFrame([(c, float(b), float(e)) for c, b, e in zip(m["names"], m["estimate"], errors, strict=True)], "name string, estimate double, error double")
+
+
+def _log_tail(t: np.ndarray) -> np.ndarray:
+    """Logarithm of the normal distribution beyond t, for whole arrays: by a Chebyshev series of the scaled complementary error function
+    (Press et al., 2007), to about twelve digits."""
+    x = np.abs(t) / math.sqrt(2)
+    k = 2.0 / (2.0 + x)
+    y = 4 * k - 2
+    # fixed values: Chebyshev coefficients of exp(x^2) erfc(x) / k
+    c = [-1.3026537197817094, 6.4196979235649026e-1, 1.9476473204185836e-2, -9.561514786808631e-3, -9.46595344482036e-4, 3.66839497852761e-4, 4.2523324806907e-5, -2.0278578112534e-5, -1.624290004647e-6, 1.303655835580e-6, 1.5626441722e-8, -8.5238095915e-8, 6.529054439e-9, 5.059343495e-9, -9.91364156e-10, -2.27365122e-10, 9.6467911e-11, 2.394038e-12, -6.886027e-12, 8.94487e-13, 3.13092e-13, -1.12708e-13, 3.81e-16, 7.106e-15]
+    d, dd = np.zeros_like(x), np.zeros_like(x)
+    for v in c[:0:-1]:
+        d, dd = y * d - dd + v, d
+    log_upper = np.log(k) - x * x + 0.5 * (c[0] + y * d) - dd - math.log(2)
+    return np.where(t >= 0, log_upper, np.log1p(-np.exp(np.minimum(log_upper, -math.log(2)))))
+
+
 def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     """(n, a2) against the normal distribution of the column's own mean and deviation. Equal values are one row, weighted."""
 
     @F.pandas_udf("struct<low double, high double>")
     def logs(z: pd.Series) -> pd.DataFrame:
-        tail = lambda t: math.log(max(0.5 * math.erfc(t / math.sqrt(2)), 1e-300))
-        return pd.DataFrame({"low": [tail(-t) for t in z], "high": [tail(t) for t in z]})
+        v = z.to_numpy(float)
+        return pd.DataFrame({"low": _log_tail(-v), "high": _log_tail(v)})
 
     n, mean, sd = df.agg(F.count(column), F.avg(column), F.stddev_samp(column)).first()
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))

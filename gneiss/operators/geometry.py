@@ -28,6 +28,24 @@ def bond_length(atoms: DataFrame, i: int, j: int) -> DataFrame:
     return pick(atoms, i, j).select("mol_id", norm(minus(vector("p0"), vector("p1"))).alias("length"))
 
 
+def bond_lengths(atoms: DataFrame, ends: list[tuple[int, int]]) -> DataFrame:
+    """(mol_id, length_i_j, ...) for all pairs of atoms in one aggregation; a molecule that lacks an atom keeps its row, with nulls."""
+    wanted = sorted({a for pair in ends for a in pair})
+    point = F.struct("x", "y", "z")
+    held = atoms.groupBy("mol_id").agg(*[F.max(F.when(F.col("atom_idx") == i, point)).alias(f"p{i}") for i in wanted])
+    return held.select("mol_id", *[norm(minus(vector(f"p{i}"), vector(f"p{j}"))).alias(f"length_{i}_{j}") for i, j in ends])
+
+
+def first_atoms(atoms: DataFrame, n: int) -> DataFrame:
+    """(mol_id, symbol_1, ..., symbol_n): the first atoms of each molecule side by side."""
+    return atoms.where(F.col("atom_idx") <= n).groupBy("mol_id").agg(*[F.max(F.when(F.col("atom_idx") == i, F.col("symbol"))).alias(f"symbol_{i}") for i in range(1, n + 1)])
+
+
+def selectivity(ddg: Column, kelvin: float = 298.15, threshold: float = 35.0) -> Column:
+    """Whether an enantiomeric excess is of the selective class."""
+    return F.abs(enantiomeric_excess(ddg, kelvin)) >= threshold
+
+
 def bond_angle(atoms: DataFrame, i: int, j: int, k: int) -> DataFrame:
     """Degrees at the middle atom."""
     return pick(atoms, i, j, k).select("mol_id", angle(minus(vector("p0"), vector("p1")), minus(vector("p2"), vector("p1"))).alias("angle"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,12 +24,12 @@ def connectivity(atoms: DataFrame, threshold: float = 2.12, h_threshold: float =
     rescued = any_halogen & ~any_metal & (F.col("dist") >= threshold) & (F.col("dist") < halogen_reach)
     near_metal = any_metal & (F.col("dist") <= metal_reach)
     found = p.where(plain | rescued | near_metal)
+    # each end ranks its contacts; a bond goes that one of its ends has too many before. All of it is on the molecule: no more shuffles
     ends = found.select("mol_id", "a1", "a2", "dist", F.explode(F.array(F.struct(F.col("a1").alias("atom"), F.col("s1").alias("symbol")), F.struct(F.col("a2").alias("atom"), F.col("s2").alias("symbol")))).alias("e"))
     most = F.when(halogen("e.symbol"), 1).when(metal("e.symbol"), max_coordination)
     place = F.row_number().over(Window.partitionBy("mol_id", "e.atom").orderBy("dist", "a1", "a2"))
-    surplus = ends.where(most.isNotNull()).withColumn("place", place).where(F.col("place") > most).select("mol_id", "a1", "a2")
-    found = found.join(surplus, ["mol_id", "a1", "a2"], "left_anti")
-    return found.select("mol_id", "a1", "a2", "dist")
+    kept = ends.withColumn("place", place).groupBy("mol_id", "a1", "a2", "dist").agg(F.bool_and(most.isNull() | (F.col("place") <= most)).alias("keep"))
+    return kept.where("keep").select("mol_id", "a1", "a2", "dist")
 
 
 def covalent_bonds(atoms: DataFrame, scale: float = 1.08, extra: float = 0.0) -> DataFrame:
@@ -89,6 +90,98 @@ def reachable(bonds: DataFrame, source: int, direction: int) -> DataFrame:
     return known.unionByName(bonds.select("mol_id").distinct().withColumn("atom", F.lit(source))).distinct()
 
 
+def _two_ways(near: dict[int, set[int]], start: int, first: int, second: int) -> bool:
+    """Whether paths lead from start to first and to second that share no atom but start: two augmenting paths of a flow."""
+    if start in (first, second):
+        return True
+    used: dict[tuple[int, int], tuple[int, int] | None]
+    forward: dict[int, int] = {}  # atom -> the next on its path
+    back: dict[int, int] = {}
+    ends: set[int] = set()
+    for _ in range(2):
+        # states: (atom, 0) entered anew, (atom, 1) against a path that runs through it
+        used, queue, end = {(start, 1): None}, [(start, 1)], None
+        while queue and end is None:
+            atom, mode = state = queue.pop(0)
+            if mode == 0 and atom in back:  # an atom on a path can only be left the way that the path came
+                steps = [(back[atom], 1)] if back[atom] != start else []
+            else:
+                steps = [(b, 0) for b in near.get(atom, ()) if b != start and forward.get(atom) != b]
+                if mode == 1 and atom != start and atom in back and back[atom] != start:
+                    steps.append((back[atom], 1))
+            for to in steps:
+                if to not in used:
+                    used[to] = state
+                    if to[1] == 0 and to[0] in (first, second) and to[0] not in ends:
+                        end = to
+                        break
+                    queue.append(to)
+        if end is None:
+            return False
+        chain = [end]
+        while used[chain[-1]] is not None:
+            chain.append(used[chain[-1]])
+        links = {(a, forward[a]) for a in forward}
+        for (b, bm), (a, _) in zip(chain, chain[1:], strict=False):
+            if bm == 1:
+                links.discard((b, a))
+            else:
+                links.add((a, b))
+        links = {(a, b) for a, b in links if (b, a) not in links}
+        ends.add(end[0])
+        forward, back = {a: b for a, b in links if a != start}, {b: a for a, b in links}
+    return True
+
+
+def on_paths(bonds: DataFrame, source: int, direction: int) -> DataFrame:
+    """(mol_id, atom): the atoms on simple paths that begin at `source` and hold `direction` anywhere, so in rings more than reachable()
+    finds. An atom behind `direction` is one that `direction` reaches beside its way back to the source; one between them reaches both
+    on ways of their own. A molecule is one group."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        for a, b in zip(pdf["a1"].tolist(), pdf["a2"].tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        whole, edge = {direction}, {direction}
+        while edge:
+            edge = {b for a in edge for b in near.get(a, ())} - whole
+            whole |= edge
+        out = [v for v in whole if v in (source, direction) or _two_ways(near, direction, source, v) or _two_ways(near, v, source, direction)] if source in whole else []
+        return pd.DataFrame({"mol_id": [pdf["mol_id"].iloc[0]] * len(out), "atom": sorted(out)})
+
+    return bonds.select("mol_id", "a1", "a2").groupBy("mol_id").applyInPandas(one, f"mol_id {dict(bonds.dtypes)['mol_id']}, atom int")
+
+
+def match_pattern(atoms: DataFrame, bonds: DataFrame, symbols: list[str | None], links: list[tuple[int, int]]) -> DataFrame:
+    """(mol_id, m0, m1, ...): every way in which a small pattern lies in a molecule's graph: atoms of these elements (None: any), bonded
+    as the links, pairs of places in the pattern, say. One join of the bond table a link; atoms are never used twice.
+
+    Links must come so that each but the first has an end that an earlier one has."""
+    n = neighbours(bonds).select("mol_id", F.col("atom").alias("from"), F.col("other").alias("to"))
+    kind = {e: atoms.select("mol_id", F.col("atom_idx").alias(e), F.col("symbol").alias(f"{e} symbol")) for e in ("from", "to")}
+    n = n.join(kind["from"], ["mol_id", "from"]).join(kind["to"], ["mol_id", "to"])
+    out, known = None, []
+    for i, j in links:
+        if known and i not in known:
+            i, j = j, i
+        if known and i not in known:
+            raise ValueError("each link needs an end that an earlier one has")
+        step = n
+        for place, end in ((i, "from"), (j, "to")):
+            if symbols[place] is not None:
+                step = step.where(F.col(f"{end} symbol") == symbols[place])
+        step = step.select("mol_id", F.col("from").alias(f"m{i}"), F.col("to").alias(f"m{j}"))
+        if out is None:
+            out, known = step, [i, j]
+        elif j in known:
+            out = out.join(step, ["mol_id", f"m{i}", f"m{j}"])
+        else:
+            out = out.join(step, ["mol_id", f"m{i}"]).where(" AND ".join(f"m{j} <> m{k}" for k in known))
+            known.append(j)
+    return out.select("mol_id", *[f"m{k}" for k in range(len(symbols))])
+
+
 def six_rings(bonds: DataFrame) -> DataFrame:
     """(mol_id, r1..r6): simple six-cycles, once each: r1 is the smallest atom and r2 < r6."""
     n = neighbours(bonds)
@@ -104,9 +197,8 @@ def bond_angles(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, left, center, right, angle) over bonded triples."""
     from gneiss.functions.vectors import angle, minus, vector
 
-    out = common_neighbour(bonds)
-    for name in ("left", "center", "right"):
-        out = out.join(atoms.select("mol_id", F.col("atom_idx").alias(name), F.struct("x", "y", "z").alias(f"p_{name}")), ["mol_id", name])
+    places = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("atom_idx", F.struct("x", "y", "z")))).alias("at"))
+    out = common_neighbour(bonds).join(places, "mol_id").withColumns({f"p_{n}": F.try_element_at("at", F.col(n)) for n in ("left", "center", "right")})
     return out.select("mol_id", "left", "center", "right", angle(minus(vector("p_left"), vector("p_center")), minus(vector("p_right"), vector("p_center"))).alias("angle"))
 
 

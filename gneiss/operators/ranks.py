@@ -23,10 +23,54 @@ def bucket(value, thresholds: list[float]):
     return tree(0, len(thresholds))
 
 
-def running(counted: DataFrame, value: str, sums: list[str], parts: int = 64) -> DataFrame:
+#: Rows that a part of an order is to have.
+PART_ROWS = 200_000
+
+
+def _parts(df: DataFrame) -> int:
+    """Parts of about PART_ROWS rows of a table, so that a task's share doesn't grow with it; 16 at least."""
+    return max(16, -(-df.count() // PART_ROWS))
+
+
+def places_within(df: DataFrame, group: list[str], order: list, name: str = "place", alone: int = 1_000_000) -> DataFrame:
+    """df with the place of each row, from 1, in an order of its group.
+
+    Where no group has over `alone` rows, a window does it. Else rows are dealt by range of group and order to parts of PART_ROWS, each
+    part numbers its own, and counts of the parts before are added; no task sees a large group. Both give the same places where the
+    order is one of single rows."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= alone:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    keyed = df.withColumns({f"order {i}": o for i, o in enumerate(order)})
+    names = [f"order {i}" for i in range(len(order))]
+    p = durable(keyed.repartitionByRange(_parts(df), *[F.col(g) for g in group], *[F.col(f"`{n}`") for n in names]).withColumn("part", F.spark_partition_id()))
+    counts = p.groupBy("part", *group).agg(F.count("*").alias("own"))
+    before = counts.select("part", *group, (F.sum("own").over(Window.partitionBy(*group).orderBy("part")) - F.col("own")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part", *group).orderBy(*[F.col(f"`{n}`") for n in names]))
+    told = before.select(F.col("part").alias("its part"), *[F.col(g).alias(f"its {g}") for g in group], "before")
+    same = F.col("part") == F.col("`its part`")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"`its {g}`"))
+    return p.withColumn("inside", inside).join(told, same).withColumn(name, (F.col("inside") + F.col("before")).cast("int")).select(*df.columns, name)
+
+
+def quantiles_within(df: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
+    """(group, quantile): the exact quantile of each group, interpolated between neighbours, from places in order."""
+    own = df.where(F.col(value).isNotNull())
+    n = own.groupBy(*group).agg(F.count("*").alias("n"))
+    at = (F.col("n") - 1) * F.lit(share)
+    placed = places_within(own.select(*group, value), group, [value]).join(n, group)
+    near = placed.where((F.col("place") - 1 == F.floor(at)) | (F.col("place") - 1 == F.ceil(at)))
+    low, high = F.min(value), F.max(value)
+    return near.groupBy(*group).agg((low + (F.first(at) - F.floor(F.first(at))) * (high - low)).alias("quantile"))
+
+
+def running(counted: DataFrame, value: str, sums: list[str], parts: int | None = None) -> DataFrame:
     """Adds to a table of one row a value: next, the next larger value, and before_ of each column of sums, its sum over smaller values.
 
-    Values are parted by approximate quantiles; the parts' totals are few rows."""
+    Values are parted by approximate quantiles, into more parts where there are more; the parts' totals are few rows."""
+    parts = parts or max(64, _parts(counted))
     c = durable(counted.withColumn(value, F.col(value).cast("double")))
     cuts = sorted(set(c.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)))
     c = c.withColumn("part", bucket(F.col(value), cuts).cast("int"))
@@ -40,8 +84,9 @@ def running(counted: DataFrame, value: str, sums: list[str], parts: int = 64) ->
     return own.select(*counted.columns, F.coalesce("next", "first_after").alias("next"), *[(F.col(f"before_{s}") + F.col(f"offset_{s}")).alias(f"before_{s}") for s in sums])
 
 
-def dealt_places(df: DataFrame, key: str, seed: int, parts: int = 64) -> DataFrame:
+def dealt_places(df: DataFrame, key: str, seed: int, parts: int | None = None) -> DataFrame:
     """Adds place, from 1 to the number of rows, in an order that a seeded hash of the key gives."""
+    parts = parts or max(64, _parts(df))
     p = df.withColumn("part", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)).cast("int"))
     counts = sorted(tuple(r) for r in p.groupBy("part").count().collect())
     rows = [(part, before) for (part, _), before in zip(counts, accumulate((n for _, n in counts), initial=0), strict=False)]

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.elements import lookup
-from gneiss.functions.vectors import angle, axes, dot, into, minus, norm, vector, with_frame
+from gneiss.functions.vectors import angle, axes, into, minus, norm, vector, with_frame
 from gneiss.operators.geometry import frame_transform, pick
+from gneiss.operators.graph import reachable
+from gneiss.operators.sterimol import counted, covered, grid, spheres
 
 
-def cone_angle(atoms: DataFrame, apex: int, toward: int, radii: str = "bondi") -> DataFrame:
+def cone_angle(atoms: DataFrame, apex: int, toward: int, radii: str = "bondi", without: tuple[int, ...] = (), hydrogens: bool = True) -> DataFrame:
     """(mol_id, cone): degrees of the cone about the axis from one atom to another that holds the spheres of all atoms but the first.
     A sphere around the apex counts as a half-angle of 180."""
-    p = atoms.alias("a").join(pick(atoms, apex, toward), "mol_id").where(F.col("atom_idx") != apex)
+    p = counted(atoms, (apex, *without), hydrogens).alias("a").join(pick(atoms, apex, toward), "mol_id")
     d, axis = minus(vector("a"), vector("p0")), minus(vector("p1"), vector("p0"))
     far, r = norm(d), lookup(F.col("symbol"), radii)
     half = F.when(r >= far, 180.0).otherwise(angle(d, axis) + F.degrees(F.asin(r / far)))
@@ -25,16 +27,16 @@ def cone_angle(atoms: DataFrame, apex: int, toward: int, radii: str = "bondi") -
 def octant_volumes(atoms: DataFrame, base: tuple[int, int, int], radius: float = 3.5, scale: float = 1.17, spacing: float = 0.5, radii: str = "bondi") -> DataFrame:
     """(mol_id, octant, fraction): buried volume around the first base atom by octant of its frame; octant adds 1, 2 and 4 for
     positive x, y and z. Grid points lie between the planes, so that each has one octant."""
-    f = frame_transform(atoms, base).where(F.col("atom_idx") != base[0])
-    g = f.withColumn("r", lookup(F.col("symbol"), radii) * scale).groupBy("mol_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("others"))
-    n = math.ceil(radius / spacing)
-    for k in "ijk":
-        g = g.withColumn(k, F.explode(F.sequence(F.lit(-n), F.lit(n - 1)))).withColumn(k, (F.col(k) + 0.5) * spacing)
-    p = tuple(F.col(k) for k in "ijk")
-    g = g.where(dot(p, p) <= radius**2)
-    covered = F.exists("others", lambda o: (p[0] - o["x"]) ** 2 + (p[1] - o["y"]) ** 2 + (p[2] - o["z"]) ** 2 <= o["r"] ** 2)
-    octant = sum((F.when(c > 0, 1 << k).otherwise(0) for k, c in enumerate(p[1:], 1)), F.when(p[0] > 0, 1).otherwise(0))
-    return g.groupBy("mol_id", octant.alias("octant")).agg(F.avg(covered.cast("double")).alias("fraction"))
+    f = frame_transform(atoms, base).where(F.col("atom_idx") != base[0]).withColumn("r", lookup(F.col("symbol"), radii) * scale)
+    points = grid(radius, spacing, 0.5)
+    octant = (points > 0) @ np.array([1, 2, 4])
+    size = np.bincount(octant, minlength=8)
+
+    @F.pandas_udf("array<double>")
+    def shares(x: pd.Series, y: pd.Series, z: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(octant, covered(points, *v), 8) / size for v in zip(x, y, z, r, strict=True)])
+
+    return spheres(f.where("x IS NOT NULL")).select("mol_id", F.posexplode(shares("x", "y", "z", "r")).alias("octant", "fraction"))
 
 
 def nearest_atoms(points: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -44,9 +46,13 @@ def nearest_atoms(points: DataFrame, atoms: DataFrame) -> DataFrame:
     return points.join(held, "mol_id").select(*points.columns, F.array_min(far)["atom_idx"].alias("atom_idx"))
 
 
-def surface_sterimol(points: DataFrame, atoms: DataFrame, base: tuple[int, int, int], step: int = 1) -> DataFrame:
+def surface_sterimol(points: DataFrame, atoms: DataFrame, base: tuple[int, int, int], step: int = 1, bonds: DataFrame | None = None) -> DataFrame:
     """(mol_id, l, b1, b5) of surface points in the frame of three atoms: reach along the axis, least of the four extents over all
-    turns of a quarter, and farthest point off the axis."""
+    turns of a quarter, and farthest point off the axis. With bonds only the points count whose nearest atom hangs on the second base
+    atom as seen from the first."""
+    if bonds is not None:
+        part = reachable(bonds, base[0], base[1]).select("mol_id", F.col("atom").alias("atom_idx"))
+        points = nearest_atoms(points.select("mol_id", "x", "y", "z"), atoms).join(part, ["mol_id", "atom_idx"], "left_semi")
     frame = with_frame(pick(atoms, *base), vector("p0"), vector("p1"), vector("p2")).select("mol_id", "fo", "fx", "fy", "fz")
     p = points.alias("q").join(frame, "mol_id")
     x, y, z = into(axes(), vector("fo"), vector("q"))

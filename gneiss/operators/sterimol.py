@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.elements import lookup
 from gneiss.operators.geometry import frame_transform
+from gneiss.operators.graph import on_paths, reachable
 
 
 def extents(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi") -> DataFrame:
@@ -24,49 +27,122 @@ def l_b5(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi") ->
     return e.groupBy("mol_id").agg(F.max("l").alias("l"), F.max(F.struct("b5", "y")).alias("m")).select("mol_id", "l", F.col("m.b5").alias("b5"), F.col("m.y").alias("loc_b5"))
 
 
+def _held(e: DataFrame) -> DataFrame:
+    """(mol_id, held): each molecule's extents as one array, so that turns of it are made in the row."""
+    return e.groupBy("mol_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("held"))
+
+
+def _support(held, degree, size: str = "r"):
+    """The largest x cos + z sin + size of an array, at an angle in degrees."""
+    c, s = F.cos(F.radians(degree)), F.sin(F.radians(degree))
+    return F.array_max(F.transform(held, lambda a: a["x"] * c + a["z"] * s + a[size]))
+
+
+def _turns(first: int, last: int, step: int):
+    return F.sequence(F.lit(first), F.lit(last), F.lit(step))
+
+
 def b1(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi", step: int = 1) -> DataFrame:
     """(mol_id, b1, degree): the least width of the support function max(x cos + z sin + r) over all directions."""
-    e = extents(atoms, base, radii).withColumn("degree", F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))))
-    t = F.col("degree") * (math.pi / 180)
-    h = e.groupBy("mol_id", "degree").agg(F.max(F.col("x") * F.cos(t) + F.col("z") * F.sin(t) + F.col("r")).alias("h"))
-    return h.groupBy("mol_id").agg(F.min(F.struct("h", "degree")).alias("m")).select("mol_id", F.col("m.h").alias("b1"), "m.degree")
+    h = F.transform(_turns(0, 359, step), lambda d: F.struct(_support(F.col("held"), d).alias("h"), d.alias("degree")))
+    return _held(extents(atoms, base, radii)).select("mol_id", F.array_min(h).alias("m")).select("mol_id", F.col("m.h").alias("b1"), "m.degree")
+
+
+def b1_two_steps(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi", scan: int = 18) -> DataFrame:
+    """(mol_id, b1, degree) as b1(), searched in two steps: every `scan` degrees from `scan` to 108, of each the least of the four extents
+    a quarter turn apart, then every degree about the best."""
+
+    def four(d):
+        return F.struct(F.least(*[_support(F.col("held"), d + q) for q in (0, 90, 180, 270)]).alias("h"), d.alias("degree"))
+
+    coarse = _held(extents(atoms, base, radii)).withColumn("m", F.array_min(F.transform(_turns(scan, 107, scan), four)))
+    fine = F.array_min(F.transform(F.sequence(F.col("m.degree") - scan, F.col("m.degree") + scan), four))
+    return coarse.select("mol_id", fine.alias("m")).select("mol_id", F.col("m.h").alias("b1"), "m.degree")
+
+
+def sterimol(atoms: DataFrame, base: tuple[int, int, int], bonds: DataFrame | None = None, radii: str = "bondi", drop: tuple[int, ...] = (), strict: bool = True) -> DataFrame:
+    """(mol_id, b1, b5, l, loc_b5, b1_b5_angle): the widths and the length of a substituent, and the angle in degrees of its farthest atom
+    to the plane of its least width.
+
+    With bonds(mol_id, a1, a2) only the atoms count that hang on the second base atom as seen from the first (strict False: all on paths
+    through it); without them all do. Dropped atoms and their bonds don't count."""
+    if drop:
+        atoms = atoms.where(~F.col("atom_idx").isin(*drop))
+        bonds = bonds.where(~F.col("a1").isin(*drop) & ~F.col("a2").isin(*drop)) if bonds is not None else None
+    e = extents(atoms, base, radii)
+    if bonds is not None:
+        part = reachable(bonds, base[0], base[1]) if strict else on_paths(bonds, base[0], base[1])
+        e = e.join(part.select("mol_id", F.col("atom").alias("atom_idx")), ["mol_id", "atom_idx"], "left_semi")
+    far = F.max(F.struct("b5", "y", "x", "z"))
+    held = e.groupBy("mol_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("held"), F.max("l").alias("l"), far.alias("f"))
+    least = F.array_min(F.transform(_turns(0, 359, 1), lambda d: F.struct(_support(F.col("held"), d).alias("h"), d.alias("degree"))))
+    t = F.radians("m.degree")
+    size = F.sqrt(F.col("f.x") ** 2 + F.col("f.y") ** 2 + F.col("f.z") ** 2)
+    sine = F.abs(F.col("f.x") * F.cos(t) + F.col("f.z") * F.sin(t)) / size
+    angle = F.when(size > 1e-10, F.degrees(F.asin(F.least(F.lit(1.0), sine)))).otherwise(0.0)
+    return held.withColumn("m", least).select("mol_id", F.col("m.h").alias("b1"), F.col("f.b5").alias("b5"), "l", F.col("f.y").alias("loc_b5"), angle.alias("b1_b5_angle"))
 
 
 def width_slices(atoms: DataFrame, base: tuple[int, int, int], slices: list[float], radii: str = "bondi", step: int = 10) -> DataFrame:
     """(mol_id, height, b1, b5): least and largest support of the spheres cut at each height of the axis; heights without a cut drop out."""
-    e = extents(atoms, base, radii).withColumn("height", F.explode(F.array(*[F.lit(float(s)) for s in slices])))
-    cut = e.where(F.abs(F.col("height") - F.col("y")) <= F.col("r")).withColumn("rho", F.sqrt(F.col("r") ** 2 - (F.col("height") - F.col("y")) ** 2))
-    turned = cut.withColumn("degree", F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))))
-    t = F.col("degree") * (math.pi / 180)
-    h = turned.groupBy("mol_id", "height", "degree").agg(F.max(F.col("x") * F.cos(t) + F.col("z") * F.sin(t) + F.col("rho")).alias("h"))
-    return h.groupBy("mol_id", "height").agg(F.min("h").alias("b1"), F.max("h").alias("b5"))
+    h = F.col("height")
+    each = _held(extents(atoms, base, radii)).withColumn("height", F.explode(F.array(*[F.lit(float(s)) for s in slices])))
+    cut = F.transform(F.filter("held", lambda a: F.abs(h - a["y"]) <= a["r"]), lambda a: F.struct(a["x"].alias("x"), a["z"].alias("z"), F.sqrt(a["r"] ** 2 - (h - a["y"]) ** 2).alias("rho")))
+    each = each.withColumn("cut", cut).where(F.size("cut") > 0)
+    around = F.transform(_turns(0, 359, step), lambda d: _support(F.col("cut"), d, "rho"))
+    return each.select("mol_id", "height", around.alias("around")).select("mol_id", "height", F.array_min("around").alias("b1"), F.array_max("around").alias("b5"))
 
 
 def envelope(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi", step: int = 10) -> DataFrame:
     """(mol_id, degree, h): the largest support in each direction over all heights."""
-    e = extents(atoms, base, radii).withColumn("degree", F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))))
-    t = F.col("degree") * (math.pi / 180)
-    return e.groupBy("mol_id", "degree").agg(F.max(F.col("x") * F.cos(t) + F.col("z") * F.sin(t) + F.col("r")).alias("h"))
+    each = F.transform(_turns(0, 359, step), lambda d: F.struct(d.alias("degree"), _support(F.col("held"), d).alias("h")))
+    return _held(extents(atoms, base, radii)).select("mol_id", F.inline(each))
+
+
+def envelope_axes(atoms: DataFrame, base: tuple[int, int, int], radii: str = "bondi", step: int = 10) -> DataFrame:
+    """(mol_id, least, most, angle): the envelope's least and largest support and the angle between them, from 0 to 180 degrees."""
+    e = envelope(atoms, base, radii, step).groupBy("mol_id").agg(F.min(F.struct("h", "degree")).alias("a"), F.max(F.struct("h", (-F.col("degree")).alias("degree"))).alias("b"))
+    return e.select("mol_id", F.col("a.h").alias("least"), F.col("b.h").alias("most"), F.pmod(F.col("a.degree") + F.col("b.degree"), F.lit(180)).alias("angle"))
+
+
+def grid(radius: float, spacing: float, shift: float = 0.0) -> np.ndarray:
+    """The points of a cubic grid inside a sphere around zero."""
+    n = math.ceil(radius / spacing) if shift else int(radius / spacing)
+    line = (np.arange(-n, n + (0 if shift else 1)) + shift) * spacing
+    p = np.stack(np.meshgrid(line, line, line, indexing="ij"), axis=-1).reshape(-1, 3)
+    return p[(p[:, 0] * p[:, 0] + p[:, 1] * p[:, 1] + p[:, 2] * p[:, 2]) <= radius**2]
 
 
-def sphere():
-    """A sphere of columns x, y, z and r so that a point p is inside if p . (x2, y2, z2) >= p . p + rest."""
-    x, y, z, r = (F.col(c) for c in "xyzr")
-    return F.struct((2 * x).alias("x2"), (2 * y).alias("y2"), (2 * z).alias("z2"), (x * x + y * y + z * z - r * r).alias("rest"))
+def covered(points: np.ndarray, x, y, z, r) -> np.ndarray:
+    """Which points lie in one of the spheres: one product of matrices for a molecule."""
+    c = np.stack([np.asarray(v, float) for v in (x, y, z)], axis=1)
+    rest = (c * c).sum(1) - np.asarray(r, float) ** 2
+    return (2 * points @ c.T >= (points * points).sum(1)[:, None] + rest).any(axis=1)
 
 
-def buried_volume(atoms: DataFrame, center: int, radius: float = 3.5, scale: float = 1.17, spacing: float = 0.5, radii: str = "bondi") -> DataFrame:
+def spheres(atoms: DataFrame) -> DataFrame:
+    """(mol_id, x, y, z, r): arrays of a molecule's spheres."""
+    held = atoms.groupBy("mol_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("h"))
+    return held.select("mol_id", *[F.col(f"h.{c}").alias(c) for c in "xyzr"])
+
+
+def buried_volume(atoms: DataFrame, center: int, radius: float = 3.5, scale: float = 1.17, spacing: float = 0.5, radii: str = "bondi", without: tuple[int, ...] = (), hydrogens: bool = True) -> DataFrame:
     """(mol_id, fraction): the share of grid points in a sphere around an atom that another atom's scaled sphere covers.
 
-    Grid points are made a molecule at a time; each asks its molecule's atoms, as an array, whether one covers it."""
+    A molecule is a row of arrays; its grid is the same for all and is tested by one matrix product (Arrow batches), which takes a
+    fiftieth of the time that rows of grid points took."""
     c = atoms.where(F.col("atom_idx") == center).select("mol_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    seen = atoms.where(F.col("atom_idx") != center).withColumn("r", lookup(F.col("symbol"), radii) * scale).join(c, "mol_id").select("mol_id", "r", *[(F.col(k) - F.col(f"c{k}")).alias(k) for k in "xyz"])
-    others = seen.groupBy("mol_id").agg(F.collect_list(sphere()).alias("others"))
-    n = int(radius / spacing)
-    steps = F.sequence(F.lit(-n), F.lit(n))
-    grid = others
-    for k in "ijk":
-        grid = grid.withColumn(k, F.explode(steps)).withColumn(k, F.col(k) * spacing)
-    grid = grid.withColumn("pp", F.col("i") * F.col("i") + F.col("j") * F.col("j") + F.col("k") * F.col("k")).where(F.col("pp") <= radius**2)
-    covered = F.exists("others", lambda o: F.col("i") * o["x2"] + F.col("j") * o["y2"] + F.col("k") * o["z2"] >= F.col("pp") + o["rest"])
-    return grid.groupBy("mol_id").agg(F.avg(covered.cast("double")).alias("fraction"))
+    seen = counted(atoms, (center, *without), hydrogens).withColumn("r", lookup(F.col("symbol"), radii) * scale).join(c, "mol_id").select("mol_id", "r", *[(F.col(k) - F.col(f"c{k}")).alias(k) for k in "xyz"])
+    points = grid(radius, spacing)
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series, z: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([float(covered(points, *v).mean()) for v in zip(x, y, z, r, strict=True)])
+
+    return spheres(seen).select("mol_id", share("x", "y", "z", "r").alias("fraction"))
+
+
+def counted(atoms: DataFrame, without: tuple[int, ...], hydrogens: bool) -> DataFrame:
+    """The atoms that a size counts."""
+    own = atoms.where(~F.col("atom_idx").isin(*without))
+    return own if hydrogens else own.where("symbol <> 'H'")

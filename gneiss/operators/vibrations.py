@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.vectors import cross, dot, minus, norm, vector
 from gneiss.operators.geometry import pick
+from gneiss.operators.graph import common_neighbour
 
 
 def modes_of(moves: DataFrame, *indexes: int, lower: float | None = None, upper: float | None = None) -> DataFrame:
@@ -34,8 +35,12 @@ def stretch_mode(moves: DataFrame, atoms: DataFrame, i: int, j: int, lower: floa
     return _strongest(m.select("mol_id", "mode_idx", "frequency", (F.abs(dot(vector("v0"), bond)) + F.abs(dot(vector("v1"), bond))).alias("amplitude")))
 
 
-def bend_mode(moves: DataFrame, i: int, j: int, lower: float = 1300) -> DataFrame:
-    """The mode of the largest cross product of two atoms' displacements."""
+def bend_mode(moves: DataFrame, i: int, j: int, lower: float = 1300, bonds: DataFrame | None = None) -> DataFrame:
+    """The mode of the largest cross product of two atoms' displacements; with bonds only of molecules in which the two atoms have a
+    neighbour in common."""
+    if bonds is not None:
+        held = common_neighbour(bonds).where((F.col("left") == min(i, j)) & (F.col("right") == max(i, j))).select("mol_id")
+        moves = moves.join(held, "mol_id", "left_semi")
     m = modes_of(moves, i, j, lower=lower)
     return _strongest(m.select("mol_id", "mode_idx", "frequency", norm(cross(vector("v0"), vector("v1"))).alias("amplitude")))
 
@@ -49,7 +54,8 @@ def strongest_mode(moves: DataFrame, i: int, lower: float = 1500) -> DataFrame:
 def ring_modes(moves: DataFrame, ring: list[int], atoms: DataFrame, lower: float = 1600, upper: float = 1750, least: float = 0.01) -> DataFrame:
     """Of a six-ring's modes, those of the least and largest angle between the motion of alternate atoms and the ring's axis.
 
-    The two sums of alternate atoms' displacements are multiplied; sine comes from their cross product; small products don't count."""
+    The ring is given in its own order. The two sums of alternate atoms' displacements are multiplied, and small products don't count;
+    the sine is that of the sum with the first atom to the line from the first atom to the fourth."""
     m = modes_of(moves, *ring, lower=lower, upper=upper).join(pick(atoms, ring[0], ring[3]), "mol_id")
     odd = tuple(F.col(f"v0.{c}") + F.col(f"v2.{c}") + F.col(f"v4.{c}") for c in "xyz")
     even = tuple(F.col(f"v1.{c}") + F.col(f"v3.{c}") + F.col(f"v5.{c}") for c in "xyz")
@@ -67,6 +73,26 @@ def similar_amplitude(moves: DataFrame, i: int, tolerance: float = 0.1) -> DataF
     return a.where(F.col("atom_idx") != i).join(own, ["mol_id", "mode_idx"]).where(F.abs(F.col("far") - F.col("own")) <= 1e-8 + tolerance * F.abs("own")).groupBy("mol_id", "mode_idx").agg(F.count("*").alias("n"))
 
 
+def similar_to_pair(moves: DataFrame, atoms: DataFrame, i: int, j: int, tolerance: float = 0.1, projected: bool = True) -> DataFrame:
+    """(mol_id, mode_idx, amplitude, similar): the sum of two atoms' amplitudes, along the line that joins them or in all, and the other
+    atoms, in order, whose own amplitude is within the tolerance of it."""
+    m = moves.join(pick(atoms, i, j), "mol_id")
+    bond, move = minus(vector("p0"), vector("p1")), (F.col("x"), F.col("y"), F.col("z"))
+    far = F.abs(dot(move, bond)) / norm(bond) if projected else norm(move)
+    rated = m.select("mol_id", "mode_idx", "atom_idx", far.alias("far")).groupBy("mol_id", "mode_idx").agg(F.sum(F.when(F.col("atom_idx").isin(i, j), F.col("far"))).alias("amplitude"), F.collect_list(F.when(~F.col("atom_idx").isin(i, j), F.struct("atom_idx", "far"))).alias("others"))
+    near = F.filter("others", lambda a: F.abs(a["far"] - F.col("amplitude")) <= 1e-8 + tolerance * F.abs("amplitude"))
+    return rated.select("mol_id", "mode_idx", "amplitude", F.array_sort(near["atom_idx"]).alias("similar"))
+
+
+def direction_symmetry(moves: DataFrame, i: int, j: int, threshold: float = 0.0) -> DataFrame:
+    """(mol_id, mode_idx, cosine, kind): whether two atoms move alike (asymmetric), against each other (symmetric) or neither (unclear)."""
+    m = modes_of(moves, i, j)
+    size = norm(vector("v0")) * norm(vector("v1"))
+    cosine = F.when(size > 0, dot(vector("v0"), vector("v1")) / size).otherwise(0.0)
+    kind = F.when(F.col("cosine") > threshold, "asymmetric").when(F.col("cosine") < threshold, "symmetric").otherwise("unclear")
+    return m.select("mol_id", "mode_idx", cosine.alias("cosine")).withColumn("kind", kind)
+
+
 def ground_state(modes: DataFrame) -> DataFrame:
     """Whether no frequency is negative."""
     return modes.groupBy("mol_id").agg(F.bool_and(F.col("frequency") >= 0).alias("ground_state"))

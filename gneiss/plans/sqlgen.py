@@ -56,10 +56,11 @@ def framed_cte(base: tuple[int, int, int]) -> str:
     return f"{frame_ctes(base)},\nframed AS (SELECT a.mol_id, a.atom_idx, a.symbol, {new} FROM atoms a JOIN axes USING (mol_id))"
 
 
-PAIRS = "pairs AS (SELECT a.mol_id, a.atom_idx AS a1, b.atom_idx AS a2, a.symbol AS s1, b.symbol AS s2, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id AND a.atom_idx < b.atom_idx)"
-BONDS = """found AS (SELECT * FROM pairs WHERE (dist < 2.12 AND NOT (s1 = 'H' AND s2 = 'H') AND (NOT (s1 = 'H' OR s2 = 'H') OR dist < 1.5)) OR ((s1 = 'Cl' OR s2 = 'Cl') AND dist >= 2.12 AND dist < 2.6)),
+PAIRS = "pairs AS MATERIALIZED (SELECT a.mol_id, a.atom_idx AS a1, b.atom_idx AS a2, a.symbol AS s1, b.symbol AS s2, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id WHERE a.atom_idx < b.atom_idx)"
+BONDS = """found AS MATERIALIZED (SELECT * FROM pairs WHERE (dist < 2.12 AND NOT (s1 = 'H' AND s2 = 'H') AND (NOT (s1 = 'H' OR s2 = 'H') OR dist < 1.5)) OR ((s1 = 'Cl' OR s2 = 'Cl') AND dist >= 2.12 AND dist < 2.6)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY mol_id, atom ORDER BY dist, a1, a2) AS k FROM (SELECT mol_id, a1, a2, dist, a1 AS atom FROM found WHERE s1 = 'Cl' UNION ALL SELECT mol_id, a1, a2, dist, a2 FROM found WHERE s2 = 'Cl')),
-bonds AS (SELECT mol_id, a1, a2, dist FROM found f WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.k > 1 AND r.mol_id = f.mol_id AND r.a1 = f.a1 AND r.a2 = f.a2))"""
+surplus AS MATERIALIZED (SELECT DISTINCT mol_id, a1, a2 FROM ranked WHERE k > 1),
+bonds AS MATERIALIZED (SELECT f.mol_id, f.a1, f.a2, f.dist FROM found f ANTI JOIN surplus s ON s.mol_id = f.mol_id AND s.a1 = f.a1 AND s.a2 = f.a2)"""
 NEAR = "near AS (SELECT mol_id, a1 AS atom, a2 AS other FROM bonds UNION ALL SELECT mol_id, a2, a1 FROM bonds)"
 
 

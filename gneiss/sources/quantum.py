@@ -102,6 +102,13 @@ def log_bond_orders(logs: DataFrame) -> DataFrame:
     return rows.select("mol_id", F.least(end(1), end(2)).alias("a1"), F.greatest(end(1), end(2)).alias("a2")).groupBy("mol_id", "a1", "a2").agg(F.count("*").alias("bond_order"))
 
 
+def log_bonds(logs: DataFrame) -> DataFrame:
+    """(mol_id, a1, a2, length): the bonds R(i,j) that an optimisation lists, with their last value."""
+    found = F.regexp_extract_all("text", F.lit(r"R\(\d+,\d+\)\s+[-+]?\d+\.\d+"), F.lit(0))
+    rows = logs.select("mol_id", F.posexplode(found).alias("k", "r")).select("mol_id", "k", *[F.regexp_extract("r", r"R\((\d+),(\d+)\)", i).cast("int").alias(f"a{i}") for i in (1, 2)], F.regexp_extract("r", r"([-+]?\d+\.\d+)$", 1).cast("double").alias("length"))
+    return rows.groupBy("mol_id", F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).agg(F.max_by("length", "k").alias("length"))
+
+
 def log_lone_pairs(logs: DataFrame) -> DataFrame:
     rows = logs.select("mol_id", F.explode(F.regexp_extract_all(F.coalesce(block(F.col("text"), "NATURAL BOND ORBITALS", "RY*("), F.lit("")), F.lit(r"LP \(\s*\d+\)\s*[A-Z][a-z]?\s*(\d+)"), F.lit(1))).alias("a"))
     return rows.groupBy("mol_id", F.col("a").cast("int").alias("atom_idx")).agg(F.count("*").alias("lone_pairs"))
@@ -118,12 +125,44 @@ def formal_charges(atoms: DataFrame, orders: DataFrame, pairs: DataFrame) -> Dat
 
 def summary(logs: DataFrame) -> DataFrame:
     """(mol_id, has_geometry, has_charges, has_modes, normal_end): what a log holds; files with gaps stay visible."""
-    has = lambda s: F.contains("text", F.lit(s))
     text = F.col("text")
     has = lambda s: F.contains(text, F.lit(s))
     return logs.select("mol_id", has("Standard orientation:").alias("has_geometry"), has("Summary of Natural Population Analysis").alias("has_charges"), has("Frequencies --").alias("has_modes"), has("Normal termination").alias("normal_end"))
 
 
+def errors(logs: DataFrame) -> DataFrame:
+    """(mol_id, errors array<string>): what each log lacks, block by block, and charges that aren't as many as its atoms."""
+    wanted = {"geometry": "Standard orientation:", "charges": "Summary of Natural Population Analysis", "hirshfeld": "Hirshfeld charges, spin densities", "dipole": "Dipole moment", "modes": "Frequencies --", "energy": "SCF Done:", "normal end": "Normal termination"}
+    gaps = F.filter(F.array(*[F.when(~F.contains("text", F.lit(m)), F.lit(f"no {k}")) for k, m in wanted.items()]), lambda x: x.isNotNull())
+    n = lambda t, name: t.groupBy("mol_id").agg(F.count("*").alias(name))
+    held = logs.select("mol_id", gaps.alias("gaps")).join(n(log_atoms(logs), "n_atoms"), "mol_id", "left").join(n(log_npa_charges(logs), "n_charges"), "mol_id", "left")
+    odd = F.when(F.col("n_atoms") != F.col("n_charges"), F.array(F.format_string("%d charges for %d atoms", "n_charges", "n_atoms"))).otherwise(F.array().cast("array<string>"))
+    return held.select("mol_id", F.concat("gaps", odd).alias("errors"))
+
+
+def wide(logs: DataFrame) -> DataFrame:
+    """A row for each atom with all that a log says of it and of its molecule: symbol, place, charges (nbo, hirshfeld, cm5), dipole,
+    polarizability, energies, and the molecule's errors. A log without a geometry keeps one row, without an atom."""
+    tables = (log_atoms(logs), log_npa_charges(logs).withColumnRenamed("charge", "nbo_charge"), log_hirshfeld(logs).withColumnsRenamed({"hirshfeld": "hirshfeld_charge", "cm5": "cm5_charge"}))
+    by_atom = tables[0].join(tables[1], ["mol_id", "atom_idx"], "left").join(tables[2], ["mol_id", "atom_idx"], "left")
+    by_molecule = errors(logs)
+    for t in (log_dipole(logs).withColumnsRenamed({"dx": "dip_x", "dy": "dip_y", "dz": "dip_z", "total": "total_dipole"}), log_polarizability(logs), log_energies(logs)):
+        by_molecule = by_molecule.join(t, "mol_id", "left")
+    return by_molecule.join(by_atom, "mol_id", "left").select("mol_id", "atom_idx", "symbol", "x", "y", "z", "nbo_charge", "hirshfeld_charge", "cm5_charge", "dip_x", "dip_y", "dip_z", "total_dipole", "iso", "aniso", "scf_energy", "homo_lumo_gap_ev", "errors")
+
+
+#: What write_logs() makes of a folder of logs.
+LOG_TABLES = {"atoms": log_atoms, "npa_charges": log_npa_charges, "hirshfeld": log_hirshfeld, "dipole": log_dipole, "polarizability": log_polarizability, "modes": log_modes, "displacements": log_displacements, "energies": log_energies, "wide": wide}
+
+
+def write_logs(spark: SparkSession, path: str, folder: str, suffix: str = ".log") -> DataFrame:
+    """Reads a folder of logs, writes each table of LOG_TABLES as Parquet, and returns the report: (mol_id, errors), no file left out."""
+    logs = read_files(spark, path, suffix)
+    for name, table in LOG_TABLES.items():
+        table(logs).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    return errors(logs)
+
+
 # --- geometries, JSON, cubes ------------------------------------------------------------------------------------------
 
 
@@ -143,8 +182,30 @@ JSON_SCHEMA = (
 )
 
 
+def json_rows(files: DataFrame) -> DataFrame:
+    """Structured JSON texts (mol_id, text) by JSON_SCHEMA; what isn't JSON gives nulls."""
+    return files.select("mol_id", F.from_json("text", JSON_SCHEMA).alias("j")).select("mol_id", "j.*")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path).withColumn("mol_id", stem(F.input_file_name()))
+    return json_rows(read_files(spark, path, ""))
+
+
+def json_dipole(j: DataFrame) -> DataFrame:
+    """(mol_id, dx, dy, dz, total); a total that isn't given is the norm."""
+    d = [F.get("properties.dipole", F.lit(i)) for i in range(4)]
+    return j.where("properties.dipole IS NOT NULL").select("mol_id", *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=False)], F.coalesce(d[3], F.sqrt(d[0] ** 2 + d[1] ** 2 + d[2] ** 2)).alias("total"))
+
+
+def json_polarizability(j: DataFrame) -> DataFrame:
+    return j.where("properties.polarizability IS NOT NULL").select("mol_id", "properties.polarizability.iso", "properties.polarizability.aniso")
+
+
+def json_displacements(j: DataFrame) -> DataFrame:
+    """(mol_id, mode_idx, atom_idx, x, y, z)."""
+    modes = j.select("mol_id", F.posexplode("vibrations.modes").alias("k", "m"))
+    each = modes.select("mol_id", (F.col("k") + 1).alias("mode_idx"), F.posexplode("m.displacements").alias("a", "d"))
+    return each.select("mol_id", "mode_idx", (F.col("a") + 1).alias("atom_idx"), *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate("xyz")])
 
 
 def json_atoms(j: DataFrame) -> DataFrame:
@@ -184,6 +245,33 @@ def cube_points(files: DataFrame, iso: float = 0.001, width: float = 1.1) -> Dat
     return cells.select("mol_id", *place, "density")
 
 
+def cube_atoms(files: DataFrame) -> DataFrame:
+    """(mol_id, atom_idx, symbol, x, y, z) in Angstrom of the atoms that a cube lists."""
+    t = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", r"^[^\n]*\n[^\n]*\n", ""), r"\s+", " ")), " ")
+    head = files.select("mol_id", t.alias("t")).withColumn("n", F.abs(F.get("t", F.lit(0)).cast("int"))).where("n > 0")
+    each = head.select("mol_id", "t", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("atom_idx"))
+    cell = lambda k: F.get("t", (F.col("atom_idx") - 1) * 5 + 16 + k)
+    return each.select("mol_id", "atom_idx", symbol_of(cell(0).cast("int")).alias("symbol"), *[(cell(2 + i).cast("double") * BOHR).alias(c) for i, c in enumerate("xyz")])
+
+
+def feather_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of read_feather()'s rows by the names of a wide frame's columns: atoms, dipole, polarizability, info (modes), charges
+    and displacements; cells that are null, as the padding of shorter columns is, give no rows."""
+    f = lambda name: F.try_element_at("fields", F.lit(name))
+    number = lambda name: f(name).try_cast("double")
+    at = (F.col("row") + 1).alias("atom_idx")
+    moved = rows.select("mol_id", at, F.explode("fields").alias("name", "v")).select("mol_id", "atom_idx", F.regexp_extract("name", r"^mode_(\d+)_([xyz])$", 1).try_cast("int").alias("mode_idx"), F.regexp_extract("name", r"_([xyz])$", 1).alias("axis"), F.col("v").try_cast("double").alias("v")).where("mode_idx IS NOT NULL AND v IS NOT NULL")
+    kinds = F.array(*[F.struct(F.lit(k).alias("charge_type"), number(f"{k}_charge").alias("charge")) for k in ("nbo", "hirshfeld", "cm5")])
+    return {
+        "atoms": rows.select("mol_id", at, f("atom").alias("symbol"), *[number(c).alias(c) for c in "xyz"]).where("x IS NOT NULL"),
+        "dipole": rows.select("mol_id", number("dip_x").alias("dx"), number("dip_y").alias("dy"), number("dip_z").alias("dz"), number("total_dipole").alias("total")).where("total IS NOT NULL"),
+        "polarizability": rows.select("mol_id", number("iso").alias("iso"), number("aniso").alias("aniso")).where("iso IS NOT NULL"),
+        "info": rows.select("mol_id", (F.col("row") + 1).alias("mode_idx"), number("Frequency").alias("frequency"), number("IR").alias("ir")).where("frequency IS NOT NULL"),
+        "charges": rows.select("mol_id", at, F.inline(kinds)).where("charge IS NOT NULL"),
+        "displacements": moved.groupBy("mol_id", "mode_idx", "atom_idx").agg(*[F.max(F.when(F.col("axis") == c, F.col("v"))).alias(c) for c in "xyz"]),
+    }
+
+
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC (feather) files of a folder as one DataFrame of their rows in JSON: (mol_id, row, fields map<string,string>)."""
     import io
@@ -206,13 +294,34 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(load, "mol_id string, row int, fields map<string,string>")
 
 
-def read_features(spark: SparkSession, path: str, name: str | None = None, target: str = "output", drop: tuple[str, ...] = ()) -> DataFrame:
+def read_features(spark: SparkSession, path: str, name: str | None = None, target: str = "output", drop: tuple[str, ...] = (), keep_unlabelled: bool = False) -> DataFrame:
     """A feature CSV: the name column (the first, if not told) and the target are found whatever their case, SMILES-like and dropped
-    columns go, the rest is cast to double, and rows without a target drop out."""
-    raw = spark.read.option("header", True).csv(path)
-    first = next((c for c in raw.columns if name and c.strip().lower() == name.lower()), raw.columns[0])
-    goal = next((c for c in raw.columns if c.strip().lower() == target.lower()), None)
+    columns go, the rest is cast to double. A column name that comes again gets #2, #3, ...; columns without any number go, and rows
+    without a target, unless they are kept."""
+    head = spark.read.option("header", False).csv(path).first()
+    names, seen = [], {}
+    for i, c in enumerate((c or "").strip() or f"column {i + 1}" for i, c in enumerate(head or ())):
+        seen[c.lower()] = seen.get(c.lower(), 0) + 1
+        names.append(c if seen[c.lower()] == 1 else f"{c}#{seen[c.lower()]}")
+    raw = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(path)
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    first = next((c for c in names if name and c.lower() == name.lower()), names[0] if names else None)
+    goal = next((c for c in names if c.lower() == target.lower()), None)
     if goal is None:
-        raise ValueError(f"no column {target}; there are {', '.join(raw.columns)}")
-    rest = [c for c in raw.columns if c not in (first, goal) and c not in drop and "smiles" not in c.lower()]
-    return raw.select(F.col(f"`{first}`").alias("name"), *[F.col(f"`{c}`").try_cast("double").alias(c.strip()) for c in rest], F.col(f"`{goal}`").try_cast("double").alias("target")).where("target IS NOT NULL")
+        raise ValueError(f"no column {target}; there are {', '.join(names)}")
+    rest = [c for c in names if c not in (first, goal) and c not in drop and "smiles" not in c.lower()]
+    out = raw.select(F.col(at[first]).alias("name"), *[F.col(at[c]).try_cast("double").alias(c) for c in rest], F.col(at[goal]).try_cast("double").alias("target"))
+    filled = out.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(rest)]).first() if rest else ()
+    out = out.drop(*[c for c, n in zip(rest, filled, strict=True) if not n])
+    return out if keep_unlabelled else out.where("target IS NOT NULL")
+
+
+def read_request(path: str) -> dict:
+    """A request of features as JSON, prompt to answer, on the driver: answers are selectors as text, or numbers."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        request = json.load(f)
+    if not isinstance(request, dict):
+        raise ValueError("a request is a JSON object")
+    return request

@@ -23,8 +23,16 @@ def load_results(spark: SparkSession, paths: list[str], by: str = "q2", ascendin
     return out.orderBy(F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by))
 
 
-def read_identifiers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(name, smiles) of a CSV whose columns are found by name, whatever their case; without a name column the first is it."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-16 or UTF-8 by a file's byte order mark, else UTF-8 if its bytes are that, else ISO-8859-1."""
+    head, body = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)), F.try_validate_utf8(F.col("content").cast("string")).isNotNull()).first()
+    return "UTF-16" if head in ("FFFE", "FEFF") else "UTF-8" if body else "ISO-8859-1"
+
+
+def read_identifiers(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(name, smiles) of a CSV whose columns are found by name, whatever their case; without a name column the first is it. The encoding
+    is found if it isn't told."""
+    encoding = encoding or encoding_of(spark, path)
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
     smiles = next((c for c in raw.columns if "smiles" in c.lower()), None)
     if smiles is None:

@@ -45,7 +45,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_ATOMS = """atoms AS (SELECT vec_id AS mol_id, i AS atom_idx, list_extract(['C','H','N','O','Cl'], CAST((vec_id + i) % 5 + 1 AS INT)) AS symbol,
+SQL_ATOMS = """atoms AS MATERIALIZED (SELECT vec_id AS mol_id, i AS atom_idx, list_extract(['C','H','N','O','Cl'], CAST((vec_id + i) % 5 + 1 AS INT)) AS symbol,
   10.0::DOUBLE * CAST(embedding[3*(i-1)+1] AS DOUBLE) AS x, 10.0::DOUBLE * CAST(embedding[3*(i-1)+2] AS DOUBLE) AS y, 10.0::DOUBLE * CAST(embedding[3*(i-1)+3] AS DOUBLE) AS z
   FROM embeddings, (SELECT unnest(range(1, 22)) AS i))"""
 SQL_CHARGES = """charges AS (SELECT vec_id AS mol_id, i AS atom_idx, CAST(embedding[(i*7) % 64 + 1] AS DOUBLE) AS charge FROM embeddings, (SELECT unnest(range(1, 22)) AS i))"""
