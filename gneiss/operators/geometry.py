@@ -191,3 +191,11 @@ def turn_onto(atoms: DataFrame, i: int, j: int, direction: tuple[float, float, f
     twice = cross(w, once)
     new = [F.when(c < -1 + 1e-9, back * axis[k] - p[k]).otherwise(p[k] + once[k] + twice[k] / (1 + c)).alias(n) for k, n in enumerate("xyz")]
     return d.select("mol_id", "atom_idx", "symbol", *new)
+
+
+def descriptor_summary(atoms: DataFrame, charges: DataFrame, base: tuple[int, int, int], energies: DataFrame | None = None) -> DataFrame:
+    """(mol_id, total, l, b5, loc_b5[, scf_energy]): a molecule's dipole of charges, its reach and its energy, for those that have all."""
+    from gneiss.operators.sterimol import l_b5
+
+    out = npa_dipole(atoms, charges, base).select("mol_id", "total").join(l_b5(atoms, base), "mol_id")
+    return out.join(energies.select("mol_id", "scf_energy"), "mol_id") if energies is not None else out

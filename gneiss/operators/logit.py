@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.classification import stratified_folds
+from gneiss.operators.classification import measures, null_log_likelihood, stratified_folds
 from gneiss.storage import durable
 
 #: Subsets that share their passes.
@@ -161,3 +161,17 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: list[str
     n = F.sum("support")
     null_ll = F.sum(F.when(F.col("support") > 0, F.col("support") * F.log("support")).otherwise(0.0)) - n * F.log(n)
     return by.groupBy("rep", "fold").agg(n.cast("long").alias("n"), (F.sum("hit") / n).alias("accuracy"), *[(F.sum(F.col(a) * F.col("support")) / n).alias(b) for a, b in (("p", "precision"), ("q", "recall"), ("f", "f1"))], F.when(null_ll < -1e-9, 1 - F.sum("own_ll") / null_ll).alias("mcfadden"))
+
+
+def rate(df: DataFrame, features: list[str], label: str, key: list[str], threshold: float = 0.0, k: int = 5, repeats: int = 1) -> dict:
+    """What is said of one model: mcfadden, accuracy, precision, recall and f1 on its own rows, and, where mcfadden is over the threshold,
+    the means of cross-validation as cv_mcfadden, cv_accuracy and cv_f1 (null below)."""
+    own = df.dropna(subset=[*features, label])
+    classes, ((b, ll),) = fits(own, label, [tuple(features)])
+    ll0 = null_log_likelihood(own, label).first()["ll0"]
+    m = measures(probabilities(own, features, classes, b, "said"), label, "said").first().asDict()
+    out = {"mcfadden": 1 - ll / ll0, **m, "cv_mcfadden": None, "cv_accuracy": None, "cv_f1": None}
+    if out["mcfadden"] > threshold:
+        cv = cross_validate(own, features, label, key, k, repeats).agg(F.avg("mcfadden"), F.avg("accuracy"), F.avg("f1")).first()
+        out |= dict(zip(("cv_mcfadden", "cv_accuracy", "cv_f1"), cv, strict=True))
+    return out

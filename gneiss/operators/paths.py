@@ -81,7 +81,7 @@ def atom_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
             sign = {i: (kind[i], *sorted(kind[j] for j in near.get(i, []) if j in kind)) for i in symbol}
         return pd.DataFrame({"mol_id": [key[0]] * len(kind), "atom_idx": list(kind), "class": list(kind.values())})
 
-    left, right = atoms.select("mol_id", "atom_idx", "symbol").groupBy("mol_id"), bonds.select("mol_id", "a1", "a2").groupBy("mol_id")
+    left, right = atoms.select("mol_id", "atom_idx", "symbol").groupBy("mol_id"), bonds.select(F.col("mol_id").alias("mol_id"), "a1", "a2").groupBy("mol_id")  # a column of its own, should both come of one table
     return left.cogroup(right).applyInPandas(one, f"mol_id {dict(atoms.dtypes)['mol_id']}, atom_idx int, class int")
 
 
@@ -102,5 +102,5 @@ def closed_map(atom_map: DataFrame, atoms: DataFrame) -> DataFrame:
             to[end] = start
         return pd.DataFrame({"mol_id": [key[0]] * len(own), "old_idx": own, "new_idx": [to.get(i, i) for i in own]})
 
-    left, right = atom_map.select("mol_id", "old_idx", "new_idx").groupBy("mol_id"), atoms.select("mol_id", "atom_idx").groupBy("mol_id")
+    left, right = atom_map.select("mol_id", "old_idx", "new_idx").groupBy("mol_id"), atoms.select(F.col("mol_id").alias("mol_id"), "atom_idx").groupBy("mol_id")
     return left.cogroup(right).applyInPandas(one, f"mol_id {dict(atoms.dtypes)['mol_id']}, old_idx int, new_idx int")

@@ -125,8 +125,8 @@ def cosine_distance_difference(spark, d):
 
 @register("ee_from_ddg", f"SELECT event_id, {rd('100 * tanh(-(value / 50 - 1) / (2 * 0.0019872041 * 298.15))', 'ee')}, abs(100 * tanh(-(value / 50 - 1) / (2 * 0.0019872041 * 298.15))) >= 35 AS selective FROM events")
 def ee_from_ddg(spark, d):
-    ee = geometry.enantiomeric_excess(F.col("value") / 50 - 1)
-    return tables.table(spark, d, "events").select("event_id", ee.alias("ee"), (F.abs(ee) >= 35).alias("selective"))
+    ddg = F.col("value") / 50 - 1
+    return tables.table(spark, d, "events").select("event_id", geometry.enantiomeric_excess(ddg).alias("ee"), geometry.selectivity(ddg).alias("selective"))
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------

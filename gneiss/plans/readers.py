@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.elements import lookup
 from gneiss.plans.registry import rd, register
 from gneiss.plans.sqlgen import SQL_ATOMS, SQL_CHARGES, SQL_MOVES, query
-from gneiss.sources import quantum, results, sinks, tables
+from gneiss.sources import quantum, results, sinks, tables, text_blocks
 from gneiss.storage import durable, shared_dir
 
 DASHES = "-" * 69
@@ -181,3 +181,21 @@ def feature_csv(spark, d):
     head.unionByName(c).coalesce(1).write.text(folder)
     out = quantum.read_features(spark, folder, "name")
     return out.withColumnRenamed("a#2", "A#2")
+
+
+@register("leading_zeros", "SELECT vec_id, CAST(coalesce(list_position(list_transform(embedding, lambda x: floor(abs(x) * 8) <> 0), true) - 1, 64) AS INT) AS n FROM embeddings")
+def leading_zeros(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    return e.select("vec_id", text_blocks.leading(F.transform("embedding", lambda x: F.floor(F.abs(x) * 8).cast("double"))).alias("n"))
+
+
+@register("paired_values", "SELECT vec_id, k, round(CAST(embedding[2*k+1] AS DOUBLE) - CAST(embedding[2*k+2] AS DOUBLE), 6) + 0.0 AS difference FROM embeddings, (SELECT unnest(range(0, 32)) AS k)")
+def paired_values(spark, d):
+    e = tables.table(spark, d, "embeddings").select("vec_id", F.posexplode(text_blocks.paired(F.col("embedding"))).alias("k", "p"))
+    return e.select("vec_id", F.col("k").cast("long").alias("k"), (F.get("p", F.lit(0)).cast("double") - F.get("p", F.lit(1)).cast("double")).alias("difference"))
+
+
+@register("search_state", "SELECT count(*) AS n, round(max(l_discount), 6) + 0.0 AS best_r2, round(max(l_tax) FILTER (l_linenumber <> 3), 6) + 0.0 AS best_q2, false AS all_failed FROM lineitem")
+def search_state(spark, d):
+    l = tables.table(spark, d, "lineitem").select(F.col("l_discount").alias("r2"), F.when(F.col("l_linenumber") == 3, F.lit(float("-inf"))).otherwise(F.col("l_tax")).alias("q2"))
+    return results.state(l)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import alignment, geometry, graph, sterics, sterimol, vibrations
 from gneiss.plans import sqlgen as S
 from gneiss.plans.registry import rd, register
-from gneiss.plans.sqlgen import NEAR, PAIRS, SQL_ATOMS, SQL_MOVES, framed_cte, pick, query, v
+from gneiss.plans.sqlgen import NEAR, PAIRS, SQL_ATOMS, SQL_CHARGES, SQL_MOVES, framed_cte, pick, query, v
 from gneiss.sources import tables
 
 BASE = (1, 2, 3)
@@ -124,3 +124,8 @@ def renumbering(spark, d):
     end = lambda t, c: t.join(m.withColumnsRenamed({"old_idx": c, "n": f"n{c}"}), ["mol_id", c])
     own = end(end(bonds, "a1"), "a2").select("mol_id", F.least("na1", "na2").alias("a1"), F.greatest("na1", "na2").alias("a2"))
     return alignment.renumbering(moved.drop("old_idx"), a, own, bonds)
+
+
+@register("descriptor_summary", query(SQL_ATOMS, SQL_CHARGES, framed_cte(BASE), _extent, "d AS (SELECT f.mol_id, sqrt(pow(sum(charge*x), 2) + pow(sum(charge*y), 2) + pow(sum(charge*z), 2)) AS total FROM framed f JOIN charges c ON c.mol_id = f.mol_id AND c.atom_idx = f.atom_idx GROUP BY f.mol_id)", select=f"SELECT e.mol_id, {rd('any_value(total)', 'total', 4)}, {rd('max(l)', 'l', 4)}, {rd('max(b5)', 'b5', 4)}, {rd('arg_max(y, (b5, y))', 'loc_b5', 4)} FROM e JOIN d USING (mol_id) GROUP BY e.mol_id"), 4)
+def descriptor_summary(spark, d):
+    return geometry.descriptor_summary(tables.atoms(spark, d), tables.charges(spark, d), BASE)

@@ -41,8 +41,20 @@ def read_identifiers(spark: SparkSession, path: str, encoding: str | None = None
     return raw.select(F.trim(F.col(f"`{name}`")).alias("name"), F.trim(F.col(f"`{smiles}`")).alias("smiles"))
 
 
-def with_output(features: DataFrame, outputs: DataFrame, key: str, name: str) -> DataFrame:
-    """features with a column of another table of the same key; rows without a value get null."""
+def state(results: DataFrame) -> DataFrame:
+    """(n, best_r2, best_q2, all_failed): what a search has come to; a q2 that is null, NaN or infinite is a failed one."""
+    good = F.col("q2").isNotNull() & ~F.isnan("q2") & (F.abs("q2") < float("inf"))
+    return results.agg(F.count("*").alias("n"), F.max("r2").alias("best_r2"), F.max(F.when(good, F.col("q2"))).alias("best_q2"), F.coalesce(F.bool_and(~good), F.lit(True)).alias("all_failed"))
+
+
+def with_output(features: DataFrame, outputs: DataFrame, key: str, name: str, strict: bool = False) -> DataFrame:
+    """features with a column of another table of the same key; rows without a value get null, or, if strict, are an error that names
+    some of them, as is a key that comes twice among the outputs."""
+    if strict:
+        missing = [r[0] for r in features.select(key).join(outputs.select(key), key, "left_anti").limit(5).collect()]
+        twice = [r[0] for r in outputs.groupBy(key).count().where("count > 1").select(key).limit(5).collect()]
+        if missing or twice:
+            raise ValueError(f"no outputs of {missing}" if missing else f"several outputs of {twice}")
     return features.join(outputs.select(key, name), key, "left")
 
 

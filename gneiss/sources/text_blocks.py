@@ -41,3 +41,15 @@ def line_after(text: Column, marker: str) -> Column:
 
 def count_of(text: Column, phrase: str) -> Column:
     return F.regexp_count(text, F.lit(rf"\Q{phrase}\E"))
+
+
+def leading(values: Column, value: float = 0.0) -> Column:
+    """How many elements an array begins with that equal a value."""
+    other = F.array_position(F.transform(values, lambda x: x != value), True)
+    return F.when(other > 0, other - 1).otherwise(F.size(values)).cast("int")
+
+
+def paired(values: Column) -> Column:
+    """An array's elements two by two, as arrays: the even places with the odd ones after them; a last one alone drops out."""
+    n = F.floor(F.size(values) / 2).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: F.array(F.get(values, 2 * i), F.get(values, 2 * i + 1)))
