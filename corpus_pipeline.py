@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, which was written as Parquet and read again. All
 but the last return the columns of documents.
+
+All stages take any table with doc_id and text and pass its other columns on, whatever their names. Null and empty texts are texts
+without words: the classifier scores them, near-dedup keeps one of them all, and the others leave them as they are. Rows that are alike
+in doc_id and text are one after near-dedup. Very long texts are worked on whole. A null doc_id stays one until near-dedup prefers a
+row with an id. Empty tables give empty tables.
 """
 
 from __future__ import annotations
