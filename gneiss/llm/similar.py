@@ -3,9 +3,10 @@
 Texts that share four fifths of their shingles differ in about a seventh of their SimHash bits, too many for a few agreeing blocks of
 one fingerprint. So each text gets a wide fingerprint: TABLES parts of KEY_BITS independent bits. Two such texts agree on a whole part
 with a probability of 0.07, and on one of 64 with 0.99. That holds for long texts: of few shingles, ties in the votes push bits apart,
-so pairs of which one has up to SHORT meet exactly, on the rarest shingles of which two similar texts must share one. Others meet in parts they agree on; there the pivot table of the first 64 bits
-discards by coordinate differences, the bits themselves by RADIUS, and the numbers of shingles by the similarity. All near pairs of a
-part are verified on the whole sets of shingles. Where these are over SMALL a row, links to leaders (rows unlike all leaders before
+so pairs of which one has up to SHORT meet exactly, on the rarest shingles of which two similar texts must share one. Others meet in
+parts they agree on; there the pivot table of the first 64 bits discards by coordinate differences, the bits themselves by RADIUS, and
+the numbers of shingles by the similarity. All near pairs of a part are verified on the whole sets of shingles; a pair that agrees on a part of the first 64 bits counts only there, not again in each
+later part that it agrees on, as copies do on most. Where these are over SMALL a row, links to leaders (rows unlike all leaders before
 them) are verified first, and then all near pairs of rows that no verified link connects yet: the others can't change what is
 connected, so copies of one text don't cost the square of their number, and no pair that counts is left out.
 """
@@ -21,13 +22,15 @@ from gneiss.llm.common import U64, bites, durable, fresh, grams, mix, row_slices
 from gneiss.llm.components import components
 from gneiss.llm.simhash import REFERENCES, _ended
 
-TABLES, KEY_BITS, RADIUS = 64, 16, 18
+TABLES, KEY_BITS, RADIUS, EARLY_RADIUS = 64, 16, 18, 20
 #: Texts of up to this many shingles meet on shingles.
 SHORT = 16
+#: The first part number beyond the parts of the first 64 bits.
+LATE = 64 // KEY_BITS << KEY_BITS
 #: Shingles whose bits are laid out at once.
 SLICE = 4080
 #: Near pairs a row up to which all of a part's are verified at once.
-SMALL = 8
+SMALL = 16
 #: Rows of parts that are compared many parts at a time.
 FEW = 32
 _SEEDS = mix(np.arange(501, 501 + TABLES * KEY_BITS // 64, dtype=U64))
@@ -73,12 +76,26 @@ def _prints(docs: DataFrame, k: int, similarity: float, text: str, doc_id: str)
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(tidy(make), "doc_id long, text_hash long, n int, wide binary, few array<long>")
 
 
-def _near(fa, na, fb, nb, similarity: float) -> np.ndarray:
+def _met(fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Whether pairs agree on a whole part of the first 64 bits: they meet there, and needn't again in later parts."""
+    x = fa ^ fb
+    out = np.zeros(len(x), bool)
+    for k in range(0, 64, KEY_BITS):
+        out |= x >> U64(k) & U64((1 << KEY_BITS) - 1) == 0
+    return out
+
+
+def _near(fa, na, fb, nb, similarity: float, radius=RADIUS) -> np.ndarray:
     """Whether pairs may be similar, by sizes, pivots and bits."""
     ok = np.minimum(na, nb) >= similarity * np.maximum(na, nb)
     for r in REFERENCES[:2]:
-        ok &= np.abs(np.bitwise_count(fa ^ r).astype(np.int16) - np.bitwise_count(fb ^ r)) <= RADIUS
-    return ok & (np.bitwise_count(fa ^ fb) <= RADIUS)
+        ok &= np.abs(np.bitwise_count(fa ^ r).astype(np.int16) - np.bitwise_count(fb ^ r)) <= radius
+    return ok & (np.bitwise_count(fa ^ fb) <= radius)
+
+
+def _radius(part):
+    """Of a part; early parts alone answer for the pairs that meet there, so theirs is wider."""
+    return np.where(part < LATE, EARLY_RADIUS, RADIUS)
 
 
 class _Leaders:
@@ -126,17 +143,20 @@ def _whole_parts(batches):
             held.append([c[last:] for c in cols])
 
 
-def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarray | None = None):
-    """Blocks of places (i, j) of all near pairs of one part; with root, in its order, of those whose roots differ."""
+def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarray | None = None, part: int = -1):
+    """Blocks of places (i, j) of all near pairs of one part; with root, in its order, of those whose roots differ; of a late part those
+    that haven't met in an early one."""
     for i in range(0, len(fp), 256):
         own = slice(i, min(i + 256, len(fp)))
         start = i if root is None else int(np.searchsorted(root, root[i], "right"))
         for j in range(start, len(fp), 4096):
             to = slice(j, j + 4096)
-            near = _near(fp[own][:, None], n[own][:, None], fp[None, to], n[None, to], similarity)
+            near = _near(fp[own][:, None], n[own][:, None], fp[None, to], n[None, to], similarity, _radius(part))
             x, y = np.nonzero(near)
             x, y = x + i, y + j
             apart = x < y if root is None else (x < y) & (root[x] != root[y])
+            if part >= LATE:
+                apart &= ~_met(fp[x], fp[y])
             if apart.any():
                 yield x[apart], y[apart]
 
@@ -190,11 +210,12 @@ def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
                 i = np.flatnonzero(inner[:-d] & (part[:-d] == part[d:])) if d < len(part) else np.zeros(0, np.int64)
                 if not len(i):
                     break
-                i = i[_near(fp[i], n[i], fp[i + d], n[i + d], similarity)]
+                i = i[_near(fp[i], n[i], fp[i + d], n[i + d], similarity, _radius(part[i]))]
+                i = i[(part[i] < LATE) | ~_met(fp[i], fp[i + d])]
                 found.append((node[i], node[i + d]))
             for s, e in zip(*(x[~inner[heads]].tolist() for x in (heads, ends)), strict=True):
                 pairs, count = [], 0
-                for x, y in _near_pairs(fp[s:e], n[s:e], similarity):
+                for x, y in _near_pairs(fp[s:e], n[s:e], similarity, part=int(part[s])):
                     pairs.append((node[s + x], node[s + y]))
                     count += len(x)
                     if count > most * (e - s):
@@ -218,7 +239,7 @@ def _rest(large: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         for part, root, node, fp, n in _whole_parts(batches):
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True):
-                for x, y in _near_pairs(fp[s:e].view(U64), n[s:e], similarity, root[s:e]):
+                for x, y in _near_pairs(fp[s:e].view(U64), n[s:e], similarity, root[s:e], int(part[s])):
                     a, b = node[s + x], node[s + y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
