@@ -16,7 +16,8 @@ from gneiss.llm.common import durable, small_batches, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: UTF-8 bytes of item windows up to which they are broadcast; beyond it the joins shuffle.
+#: UTF-8 bytes of item windows up to which they are broadcast; beyond it the joins shuffle. Of their prefix words, as many bytes are
+#: broadcast even then, so that other words of documents aren't shuffled; frequent prefix words are a skewed join, which Spark splits.
 BROADCAST_BYTES = 32 << 20
 #: Windows kept together for one prefix word.
 TOGETHER = 64
@@ -35,7 +36,7 @@ def item_windows(items: DataFrame, width: int, text: str, item_id: str) -> DataF
     return rows.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda s: F.slice("w", s + 1, width))).alias("window")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES, vocabulary_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
 
     n_hit counts the words inside any occurrence of an item window, n_items the items with an occurring window; items_sha256 is of
@@ -61,7 +62,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     index = prefixes.groupBy("word", F.pmod(F.xxhash64("window"), F.lit(slots)).alias("slot")).agg(F.collect_list(F.struct("place", "window")).alias("windows")).drop("slot")
 
     spread = read.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("at", "word"))
-    if size > broadcast_bytes:  # only what a window can reach goes through the shuffle
+    if size > broadcast_bytes:  # only words that are some window's prefix, with what a window can reach, go through the shuffle
+        starts = durable(prefixes.select("word").distinct())
+        if (starts.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= vocabulary_bytes:
+            spread = spread.join(F.broadcast(starts.withColumn("starts", F.lit(True))), "word", "left").where("starts or coalesce(at, 0) = 0").drop("starts")
         spread = spread.withColumn("words", F.slice("words", F.greatest(F.col("at") - width + 2, F.lit(1)), F.least(F.col("at"), F.lit(width - 1)) + width)).withColumn("first", F.greatest(F.col("at") - width + 1, F.lit(0)))
     else:
         spread = spread.withColumn("first", F.lit(0))

@@ -101,11 +101,11 @@ def contaminated(rows, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("bound", [0, 1 << 25])
-def test_decontamination(spark, bound):
+@pytest.mark.parametrize(("bound", "words"), [(0, 0), (0, 1 << 25), (1 << 25, 1 << 25)])
+def test_decontamination(spark, bound, words):
     rows = [(i, t if t is None or len(t) < 5000 else t[:3000]) for i, t in texts()] + [(30, "x One, TWO three."), (31, "one two"), (32, "ONE two three four")]
     items = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = decontaminate.contamination(documents(spark, rows), items, broadcast_bytes=bound)
+    got = decontaminate.contamination(documents(spark, rows), items, broadcast_bytes=bound, vocabulary_bytes=words)
     assert Counter(map(tuple, got.collect())) == contaminated(rows, BENCH)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     assert decontaminate.contamination(documents(spark, []), items).count() == 0
