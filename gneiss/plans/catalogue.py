@@ -5,6 +5,8 @@ Queries run over whole tables. Doubles are rounded after all arithmetic, and neg
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -450,10 +452,27 @@ def model_search(spark, d):
     return found.select(F.array_join("combo", ",").alias("combo"), "k", "r2")
 
 
-@register("model_search_deep")
+def _cholesky(combo: tuple[str, ...]) -> str:
+    """SQL for the R² of a subset: the triangular factor of its covariances, a column a step, and what each column explains."""
+    s = lambda a, b: f"s_{min(a, b)}_{max(a, b)}"
+    inner = "cov"
+    for j, a in enumerate(combo):
+        left = "".join(f" - l{j}_{k}*l{j}_{k}" for k in range(j))
+        inner = f"(SELECT *, sqrt({s(a, a)}{left}) AS d{j} FROM {inner})"
+        rows = [f"({s(a, b)}" + "".join(f" - l{i}_{k}*l{j}_{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i, b in enumerate(combo) if i > j]
+        rows.append(f"({s(a, 'y')}" + "".join(f" - l{j}_{k}*z{k}" for k in range(j)) + f") / d{j} AS z{j}")
+        inner = f"(SELECT *, {', '.join(rows)} FROM {inner})"
+    return f"SELECT '{','.join(combo)}' AS combo, {len(combo)} AS k, n, s_y_y, ({' + '.join(f'z{j}*z{j}' for j in range(len(combo)))}) / s_y_y AS r2 FROM {inner}"
+
+
+_cov = "cov AS MATERIALIZED (SELECT count(*) AS n, " + ", ".join(f"covar_pop({a}, {b}) AS s_{a}_{b}" for i, a in enumerate([*X, "y"]) for b in [*X, "y"][i:]) + " FROM samples)"
+_deep = [("f1", *c) for k in range(5) for c in combinations(X[1:], k)]
+
+
+@register("model_search_deep", query(SQL_SAMPLES, _cov, "c AS (" + " UNION ALL ".join(map(_cholesky, _deep)) + ")", select=f"SELECT combo, CAST(k AS INT) AS k, {rd('r2', 'r2')}, {rd('1 - (1 - r2) * (n - 1) / (n - k - 1)', 'adj_r2')}, {rd('sqrt(s_y_y * (1 - r2))', 'rmse', 2)} FROM c"))
 def model_search_deep(spark, d):
     """All subsets of up to five features, one of them required."""
-    return regression.search(tables.samples(spark, d), X, "y", 1, 5, required=("f1",)).select(F.array_join("combo", ",").alias("combo"), "k", "r2", "adj_r2", "rmse")
+    return regression.search(tables.samples(spark, d), X, "y", 1, 5, required=("f1",)).select(F.array_join("combo", ",").alias("combo"), "k", "r2", "adj_r2", F.round("rmse", 2).alias("rmse"))
 
 
 @register("search_resume", query("c AS (SELECT unnest([" + ", ".join(f"'{','.join(c)}'" for c in _combos if len(c) == 2) + "]) AS combo)", select="SELECT combo FROM c WHERE combo NOT IN ('f1,f2', 'f4,f5')"))
@@ -752,7 +771,10 @@ def diameter_path(spark, d):
     return paths.diameter_path(_short_bonds(spark, d)).select("mol_id", "length")
 
 
-@register("atom_classes")
+_round = lambda i: f"k{i} AS MATERIALIZED (SELECT mol_id, atom_idx, CAST(dense_rank() OVER (PARTITION BY mol_id ORDER BY k, near) - 1 AS INT) AS k FROM (SELECT a.mol_id, a.atom_idx, a.k, coalesce(list_sort(list(b.k) FILTER (b.k IS NOT NULL)), []) AS near FROM k{i - 1} a LEFT JOIN near n ON n.mol_id = a.mol_id AND n.atom = a.atom_idx LEFT JOIN k{i - 1} b ON b.mol_id = n.mol_id AND b.atom_idx = n.other GROUP BY ALL))"
+
+
+@register("atom_classes", query(SQL_ATOMS, PAIRS, BONDS, NEAR, "k0 AS MATERIALIZED (SELECT mol_id, atom_idx, CAST(dense_rank() OVER (PARTITION BY mol_id ORDER BY symbol) - 1 AS INT) AS k FROM atoms)", *map(_round, range(1, 13)), select="SELECT mol_id, atom_idx, k AS class FROM k12"))
 def atom_classes(spark, d):
     return paths.atom_classes(tables.atoms(spark, d), _bonds(spark, d))
 
@@ -784,7 +806,14 @@ def ljung_box(spark, d):
     return diagnostics.ljung_box(tables.table(spark, d, "orders"), "o_totalprice", ["o_custkey"], ["o_orderkey"], 2)
 
 
-@register("anderson_darling", digits=4)
+_normal = [
+    "odd AS (SELECT 0 AS k, 1.0::DOUBLE AS d UNION ALL SELECT k + 1, d * (2*k + 3) FROM odd WHERE k < 90)",
+    "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY y) AS i, count(*) OVER () AS n, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS z FROM samples)",
+    "u AS MATERIALIZED (SELECT z, 0.5 + exp(-z*z/2) / sqrt(2*pi()) * sum(pow(z, 2*k + 1) / d) AS p FROM (SELECT DISTINCT z FROM v), odd GROUP BY z)",
+]  # the normal distribution by its series in odd powers
+
+
+@register("anderson_darling", "WITH RECURSIVE " + ",\n".join([SQL_SAMPLES, *_normal]) + f"\nSELECT any_value(n) AS n, {rd('-any_value(n) - sum((2*i - 1) * ln(p) + (2*n + 1 - 2*i) * ln(1 - p)) / any_value(n)', 'a2', 3)} FROM v JOIN u USING (z)", 3)
 def anderson_darling(spark, d):
     return diagnostics.anderson_darling(tables.samples(spark, d), "y")
 

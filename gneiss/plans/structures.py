@@ -97,12 +97,19 @@ def direction_symmetry(spark, d):
     return vibrations.direction_symmetry(tables.displacements(spark, d), 4, 6)
 
 
-@register("on_paths")
+_simple = "trail AS (SELECT mol_id, [1, other] AS path FROM near WHERE atom = 1 UNION ALL SELECT t.mol_id, list_append(t.path, n.other) FROM trail t JOIN near n ON n.mol_id = t.mol_id AND n.atom = t.path[-1] WHERE NOT list_contains(t.path, n.other))"
+
+
+@register("on_paths", "WITH RECURSIVE " + ",\n".join([SQL_ATOMS, PAIRS, SQL_SPARSE, NEAR, _simple]) + "\nSELECT DISTINCT mol_id, CAST(unnest(path) AS INT) AS atom FROM trail WHERE list_contains(path, 2)")
 def on_paths(spark, d):
     return graph.on_paths(short_bonds(spark, d), 1, 2)
 
 
-@register("surface_substituent", digits=4)
+_part = "part AS MATERIALIZED (SELECT f.* FROM framed f JOIN (SELECT mol_id, atom FROM walk UNION SELECT DISTINCT mol_id, 1 FROM bonds) w ON w.mol_id = f.mol_id AND w.atom = f.atom_idx)"
+_turned = "turned AS (SELECT mol_id, t, least(abs(max(x*cos(radians(t)) + z*sin(radians(t)))), abs(min(x*cos(radians(t)) + z*sin(radians(t)))), abs(max(z*cos(radians(t)) - x*sin(radians(t)))), abs(min(z*cos(radians(t)) - x*sin(radians(t))))) AS h FROM part, (SELECT unnest(range(0, 90, 10)) AS t) GROUP BY mol_id, t)"
+
+
+@register("surface_substituent", "WITH RECURSIVE " + ",\n".join([SQL_ATOMS, PAIRS, SQL_SPARSE, NEAR, framed_cte(BASE), _walk, _part, _turned, "side AS (SELECT mol_id, min(h) AS b1 FROM turned GROUP BY mol_id)"]) + f"\nSELECT mol_id, {rd('max(y)', 'l', 4)}, {rd('max(b1)', 'b1', 4)}, {rd('max(sqrt(x*x + z*z))', 'b5', 4)} FROM part JOIN side USING (mol_id) GROUP BY mol_id", 4)
 def surface_substituent(spark, d):
     a = tables.atoms(spark, d)
     return sterics.surface_sterimol(a.select("mol_id", "x", "y", "z"), a, BASE, 10, short_bonds(spark, d))
