@@ -9,14 +9,20 @@ from gneiss.sources import quantum
 
 
 def ingest_logs(spark: SparkSession, folder: str, out: str, checkpoint: str):
-    """Starts a query that parses each new log once and appends to the tables atoms, charges, modes and summary under `out`."""
+    """Starts a query that parses each new log once and appends to the tables under `out`: those of quantum.LOG_TABLES, charges among
+    them under their own name, a summary, and the errors of each log."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     logs = files.select(quantum.stem(F.col("path")).alias("mol_id"), F.decode("content", "UTF-8").alias("text"))
 
+    tables = {"charges" if k == "npa_charges" else k: v for k, v in quantum.LOG_TABLES.items() if k != "wide"}
+    tables |= {"summary": quantum.summary, "errors": quantum.errors}
+
     def write(batch: DataFrame, number: int) -> None:
-        for name, parse in (("atoms", quantum.log_atoms), ("charges", quantum.log_npa_charges), ("modes", quantum.log_modes), ("summary", quantum.summary)):
+        batch = batch.persist()  # files are read once for all tables
+        for name, parse in tables.items():
             # a batch that runs again overwrites its own folder
             parse(batch).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        batch.unpersist()
 
     return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

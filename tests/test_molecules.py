@@ -93,6 +93,8 @@ def test_logs_stream_in_once(spark, logs, tmp_path):
         ingest.ingest_logs(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/atoms")).count() == 3
     assert spark.read.parquet(str(tmp_path / "out/summary")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/displacements")).count() == 9 and spark.read.parquet(str(tmp_path / "out/hirshfeld")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/energies")).where("scf_energy IS NOT NULL").count() == 1 and spark.read.parquet(str(tmp_path / "out/errors")).count() == 2
 
 
 def test_windows_over_a_stream(spark, data, tmp_path):
