@@ -651,3 +651,22 @@ def test_template_decides_on_the_test_pages(spark, data):
     pages = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/pages.parquet")
     both = [{r["page_id"]: r["text"] for r in html_extract.extract(pages, named=named).collect()} for named in (True, False)]
     assert np.mean([both[0][i] == both[1][i] for i in both[0]]) > 0.9
+
+
+def test_templates_by_brute_force(spark):
+    """Counts of subtrees on pages of different content, host by host, in plain loops."""
+    rows = [(f"http://h{i % 2}.example/{i}", _site(i % 40)) for i in range(70)] + [("http://h0.example/x", PAGE)] * 30 + [(None, None), ("odd", "<p>q</p>")]
+    rows += [(f"http://h1.example/s{i}", f"<body><div class=x2>{prose(i, 9 if i % 3 else 80)}</div><div>{prose(900 + i, 90)}</div></body>") for i in range(20)]
+    seen, pages = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for url, source in rows:
+        page = html_extract.Page(source or "")
+        host, content, shapes = html_extract.host_of(url), page.identity(), page.shapes()
+        pages[host].add(content)
+        for h in page.candidates() | {x for x, ok in shapes.items() if ok}:
+            seen[host, h][True].add(content)
+        for h in (x for x, ok in shapes.items() if not ok):
+            seen[host, h][False].add(content)
+    want = {(host, h) for (host, h), by in seen.items() if len(by[True]) >= 10 and len(by[True]) >= 0.9 * (len(by[True]) + len(by[False])) and len(by[True]) >= len(pages[host]) ** 0.5}
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {(r["host"], r["subtree"] & (1 << 64) - 1) for r in html_extract.templates(df).collect()}
+    assert got == want and len(want) > 4
