@@ -39,6 +39,12 @@ def covalent_bonds(atoms: DataFrame, scale: float = 1.08, extra: float = 0.0) ->
     return p.where(F.col("dist") < reach).select("mol_id", "a1", "a2", "dist")
 
 
+def groups(df: DataFrame, key: str = "mol_id"):
+    """df grouped by molecule for work that takes time, not bytes: in the session's own number of partitions, which adaptive execution
+    would merge into few where molecules are small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key)
+
+
 def neighbours(bonds: DataFrame) -> DataFrame:
     """(mol_id, atom, other): each bond from both ends."""
     return bonds.select("mol_id", F.col("a1").alias("atom"), F.col("a2").alias("other")).unionByName(bonds.select("mol_id", F.col("a2").alias("atom"), F.col("a1").alias("other")))
@@ -150,7 +156,7 @@ def on_paths(bonds: DataFrame, source: int, direction: int) -> DataFrame:
         out = [v for v in whole if v in (source, direction) or _two_ways(near, direction, source, v) or _two_ways(near, v, source, direction)] if source in whole else []
         return pd.DataFrame({"mol_id": [pdf["mol_id"].iloc[0]] * len(out), "atom": sorted(out)})
 
-    return bonds.select("mol_id", "a1", "a2").groupBy("mol_id").applyInPandas(one, f"mol_id {dict(bonds.dtypes)['mol_id']}, atom int")
+    return groups(bonds.select("mol_id", "a1", "a2")).applyInPandas(one, f"mol_id {dict(bonds.dtypes)['mol_id']}, atom int")
 
 
 def match_pattern(atoms: DataFrame, bonds: DataFrame, symbols: list[str | None], links: list[tuple[int, int]]) -> DataFrame:

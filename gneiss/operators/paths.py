@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.graph import neighbours
+from gneiss.operators.graph import groups, neighbours
 
 
 def base_atoms(bonds: DataFrame, origin: int, direction: int) -> DataFrame:
@@ -61,7 +61,7 @@ def diameter_path(bonds: DataFrame) -> DataFrame:
         best = min((p for a in near for p in _shortest(near, a).values()), key=lambda p: (-len(p), p))
         return pd.DataFrame({"mol_id": [pdf["mol_id"].iloc[0]], "length": [len(best) - 1], "path": [best]})
 
-    return bonds.select("mol_id", "a1", "a2").groupBy("mol_id").applyInPandas(one, f"mol_id {dict(bonds.dtypes)['mol_id']}, length int, path array<int>")
+    return groups(bonds.select("mol_id", "a1", "a2")).applyInPandas(one, f"mol_id {dict(bonds.dtypes)['mol_id']}, length int, path array<int>")
 
 
 def atom_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def atom_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
             sign = {i: (kind[i], *sorted(kind[j] for j in near.get(i, []) if j in kind)) for i in symbol}
         return pd.DataFrame({"mol_id": [key[0]] * len(kind), "atom_idx": list(kind), "class": list(kind.values())})
 
-    left, right = atoms.select("mol_id", "atom_idx", "symbol").groupBy("mol_id"), bonds.select(F.col("mol_id").alias("mol_id"), "a1", "a2").groupBy("mol_id")  # a column of its own, should both come of one table
+    left, right = groups(atoms.select("mol_id", "atom_idx", "symbol")), groups(bonds.select(F.col("mol_id").alias("mol_id"), "a1", "a2"))  # a column of its own, should both come of one table
     return left.cogroup(right).applyInPandas(one, f"mol_id {dict(atoms.dtypes)['mol_id']}, atom_idx int, class int")
 
 
@@ -102,5 +102,5 @@ def closed_map(atom_map: DataFrame, atoms: DataFrame) -> DataFrame:
             to[end] = start
         return pd.DataFrame({"mol_id": [key[0]] * len(own), "old_idx": own, "new_idx": [to.get(i, i) for i in own]})
 
-    left, right = atom_map.select("mol_id", "old_idx", "new_idx").groupBy("mol_id"), atoms.select(F.col("mol_id").alias("mol_id"), "atom_idx").groupBy("mol_id")
+    left, right = groups(atom_map.select("mol_id", "old_idx", "new_idx")), groups(atoms.select(F.col("mol_id").alias("mol_id"), "atom_idx"))
     return left.cogroup(right).applyInPandas(one, f"mol_id {dict(atoms.dtypes)['mol_id']}, old_idx int, new_idx int")
