@@ -6,9 +6,14 @@ with a probability of 0.07, and on one of 64 with 0.99. That holds for long text
 so pairs of which one has up to SHORT meet exactly, on the rarest shingles of which two similar texts must share one. Others meet in
 parts they agree on; there the pivot table of the first 64 bits discards by coordinate differences, the bits themselves by RADIUS, and
 the numbers of shingles by the similarity. All near pairs of a part are verified on the whole sets of shingles; a pair that agrees on a part of the first 64 bits counts only there, not again in each
-later part that it agrees on, as copies do on most. Where these are over SMALL a row, links to leaders (rows unlike all leaders before
-them) are verified first, and then all near pairs of rows that no verified link connects yet: the others can't change what is
-connected, so copies of one text don't cost the square of their number, and no pair that counts is left out.
+later part that it agrees on, as copies do on most.
+
+Texts of one template are near, but most aren't similar. So the rows of a part with over LIGHT near pairs a row get a sketch of their
+set, the parities of the numbers of shingles in SKETCH_BITS buckets: two sets differ in at least as many shingles as their sketches do
+in bits, so a pair with too many is discarded without a loss, before it is joined with sets. Where what is left is over SMALL a row,
+links to leaders (rows unlike all leaders before them) are verified first, and then all pairs left of rows that no verified link
+connects yet: the others can't change what is connected, so copies of one text don't cost the square of their number, and no pair that
+counts is left out.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ SHORT = 16
 LATE = 64 // KEY_BITS << KEY_BITS
 #: Shingles whose bits are laid out at once.
 SLICE = 4080
-#: Near pairs a row up to which all of a part's are verified at once.
-SMALL = 16
+#: Near pairs a row up to which a part needs no sketches, and those left by sketches up to which all of a part's are verified at once.
+LIGHT, SMALL = 1, 16
+SKETCH_BITS = 4096
 #: Rows of parts that are compared many parts at a time.
 FEW = 32
 _SEEDS = mix(np.arange(501, 501 + TABLES * KEY_BITS // 64, dtype=U64))
@@ -63,6 +69,12 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of SKETCH_BITS even ranges of hashes: whether an odd number of the shingles is there."""
+    at = (shingles >> U64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _prints(docs: DataFrame, k: int, similarity: float, text: str, doc_id: str) -> DataFrame:
     most = int(SHORT / similarity + 1e-9)
 
@@ -98,30 +110,45 @@ def _radius(part):
     return np.where(part < LATE, EARLY_RADIUS, RADIUS)
 
 
-class _Leaders:
-    """One part's leaders; add() returns the pairs of each row with the first leader it is near to."""
-
-    def __init__(self):
-        self.node, self.fp, self.n = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int32)
-
-    def add(self, node: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float):
-        a, b = [], []
-        for i in range(0, len(node), 256):
-            own = np.arange(i, min(i + 256, len(node)))
-            while len(own):
-                if len(self.node):
-                    hit = np.full(len(own), -1)
-                    for j in range(0, len(self.node), 4096):
-                        near = _near(fp[own][:, None], n[own][:, None], self.fp[None, j : j + 4096], self.n[None, j : j + 4096], similarity)
-                        first = np.where(near.any(1), near.argmax(1) + j, -1)
-                        hit = np.where(hit < 0, first, hit)
-                    a.append(self.node[hit[hit >= 0]])
-                    b.append(node[own[hit >= 0]])
-                    own = own[hit < 0]
-                if len(own):  # the first row unlike all leaders is one
-                    self.node, self.fp, self.n = np.append(self.node, node[own[0]]), np.append(self.fp, fp[own[0]]), np.append(self.n, n[own[0]])
-                    own = own[1:]
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _sketches(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.tolist()), U64).reshape(len(column), -1)
+
+
+def _may(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of places x and y differ in as few bits as sets of this similarity may differ in shingles."""
+    out, most = np.zeros(len(x), bool), (1 - similarity) / (1 + similarity)
+    for i in range(0, len(x), 8192):
+        a, b = x[i : i + 8192], y[i : i + 8192]
+        out[i : i + 8192] = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most * (n[a].astype(np.int64) + n[b]) + 1e-6
+    return out
+
+
+def _to_leaders(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float):
+    """Places (i, j): each row of one part with the first leader that it may be similar to; a row that has none is a leader."""
+
+    def close(own, lead):
+        near = _near(fp[own][:, None], n[own][:, None], fp[None, lead], n[None, lead], similarity)
+        x, y = np.nonzero(near)
+        near[x, y] = _may(bits, n, own[x], lead[y], similarity)
+        return near
+
+    leaders, a, b = np.zeros(0, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(fp), 256):
+        own, new = np.arange(i, min(i + 256, len(fp))), []
+        for j in range(0, len(leaders), 4096):
+            near = close(own, leaders[j : j + 4096])
+            hit = near.any(1)
+            a.append(leaders[j + near[hit].argmax(1)])
+            b.append(own[hit])
+            own = own[~hit]
+        while len(own):
+            new.append(own[0])
+            hit = close(own[1:], own[:1])[:, 0]
+            a.append(np.full(hit.sum(), own[0]))
+            b.append(own[1:][hit])
+            own = own[1:][~hit]
+        leaders = np.append(leaders, np.array(new, np.int64))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _whole_parts(batches):
@@ -143,9 +170,9 @@ def _whole_parts(batches):
             held.append([c[last:] for c in cols])
 
 
-def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarray | None = None, part: int = -1):
+def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarray | None = None, part: int = -1, bits: np.ndarray | None = None):
     """Blocks of places (i, j) of all near pairs of one part; with root, in its order, of those whose roots differ; of a late part those
-    that haven't met in an early one."""
+    that haven't met in an early one; with bits, the sketches, of those that may be similar by them."""
     for i in range(0, len(fp), 256):
         own = slice(i, min(i + 256, len(fp)))
         start = i if root is None else int(np.searchsorted(root, root[i], "right"))
@@ -157,8 +184,12 @@ def _near_pairs(fp: np.ndarray, n: np.ndarray, similarity: float, root: np.ndarr
             apart = x < y if root is None else (x < y) & (root[x] != root[y])
             if part >= LATE:
                 apart &= ~_met(fp[x], fp[y])
-            if apart.any():
-                yield x[apart], y[apart]
+            x, y = x[apart], y[apart]
+            if bits is not None:
+                left = _may(bits, n, x, y, similarity)
+                x, y = x[left], y[left]
+            if len(x):
+                yield x, y
 
 
 def _spread(nodes: DataFrame) -> DataFrame:
@@ -192,58 +223,101 @@ def _spread_short(nodes: DataFrame, similarity: float) -> DataFrame:
     return first.select((F.lit(-1).cast("long") - F.shiftrightunsigned("s.shingle", 1)).alias("part"), "node", F.lit(0).cast("long").alias("fp"), "n")
 
 
-def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """nodes(node, n, wide, few) -> (a, b), distinct near pairs, and (part, node, fp, n) of the parts of which that is the leaders' only."""
-    most = SMALL
+def _emit(a, b, part=None, fp=None, n=None):
+    """Pairs (a, b), or rows b of parts that are to be worked on again."""
+    rest = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32())] if part is None else [pa.array(x) for x in (part, fp, n)]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) if part is None else pa.nulls(len(b), pa.int64()), pa.array(b, pa.int64()), *rest], ["a", "b", "part", "fp", "n"])
+
+
+_EMITTED = "a long, b long, part long, fp long, n int"
+
+
+def _both(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return met.where("a is not null").select("a", "b").distinct(), met.where("a is null").select("part", F.col("b").alias("node"), "fp", "n")
 
-    def emit(a, b, part=None, fp=None, n=None):
-        rest = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32())] if part is None else [pa.array(x) for x in (part, fp, n)]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) if part is None else pa.nulls(len(b), pa.int64()), pa.array(b, pa.int64()), *rest], ["a", "b", "part", "fp", "n"])
+
+def _ordered(a, b):
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, n, wide, few) -> (a, b), distinct near pairs, and (part, node, fp, n) of the dense parts, whose pairs aren't among them."""
+    most = min(LIGHT, SMALL)
 
     def meet(batches):
         for part, node, fp, n in _whole_parts(batches):
             fp = fp.view(U64)
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends, found = np.append(heads[1:], len(part)), []
-            inner = np.repeat(ends - heads, ends - heads) <= min(FEW, 2 * most)
+            size, own = ends - heads, np.repeat(np.arange(len(heads)), ends - heads)
+            inner, firsts, seconds = size[own] <= FEW, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, FEW):
                 i = np.flatnonzero(inner[:-d] & (part[:-d] == part[d:])) if d < len(part) else np.zeros(0, np.int64)
                 if not len(i):
                     break
                 i = i[_near(fp[i], n[i], fp[i + d], n[i + d], similarity, _radius(part[i]))]
                 i = i[(part[i] < LATE) | ~_met(fp[i], fp[i + d])]
-                found.append((node[i], node[i + d]))
-            for s, e in zip(*(x[~inner[heads]].tolist() for x in (heads, ends)), strict=True):
-                pairs, count = [], 0
+                firsts.append(i)
+                seconds.append(i + d)
+            x, y = np.concatenate(firsts), np.concatenate(seconds)
+            dense = np.bincount(own[x], minlength=len(heads)) > most * size
+            found.append((node[x[~dense[own[x]]]], node[y[~dense[own[x]]]]))
+            for k in np.flatnonzero(size > FEW).tolist():
+                s, e, pairs, count = heads[k], ends[k], [], 0
                 for x, y in _near_pairs(fp[s:e], n[s:e], similarity, part=int(part[s])):
                     pairs.append((node[s + x], node[s + y]))
                     count += len(x)
                     if count > most * (e - s):
-                        pairs = [_Leaders().add(node[s:e], fp[s:e], n[s:e], similarity)]
-                        yield emit(node[s:e], node[s:e], part[s:e], fp[s:e].view(np.int64), n[s:e])
+                        dense[k] = True
                         break
-                found += pairs
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield emit(pairs[0], pairs[1])
+                else:
+                    found += pairs
+            if dense.any():
+                again = dense[own]
+                yield _emit(node[again], node[again], part[again], fp[again].view(np.int64), n[again])
+            pairs = _ordered(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            if pairs.shape[1]:
+                yield _emit(pairs[0], pairs[1])
 
-    met = durable(_spread(nodes).unionByName(_spread_short(nodes, similarity)).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(tidy(meet), "a long, b long, part long, fp long, n int"))
-    return met.where("a is not null").select("a", "b").distinct(), met.where("a is null").select("part", F.col("b").alias("node"), "fp", "n")
+    return _both(durable(_spread(nodes).unionByName(_spread_short(nodes, similarity)).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(tidy(meet), _EMITTED)))
+
+
+def _sketched(dense: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """dense(part, node, fp, n, sketch) -> (a, b), distinct pairs that may be similar by their sketches, and (part, node, fp, n) of the
+    parts of which that is the leaders' only."""
+    most = SMALL
+
+    def meet(batches):
+        for part, node, fp, n, column in _whole_parts(batches):
+            heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True):
+                own, bits, pairs, count = fp[s:e].view(U64), _sketches(column[s:e]), [], 0
+                for x, y in _near_pairs(own, n[s:e], similarity, part=int(part[s]), bits=bits):
+                    pairs.append((x, y))
+                    count += len(x)
+                    if count > most * (e - s):
+                        pairs = [_to_leaders(own, n[s:e], bits, similarity)]
+                        yield _emit(node[s:e], node[s:e], part[s:e], fp[s:e], n[s:e])
+                        break
+                if pairs:
+                    x, y = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                    yield _emit(*_ordered(node[s + x], node[s + y]))
+
+    return _both(durable(dense.repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part")).mapInArrow(tidy(meet), _EMITTED)))
 
 
 def _rest(large: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """large(part, node, fp, n) -> (a, b), distinct: all near pairs whose roots differ."""
+    """large(part, node, fp, n, sketch) -> (a, b), distinct: all pairs that may be similar and whose roots differ."""
 
     def meet(batches):
-        for part, root, node, fp, n in _whole_parts(batches):
+        for part, root, node, fp, n, column in _whole_parts(batches):
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True):
-                for x, y in _near_pairs(fp[s:e].view(U64), n[s:e], similarity, root[s:e], int(part[s])):
+                for x, y in _near_pairs(fp[s:e].view(U64), n[s:e], similarity, root[s:e], int(part[s]), _sketches(column[s:e])):
                     a, b = node[s + x], node[s + y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rows = large.join(roots, "node", "left").select("part", F.coalesce("root", "node").alias("root"), "node", "fp", "n")
+    rows = large.join(roots, "node", "left").select("part", F.coalesce("root", "node").alias("root"), "node", "fp", "n", "sketch")
     return rows.repartition("part").sortWithinPartitions("part", "root").mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
@@ -255,30 +329,34 @@ def keep_unlike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     prints = durable(_prints(docs, shingle, similarity, text, doc_id)).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = durable(prints.groupBy("wide", "n").agg(F.min(order).alias("first"), F.min("few").alias("few")).select(F.xxhash64("wide", "n").alias("node"), "wide", "n", "first", "few"))
-    pairs, large = _candidates(nodes, similarity)
+    pairs, dense = _candidates(nodes, similarity)
     pairs = durable(pairs)
     key = fresh(docs, "hash of the text")
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
-    named = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "node").select("node", F.col("first.doc_id").alias(doc_id), F.col("first.text_hash").alias(key)))
+    named = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct(), "node").select("node", F.col("first.doc_id").alias(doc_id), F.col("first.text_hash").alias(key)))
     wanted = without(keyed, named.select(doc_id, key), "left_semi").select(F.col(f"`{doc_id}`").alias(doc_id), key, F.col(f"`{text}`").cast("string").alias("body"))
 
     def sets(batches):
         for b in bites(batches):
             made = shingle_sets(b.column(2), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["doc_id", "text_hash", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64())), pa.array([sketch(s) for s in made], pa.binary())], ["doc_id", "text_hash", "shingles", "sketch"])
 
-    held = wanted.select(F.col(doc_id).cast("long"), key, "body").mapInArrow(tidy(sets), "doc_id long, text_hash long, shingles array<long>").dropDuplicates(["doc_id", "text_hash"])
-    by_node = durable(named.join(held, named[f"`{doc_id}`"].eqNullSafe(held["doc_id"]) & (named[key] == held["text_hash"])).select("node", "shingles"))
+    held = wanted.select(F.col(doc_id).cast("long"), key, "body").mapInArrow(tidy(sets), "doc_id long, text_hash long, shingles array<long>, sketch binary").dropDuplicates(["doc_id", "text_hash"])
+    by_node = durable(named.join(held, named[f"`{doc_id}`"].eqNullSafe(held["doc_id"]) & (named[key] == held["text_hash"])).select("node", "shingles", "sketch"))
 
     def verified(some):
         both = some.join(by_node.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(by_node.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return durable(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
+    large, with_sketches = None, lambda rows: rows.join(by_node.select("node", "sketch"), "node").select("part", "node", "fp", "n", "sketch")
+    if not dense.isEmpty():
+        more, large = _sketched(with_sketches(dense), similarity)
+        pairs = pairs.union(more).distinct()
     links = verified(pairs)
     roots = components(links)
-    if not large.isEmpty():
-        roots = components(links.union(verified(_rest(large, roots, similarity))))
+    if large is not None and not large.isEmpty():
+        roots = components(links.union(verified(_rest(with_sketches(large), roots, similarity))))
     rooted = nodes.join(roots, "node", "left").select("wide", "n", "first", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     kept = rooted.select("wide", "n", "root").join(best, "root").select("wide", "n", "best")

@@ -206,6 +206,52 @@ def test_keep_unlike_of_one_template(spark, monkeypatch, small):
     assert {r["doc_id"] for r in similar.keep_unlike(documents(spark, rows)).collect()} == want
 
 
+def pairs_joined(spark, run):
+    """Rows that joins of pairs with the sets of their first texts made while run() ran, as Spark's own metrics count them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = lambda: {(e := all_.apply(i)).executionId() for all_ in [store.executionsList()] for i in range(all_.size())}
+    before, total = seen(), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in seen() - before:
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[a#\w+\], \[a#", node.desc()):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_keep_unlike_of_a_template_joins_no_square(spark):
+    """Near texts that aren't similar aren't joined pair by pair: 300 of them have 44850 pairs."""
+    template = prose(91, 200, 3000)
+    rows = [(i, f"{template} {prose(1000 + i, 30, 9000)}") for i in range(300)]
+    rows += [(300 + i, edited(i, t, 4)) for i, t in rows[:30]]
+    kept = []
+    joined = pairs_joined(spark, lambda: kept.extend(r["doc_id"] for r in similar.keep_unlike(documents(spark, rows)).collect()))
+    assert set(kept) == unlike(rows) == set(range(300))
+    assert 30 <= joined <= 10 * len(rows)
+
+
+def test_sketches_discard_no_similar_pair():
+    """Of sets of any size, about the limit and beyond what a sketch holds; and unlike ones of texts' usual size are discarded."""
+    rng, n_unlike, n_left = np.random.default_rng(5), 0, 0
+    for size in [1, 4, 5, 9, 40, 145, 400, 3000, 20000]:
+        for share in (0.5, 0.8, 0.87, 0.889, 0.9, 1.0):
+            x = rng.integers(0, 1 << 64, size, np.uint64)
+            y = np.append(x[: int(round(size * share))], rng.integers(0, 1 << 64, size - int(round(size * share)), np.uint64))
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y))
+            bits = similar._sketches(np.array([similar.sketch(x), similar.sketch(y)], object))
+            may = similar._may(bits, np.array([len(x), len(y)], np.int32), np.array([0]), np.array([1]), 0.8)[0]
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert may
+            elif size <= 400:
+                n_unlike, n_left = n_unlike + 1, n_left + may
+    assert n_unlike > 10 and n_left <= 1
+
+
 def test_keep_unlike_of_short_texts(spark):
     """Texts of 8 and 9 words, of similarity 0.8 exactly: bits alone miss a tenth of them."""
     rows = [(i, prose(5000 + i, 9, 9000)) for i in range(200)]
