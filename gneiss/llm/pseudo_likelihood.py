@@ -103,10 +103,14 @@ class Model:
             at += p.size
         return out
 
-    def layer(self, around: np.ndarray) -> np.ndarray:
-        h = np.take(self.embed, around[:, 0], 0) * self.place[0]
+    def placed(self) -> np.ndarray:
+        """The embeddings as each place weighs them: few rows, where a batch has many."""
+        return self.embed * self.place[:, None]
+
+    def layer(self, around: np.ndarray, placed: np.ndarray) -> np.ndarray:
+        h = np.take(placed[0], around[:, 0], 0)
         for k in range(1, 2 * WINDOW):
-            h += np.take(self.embed, around[:, k], 0) * self.place[k]
+            h += np.take(placed[k], around[:, k], 0)
         h += self.hidden
         return np.tanh(h, out=h)
 
@@ -135,7 +139,7 @@ class Model:
             kind = (t // SIZE).astype(np.int16)
             order = np.argsort(kind, kind="stable")
             a, t, kind = np.take(a, order, 0), t[order], kind[order]
-            h = self.layer(a)
+            h = self.layer(a, self.placed())
             z = _softmax(h @ self.top + self.top_bias)
             z[np.arange(n), kind] -= 1
             back = z @ self.top.T
@@ -151,25 +155,28 @@ class Model:
                 self._move("low_bias", c, np.ones(e - s, np.float32) @ z)
             back *= 1 - h * h
             self._move("hidden", slice(None), back.sum(0))
-            turn, where = np.zeros((2 * WINDOW, HIDDEN), np.float32), a.T.ravel()
-            moves = np.empty((2 * WINDOW, n, HIDDEN), np.float32)
-            for k in range(2 * WINDOW):
-                turn[k] = np.einsum("nh,nh->h", back, np.take(self.embed, a[:, k], 0))
-                np.multiply(back, self.place[k], out=moves[k])
-            order = np.argsort(where.astype(np.int16), kind="stable")  # symbols fit, and 16 bits sort fast
-            where = where[order]
-            heads = np.flatnonzero(np.diff(where, prepend=-1))
-            self._move("embed", where[heads], np.add.reduceat(np.take(moves.reshape(-1, HIDDEN), order, 0), heads, axis=0), 1)
+            turn, move, met = np.zeros((2 * WINDOW, HIDDEN), np.float32), np.zeros_like(self.embed), np.zeros(SYMBOLS + 1, bool)
+            for k in range(2 * WINDOW):  # sums by symbol serve the embeddings and the place
+                where = a[:, k].astype(np.int16)  # symbols fit, and 16 bits sort fast
+                order = np.argsort(where, kind="stable")
+                where = where[order]
+                heads = np.flatnonzero(np.diff(where, prepend=-1))
+                own, sums = where[heads], np.add.reduceat(np.take(back, order, 0), heads, axis=0)
+                turn[k] = np.einsum("nh,nh->h", sums, np.take(self.embed, own, 0))
+                move[own] += sums * self.place[k]
+                met[own] = True
+            own = np.flatnonzero(met)
+            self._move("embed", own, move[own], 1)
             self._move("place", slice(None), turn)
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target symbol, in tiles of TILE rows and, in a class, of multiples of 16, so that no value depends on its place."""
-        out = np.zeros(len(target))
+        out, placed = np.zeros(len(target)), self.placed()
         for i in range(0, len(target), TILE):
             t = target[i : i + TILE]
             a = np.full((TILE, 2 * WINDOW), EDGE, np.int32)
             a[: len(t)] = around[i : i + TILE]
-            h = self.layer(a)
+            h = self.layer(a, placed)
             kind = (t // SIZE).astype(np.int16)
             own = _log_share(h @ self.top + self.top_bias, len(t), kind)
             order = np.argsort(kind, kind="stable")
@@ -177,7 +184,7 @@ class Model:
             for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(t)], strict=True):
                 at, c = order[s:e], kind[order[s]]
                 rows = np.zeros((-(-(e - s) // 16) * 16, HIDDEN), np.float32)
-                rows[: e - s] = h[at]
+                np.take(h, at, 0, out=rows[: e - s])
                 own[at] += _log_share(rows @ self.low[c] + self.low_bias[c], e - s, t[at] % SIZE)
             out[i : i + TILE] = own
         return out
@@ -219,9 +226,9 @@ def _hashes(texts):
         yield i, h, first
 
 
-def _counted(texts) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct token hashes of a column of texts, in order, and how often each occurs."""
-    found = [np.unique(h, return_counts=True) for _, h, _ in _hashes(texts)]
+def _counted(slices) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct token hashes of what _hashes() gives, in order, and how often each occurs."""
+    found = [np.unique(h, return_counts=True) for _, h, _ in slices]
     h, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
     return summed(h, n)
 
@@ -251,7 +258,7 @@ class Corpus:
         self.dealt = own.withColumn("chunk", F.pmod(spread, F.lit(chunks)).cast("int"))
 
         def send(key, t):
-            h, count = _counted(t.column("text"))
+            h, count = _counted(_hashes(t.column("text")))
             edges = _edges(h, n)
             held = np.flatnonzero(np.diff(edges))
             out = pa.table({"bucket": pa.array(held, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(held), pa.int32()), "payload": pa.array([h[edges[b] : edges[b + 1]].tobytes() + count[edges[b] : edges[b + 1]].tobytes() for b in held], pa.binary())})
@@ -322,12 +329,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_byt
         words, parts = given.value
         own = Model()
         own.embed, own.place, own.hidden, own.top, own.low, own.top_bias, own.low_bias = parts
-        h, _ = _counted(t.column("text"))
+        slices = list(_hashes(t.column("text")))  # 8 bytes a token of a chunk; texts are read once
+        h, _ = _counted(slices)
         edges, times = _edges(h, n_buckets), np.ones(len(h), np.int64)
         for b, x in zip(told.column("bucket").to_pylist(), told.column("payload").to_pylist(), strict=True):
             times[edges[b] : edges[b + 1]] = np.frombuffer(x, np.int64)
         n, total = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
-        for i, hashes, first in _hashes(t.column("text")):
+        for i, hashes, first in slices:
             symbol = words.symbols(hashes)
             each = own.log_probability(windows(symbol, first), symbol)
             rare = np.flatnonzero(symbol >= FREQUENT)

@@ -234,6 +234,34 @@ def test_keep_unlike_of_a_template_joins_no_square(spark):
     assert 30 <= joined <= 10 * len(rows)
 
 
+def test_a_step_of_training_is_the_plain_one_and_gathers_little(monkeypatch):
+    """One AdaGrad step against gradients in double precision; and rows are gathered at most ten times a window."""
+    p, n = pseudo_likelihood, 600
+    rng = np.random.default_rng(9)
+    around, target = rng.integers(0, 40, (n, 2 * p.WINDOW)).astype(np.int32), rng.integers(0, 200, n).astype(np.int32)
+    around[:50, 0] = p.EDGE
+    model, rows, take = p.Model(), [], np.take
+    embed, place, top, low = (x.astype(float) for x in (model.embed, model.place, model.top, model.low))
+    h = np.tanh((embed[around] * place).sum(1))
+    share = lambda z: np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    z = share(h @ top + model.top_bias)
+    z[np.arange(n), target // p.SIZE] -= 1
+    back = z @ top.T
+    for i, c in enumerate(target // p.SIZE):
+        w = share(h[i : i + 1] @ low[c] + model.low_bias[c])[0]
+        w[target[i] % p.SIZE] -= 1
+        back[i] += low[c] @ w
+    back *= 1 - h * h
+    g = np.zeros_like(embed)
+    np.add.at(g, around, back[:, None] * place)
+    turn = (back[:, None] * embed[around]).sum(0)
+    monkeypatch.setattr(np, "take", lambda a, at, *x, **y: rows.append(np.size(at)) or take(a, at, *x, **y))
+    model.train(around, target)
+    assert np.allclose(model.embed, embed - p.RATE * g / np.sqrt((g * g).mean(1, keepdims=True) + 1e-8), atol=1e-3)
+    assert np.allclose(model.place, place - p.RATE * turn / np.sqrt(turn * turn + 1e-8), atol=1e-3)
+    assert sum(rows) <= 10 * n
+
+
 def test_sketches_discard_no_similar_pair():
     """Of sets of any size, about the limit and beyond what a sketch holds; and unlike ones of texts' usual size are discarded."""
     rng, n_unlike, n_left = np.random.default_rng(5), 0, 0
