@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss import storage
 from gneiss.functions.elements import ELEMENTS
-from gneiss.operators import alignment, geometry, graph, sampling, sterimol, vibrations
+from gneiss.operators import alignment, geometry, graph, paths, sampling, sterimol, vibrations
 from gneiss.sources import quantum, results
 from tests.test_molecules import LOG
 
@@ -286,3 +286,23 @@ def test_contacts_are_ranked_as_in_sql(spark):
     assert plain(graph.common_neighbour(bonds).collect()) == plain(triples)
     count = c.execute(f"WITH {near} SELECT a.mol_id, a.atom_idx, a.symbol, (SELECT count(*) FROM near n WHERE n.mol_id = a.mol_id AND n.atom = a.atom_idx) FROM atoms a").fetchall()
     assert sorted(map(tuple, graph.degrees(atoms, bonds).collect()), key=repr) == sorted(count, key=repr)
+
+
+def test_renumbering_is_its_steps_in_a_molecules_own_row(spark):
+    """The same as the operators one by one, without a group or a join of frames; lone, short and unknown molecules too."""
+    r = random.Random(12)
+    made = [molecule(r, m, 9) for m in range(12)]
+    atoms = spark.createDataFrame([x for a, _ in made for x in a if x[0] != 3 or x[1] < 6] + [(77, 1, "C", 0.0, 0.0, 0.0), (77, 2, "O", None, 0.0, 0.0)], ATOMS)
+    bonds = spark.createDataFrame([x for _, b in made for x in b], "mol_id long, a1 int, a2 int")
+    moved = alignment.shuffle_atoms(geometry.rigid_motion(atoms.where("mol_id <> 5"), (2.0, -1.0, 0.5), (0.3, 0.8, 1.1))).drop("old_idx")
+    target = atoms.where("mol_id <> 6 AND (mol_id <> 7 OR atom_idx < 5)")
+    got = alignment.renumbering(moved, target, bonds, bonds)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Group" not in plan.replace("CoGroup", "Group").replace("HashAggregate", "") and "Join" not in plan
+    core = storage.durable(alignment.common_substructure(moved, target, bonds, bonds))
+    rest = lambda t, c: t.join(core.select("mol_id", F.col(c).alias("atom_idx")), ["mol_id", "atom_idx"], "left_anti")
+    more = alignment.growing_match(rest(alignment.align(moved, target, core), "old_idx"), rest(target, "new_idx")).toDF("mol_id", "old_idx", "new_idx", "dist").drop("dist")
+    both = storage.durable(core.unionByName(more))
+    again = alignment.align(moved, target, both)
+    want = paths.closed_map(alignment.swap_alike(both, again, target, paths.atom_classes(target, bonds)), moved)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("mol_id = 6").count() == 9
