@@ -306,3 +306,16 @@ def test_renumbering_is_its_steps_in_a_molecules_own_row(spark):
     again = alignment.align(moved, target, both)
     want = paths.closed_map(alignment.swap_alike(both, again, target, paths.atom_classes(target, bonds)), moved)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("mol_id = 6").count() == 9
+
+
+def test_common_substructure_makes_no_frame_a_molecule(spark):
+    """Rows of molecules, not groups, in the session's partitions, with the result of the search on each pair of graphs."""
+    r = random.Random(13)
+    graphs = {m: [some_graph(r, r.randint(3, 9), 0.35) for _ in range(2)] for m in range(40)}
+    sides = [spark.createDataFrame([(m, a, s, 0.0, 0.0, 0.0) for m, g in graphs.items() for a, s in g[k][0].items()], ATOMS) for k in (0, 1)]
+    bonds = [spark.createDataFrame([(m, a, b) for m, g in graphs.items() for a in g[k][1] for b in g[k][1][a] if a < b], "mol_id long, a1 int, a2 int") for k in (0, 1)]
+    got = alignment.common_substructure(*sides, *bonds)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(m, a, b) for m, g in graphs.items() for best in [alignment.largest_common(*g)] if len(best) >= 3 for a, b in best.items()}
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 50
