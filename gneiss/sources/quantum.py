@@ -46,13 +46,14 @@ def log_npa_charges(logs: DataFrame) -> DataFrame:
     """(mol_id, atom_idx, charge) of the last natural population summary: the first of each atom's five numbers."""
     body = block(F.col("text"), "Summary of Natural Population Analysis", "====")
     values = every(numbers(body), 5, 0)
-    return logs.select("mol_id", F.posexplode(values).alias("k", "charge")).select("mol_id", (F.col("k") + 1).alias("atom_idx"), "charge")
+    return logs.select("mol_id", F.posexplode_outer(values).alias("k", "charge")).where("k IS NOT NULL").select("mol_id", (F.col("k") + 1).alias("atom_idx"), "charge")
 
 
 def log_hirshfeld(logs: DataFrame) -> DataFrame:
     """(mol_id, atom_idx, hirshfeld, cm5) of the last such block: the first and the sixth of each atom's six numbers."""
     rows = rows_of(numbers(block(F.col("text"), "Hirshfeld charges, spin densities, dipoles, and CM5 charges", "Tot ")), 6)
-    return logs.select("mol_id", F.posexplode(rows).alias("k", "r")).select("mol_id", (F.col("k") + 1).alias("atom_idx"), F.get("r", F.lit(0)).alias("hirshfeld"), F.get("r", F.lit(5)).alias("cm5"))
+    each = logs.select("mol_id", F.posexplode_outer(rows).alias("k", "r")).where("k IS NOT NULL")  # an inner one computes the rows again, to filter
+    return each.select("mol_id", (F.col("k") + 1).alias("atom_idx"), F.get("r", F.lit(0)).alias("hirshfeld"), F.get("r", F.lit(5)).alias("cm5"))
 
 
 def log_dipole(logs: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def log_displacements(logs: DataFrame) -> DataFrame:
     blocks = logs.select("mol_id", F.posexplode(F.split(body, "Frequencies --", -1)).alias("b", "part")).where("b > 0")
     lines = F.regexp_extract_all("part", F.lit(r"(?m)^\s+\d+\s+\d+(?:\s+[-+]?\d+\.\d+){3,9}\s*$"), F.lit(0))
     atoms = blocks.select("mol_id", "b", F.explode(lines).alias("line")).select("mol_id", "b", F.regexp_extract("line", r"^\s*(\d+)", 1).cast("int").alias("atom_idx"), rows_of(numbers(F.col("line")), 3).alias("v"))
-    each = atoms.select("mol_id", "b", "atom_idx", F.posexplode("v").alias("k", "d"))
+    each = atoms.select("mol_id", "b", "atom_idx", F.posexplode_outer("v").alias("k", "d")).where("k IS NOT NULL")  # an inner one computes v again, to filter
     return each.select("mol_id", ((F.col("b") - 1) * 3 + F.col("k") + 1).alias("mode_idx"), "atom_idx", *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate("xyz")])
 
 

@@ -26,10 +26,15 @@ def every(values: Column, step: int, first: int) -> Column:
     return F.filter(values, lambda x, i: i % step == first)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once a row: a function of array elements would compute it anew for each."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rows_of(values: Column, width: int) -> Column:
     """An array cut into arrays of `width`; an incomplete last one drops out."""
-    n = F.floor(F.size(values) / width).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * width + 1, width))).otherwise(F.array().cast("array<array<double>>"))
+    n = lambda v: F.floor(F.size(v) / width).cast("int")
+    return once(values, lambda v: F.when(n(v) > 0, F.transform(F.sequence(F.lit(0), n(v) - 1), lambda i: F.slice(v, i * width + 1, width))).otherwise(F.array().cast("array<array<double>>")))
 
 
 def line_after(text: Column, marker: str) -> Column:

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.operators import logit
-from gneiss.sources import results
+from gneiss.plans import readers
+from gneiss.sources import quantum, results, text_blocks
+from tests.test_molecules import LOG
 
 
 def test_outputs_are_checked_by_name(spark):
@@ -25,3 +28,16 @@ def test_a_model_of_classes_is_rated(spark):
     out = logit.rate(df, ["x"], "c", ["id"], 0.0, 3)
     assert out["mcfadden"] > 0.2 and out["accuracy"] > 0.7 and 0 < out["cv_accuracy"] <= 1
     assert logit.rate(df, ["x"], "c", ["id"], 0.99)["cv_f1"] is None
+
+
+def test_numbers_of_a_block_are_found_once_a_row(spark, data):
+    """Not once for each row that is cut of them, and not again to filter; the texts are made in the session's partitions."""
+    files = spark.createDataFrame([("a", LOG), ("b", " Entering\n"), ("c", LOG.replace("0.07     0.00   0.00   0.05", "")), ("d", None)], "mol_id string, text string")
+    for table in (quantum.log_hirshfeld, quantum.log_displacements, quantum.log_npa_charges):
+        plan = table(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(text_blocks.NUMBER) == 1, table
+    assert quantum.log_hirshfeld(files).where("mol_id = 'a'").count() == 3 and quantum.log_displacements(files).where("mol_id = 'a'").count() == 9
+    assert {r["mol_id"] for r in quantum.log_displacements(files).collect()} == {"a", "c"}
+    cut = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([1.0],), ([],), (None,)], "v array<double>").select(text_blocks.rows_of(F.col("v"), 2).alias("r")).collect()
+    assert [r["r"] for r in cut] == [[[1.0, 2.0], [3.0, 4.0]], [], [], []]
+    assert readers.logs(spark, data).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
