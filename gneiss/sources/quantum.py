@@ -6,7 +6,7 @@ in its table and a false flag in summary(); no file is lost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.elements import symbol_of
@@ -33,39 +33,62 @@ def stem(path):
 # --- logs -------------------------------------------------------------------------------------------------------------
 
 
+def _atom_lines() -> Column:
+    row = r"(?m)^\s*\d+\s+\d+\s+\d+\s+[-\d.]+\s+[-\d.]+\s+[-\d.]+\s*$"
+    return F.regexp_extract_all(F.coalesce(block(F.col("text"), "Standard orientation:", "Rotational constants"), F.lit("")), F.lit(row), F.lit(0))
+
+
+def _atom(cells: Column) -> list[Column]:
+    """symbol, x, y and z of the cells of a line."""
+    return [symbol_of(F.get(cells, F.lit(1)).cast("int")).alias("symbol"), *[F.get(cells, F.lit(3 + i)).cast("double").alias(n) for i, n in enumerate("xyz")]]
+
+
+def _cells(line: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+
+
 def log_atoms(logs: DataFrame) -> DataFrame:
     """(mol_id, atom_idx, symbol, x, y, z) of the last standard orientation."""
-    body = block(F.col("text"), "Standard orientation:", "Rotational constants")
-    row = r"(?m)^\s*\d+\s+\d+\s+\d+\s+[-\d.]+\s+[-\d.]+\s+[-\d.]+\s*$"
-    lines = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(row), F.lit(0))
-    cells = logs.select("mol_id", F.posexplode(lines).alias("k", "line")).select("mol_id", "k", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("c"))
-    return cells.select("mol_id", (F.col("k") + 1).alias("atom_idx"), symbol_of(F.get("c", F.lit(1)).cast("int")).alias("symbol"), *[F.get("c", F.lit(3 + i)).cast("double").alias(n) for i, n in enumerate("xyz")])
+    cells = logs.select("mol_id", F.posexplode(_atom_lines()).alias("k", "line")).select("mol_id", "k", _cells(F.col("line")).alias("c"))
+    return cells.select("mol_id", (F.col("k") + 1).alias("atom_idx"), *_atom(F.col("c")))
+
+
+def _npa_charges() -> Column:
+    return every(numbers(block(F.col("text"), "Summary of Natural Population Analysis", "====")), 5, 0)
 
 
 def log_npa_charges(logs: DataFrame) -> DataFrame:
     """(mol_id, atom_idx, charge) of the last natural population summary: the first of each atom's five numbers."""
-    body = block(F.col("text"), "Summary of Natural Population Analysis", "====")
-    values = every(numbers(body), 5, 0)
-    return logs.select("mol_id", F.posexplode_outer(values).alias("k", "charge")).where("k IS NOT NULL").select("mol_id", (F.col("k") + 1).alias("atom_idx"), "charge")
+    return logs.select("mol_id", F.posexplode_outer(_npa_charges()).alias("k", "charge")).where("k IS NOT NULL").select("mol_id", (F.col("k") + 1).alias("atom_idx"), "charge")
+
+
+def _hirshfeld() -> Column:
+    return rows_of(numbers(block(F.col("text"), "Hirshfeld charges, spin densities, dipoles, and CM5 charges", "Tot ")), 6)
 
 
 def log_hirshfeld(logs: DataFrame) -> DataFrame:
     """(mol_id, atom_idx, hirshfeld, cm5) of the last such block: the first and the sixth of each atom's six numbers."""
-    rows = rows_of(numbers(block(F.col("text"), "Hirshfeld charges, spin densities, dipoles, and CM5 charges", "Tot ")), 6)
-    each = logs.select("mol_id", F.posexplode_outer(rows).alias("k", "r")).where("k IS NOT NULL")  # an inner one computes the rows again, to filter
+    each = logs.select("mol_id", F.posexplode_outer(_hirshfeld()).alias("k", "r")).where("k IS NOT NULL")  # an inner one computes the rows again, to filter
     return each.select("mol_id", (F.col("k") + 1).alias("atom_idx"), F.get("r", F.lit(0)).alias("hirshfeld"), F.get("r", F.lit(5)).alias("cm5"))
 
 
+def _dipole() -> Column:
+    return numbers(block(F.col("text"), "Dipole moment", "Quadrupole moment"))
+
+
 def log_dipole(logs: DataFrame) -> DataFrame:
     """(mol_id, dx, dy, dz, total) of the last dipole block."""
-    v = numbers(block(F.col("text"), "Dipole moment", "Quadrupole moment"))
-    return logs.select("mol_id", v.alias("v")).where("size(v) >= 4").select("mol_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("dx", "dy", "dz", "total"))])
+    return logs.select("mol_id", _dipole().alias("v")).where("size(v) >= 4").select("mol_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("dx", "dy", "dz", "total"))])
+
+
+def _polarizability() -> list[Column]:
+    get = lambda word: F.translate(F.regexp_extract("text", rf"(?m)^\s*{word}\s+([-+]?\d+\.\d+(?:[DE][-+]?\d+)?)", 1), "D", "E").try_cast("double") * 1000
+    return [get("iso").alias("iso"), get("aniso").alias("aniso")]
 
 
 def log_polarizability(logs: DataFrame) -> DataFrame:
     """(mol_id, iso, aniso), null where missing, in a thousandth of the printed unit."""
-    get = lambda word: F.translate(F.regexp_extract("text", rf"(?m)^\s*{word}\s+([-+]?\d+\.\d+(?:[DE][-+]?\d+)?)", 1), "D", "E").try_cast("double") * 1000
-    return logs.select("mol_id", get("iso").alias("iso"), get("aniso").alias("aniso"))
+    return logs.select("mol_id", *_polarizability())
 
 
 def log_modes(logs: DataFrame) -> DataFrame:
@@ -86,14 +109,18 @@ def log_displacements(logs: DataFrame) -> DataFrame:
     return each.select("mol_id", ((F.col("b") - 1) * 3 + F.col("k") + 1).alias("mode_idx"), "atom_idx", *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate("xyz")])
 
 
-def log_energies(logs: DataFrame) -> DataFrame:
-    """(mol_id, scf_energy in Hartree, homo_lumo_gap_ev): the last SCF energy; last occupied to first virtual eigenvalue after it."""
+def _energies() -> list[Column]:
     text = F.col("text")
     scf = F.element_at(F.regexp_extract_all(text, F.lit(r"SCF Done:[^=]*=\s*([-+]?\d+\.\d+)"), F.lit(1)), -1)
     tail = F.element_at(F.split(text, r"occ\. eigenvalues --", -1), -1)
     occupied, virtual = numbers(F.element_at(F.split(tail, "\n", -1), 1)), numbers(block(tail, "virt. eigenvalues --", "\n", 1))
     gap = (F.element_at(virtual, 1) - F.element_at(occupied, -1)) * HARTREE_EV
-    return logs.select("mol_id", F.when(F.size(F.regexp_extract_all(text, F.lit(r"SCF Done:[^=]*=\s*([-+]?\d+\.\d+)"), F.lit(1))) > 0, scf.cast("double")).alias("scf_energy"), F.when((F.size(virtual) > 0) & (F.size(occupied) > 0) & F.contains(text, F.lit("occ. eigenvalues --")), gap).alias("homo_lumo_gap_ev"))
+    return [F.when(F.size(F.regexp_extract_all(text, F.lit(r"SCF Done:[^=]*=\s*([-+]?\d+\.\d+)"), F.lit(1))) > 0, scf.cast("double")).alias("scf_energy"), F.when((F.size(virtual) > 0) & (F.size(occupied) > 0) & F.contains(text, F.lit("occ. eigenvalues --")), gap).alias("homo_lumo_gap_ev")]
+
+
+def log_energies(logs: DataFrame) -> DataFrame:
+    """(mol_id, scf_energy in Hartree, homo_lumo_gap_ev): the last SCF energy; last occupied to first virtual eigenvalue after it."""
+    return logs.select("mol_id", *_energies())
 
 
 def log_bond_orders(logs: DataFrame) -> DataFrame:
@@ -131,25 +158,33 @@ def summary(logs: DataFrame) -> DataFrame:
     return logs.select("mol_id", has("Standard orientation:").alias("has_geometry"), has("Summary of Natural Population Analysis").alias("has_charges"), has("Frequencies --").alias("has_modes"), has("Normal termination").alias("normal_end"))
 
 
+WANTED = {"geometry": "Standard orientation:", "charges": "Summary of Natural Population Analysis", "hirshfeld": "Hirshfeld charges, spin densities", "dipole": "Dipole moment", "modes": "Frequencies --", "energy": "SCF Done:", "normal end": "Normal termination"}
+
+
+def _errors(n_atoms: Column, n_charges: Column) -> Column:
+    gaps = F.filter(F.array(*[F.when(~F.contains("text", F.lit(m)), F.lit(f"no {k}")) for k, m in WANTED.items()]), lambda x: x.isNotNull())
+    odd = F.when((n_atoms > 0) & (n_charges > 0) & (n_atoms != n_charges), F.array(F.format_string("%d charges for %d atoms", n_charges, n_atoms))).otherwise(F.array().cast("array<string>"))
+    return F.concat(gaps, odd).alias("errors")
+
+
 def errors(logs: DataFrame) -> DataFrame:
     """(mol_id, errors array<string>): what each log lacks, block by block, and charges that aren't as many as its atoms."""
-    wanted = {"geometry": "Standard orientation:", "charges": "Summary of Natural Population Analysis", "hirshfeld": "Hirshfeld charges, spin densities", "dipole": "Dipole moment", "modes": "Frequencies --", "energy": "SCF Done:", "normal end": "Normal termination"}
-    gaps = F.filter(F.array(*[F.when(~F.contains("text", F.lit(m)), F.lit(f"no {k}")) for k, m in wanted.items()]), lambda x: x.isNotNull())
-    n = lambda t, name: t.groupBy("mol_id").agg(F.count("*").alias(name))
-    held = logs.select("mol_id", gaps.alias("gaps")).join(n(log_atoms(logs), "n_atoms"), "mol_id", "left").join(n(log_npa_charges(logs), "n_charges"), "mol_id", "left")
-    odd = F.when(F.col("n_atoms") != F.col("n_charges"), F.array(F.format_string("%d charges for %d atoms", "n_charges", "n_atoms"))).otherwise(F.array().cast("array<string>"))
-    return held.select("mol_id", F.concat("gaps", odd).alias("errors"))
+    counted = logs.select("mol_id", "text", F.size(_atom_lines()).alias("n_atoms"), F.size(_npa_charges()).alias("n_charges"))
+    return counted.select("mol_id", _errors(F.col("n_atoms"), F.col("n_charges")))
 
 
 def wide(logs: DataFrame) -> DataFrame:
     """A row for each atom with all that a log says of it and of its molecule: symbol, place, charges (nbo, hirshfeld, cm5), dipole,
-    polarizability, energies, and the molecule's errors. A log without a geometry keeps one row, without an atom."""
-    tables = (log_atoms(logs), log_npa_charges(logs).withColumnRenamed("charge", "nbo_charge"), log_hirshfeld(logs).withColumnsRenamed({"hirshfeld": "hirshfeld_charge", "cm5": "cm5_charge"}))
-    by_atom = tables[0].join(tables[1], ["mol_id", "atom_idx"], "left").join(tables[2], ["mol_id", "atom_idx"], "left")
-    by_molecule = errors(logs)
-    for t in (log_dipole(logs).withColumnsRenamed({"dx": "dip_x", "dy": "dip_y", "dz": "dip_z", "total": "total_dipole"}), log_polarizability(logs), log_energies(logs)):
-        by_molecule = by_molecule.join(t, "mol_id", "left")
-    return by_molecule.join(by_atom, "mol_id", "left").select("mol_id", "atom_idx", "symbol", "x", "y", "z", "nbo_charge", "hirshfeld_charge", "cm5_charge", "dip_x", "dip_y", "dip_z", "total_dipole", "iso", "aniso", "scf_energy", "homo_lumo_gap_ev", "errors")
+    polarizability, energies, and the molecule's errors. A log without a geometry keeps one row, without an atom.
+
+    All of it is made of one log in its own row: nothing is shuffled or joined, and no text is read twice."""
+    whole = logs.select("mol_id", "text", _atom_lines().alias("lines"), _npa_charges().alias("npa"), _hirshfeld().alias("rows"), _dipole().alias("v"), *_polarizability(), *_energies())
+    atom = lambda line, k: F.struct(_cells(line).alias("c"), F.get("npa", k).alias("nbo"), F.get("rows", k).alias("r"))
+    dipole = [F.when(F.size("v") >= 4, F.get("v", F.lit(i))).alias(n) for i, n in enumerate(("dip_x", "dip_y", "dip_z", "total_dipole"))]
+    own = whole.select("mol_id", F.transform("lines", atom).alias("atoms"), *dipole, "iso", "aniso", "scf_energy", "homo_lumo_gap_ev", _errors(F.size("lines"), F.size("npa")))
+    each = own.select("*", F.posexplode_outer("atoms").alias("k", "a")).drop("atoms")
+    charges = [F.col("a.nbo").alias("nbo_charge"), F.get("a.r", F.lit(0)).alias("hirshfeld_charge"), F.get("a.r", F.lit(5)).alias("cm5_charge")]
+    return each.select("mol_id", (F.col("k") + 1).alias("atom_idx"), *_atom(F.col("a.c")), *charges, "dip_x", "dip_y", "dip_z", "total_dipole", "iso", "aniso", "scf_energy", "homo_lumo_gap_ev", "errors")
 
 
 #: What write_logs() makes of a folder of logs.

@@ -41,3 +41,19 @@ def test_numbers_of_a_block_are_found_once_a_row(spark, data):
     cut = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([1.0],), ([],), (None,)], "v array<double>").select(text_blocks.rows_of(F.col("v"), 2).alias("r")).collect()
     assert [r["r"] for r in cut] == [[[1.0, 2.0], [3.0, 4.0]], [], [], []]
     assert readers.logs(spark, data).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_wide_reads_a_log_once(spark):
+    """No join or shuffle; a charge that lacks, one too many and a log that comes twice are told row by row."""
+    short = LOG.replace("      H    3    0.45900      0.00000     0.53941    0.00159     0.54100\n", "")
+    files = spark.createDataFrame([("a", LOG), ("b", short), ("c", " Entering\n"), ("a", LOG)], "mol_id string, text string")
+    out = quantum.wide(files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = out.collect()
+    assert sorted((r["mol_id"], r["atom_idx"] or 0) for r in got) == sorted([("a", 1), ("a", 2), ("a", 3)] * 2 + [("b", 1), ("b", 2), ("b", 3), ("c", 0)])
+    b = {r["atom_idx"]: r for r in got if r["mol_id"] == "b"}
+    assert b[3]["nbo_charge"] is None and b[3]["cm5_charge"] == 0.325 and b[1]["errors"] == ["2 charges for 3 atoms"] and b[2]["symbol"] == "H"
+    c = next(r for r in got if r["mol_id"] == "c")
+    assert len(c["errors"]) == 7 and c["x"] is None and c["total_dipole"] is None
+    assert [tuple(r) for r in quantum.errors(files).where("mol_id = 'b'").collect()] == [("b", ["2 charges for 3 atoms"])]
