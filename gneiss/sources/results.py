@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.selectors import slug
+from gneiss.operators.graph import groups
 
 MEASURES = ("r2", "adj_r2", "q2", "mae", "rmse", "threshold", "mcfadden", "ll")
 
@@ -74,17 +74,23 @@ def write_feather(df: DataFrame, folder: str, key: str = "mol_id") -> DataFrame:
     """(key, path, n): one feather file of each molecule's rows, in order of atom_idx if there is one. A task that runs again writes the
     same file; a molecule's rows are one group."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    kind = dict(df.dtypes)[key]
+
+    def one(rows):
         import pyarrow as pa
         import pyarrow.feather as feather
         from pyarrow import fs
 
-        pdf = pdf.sort_values("atom_idx") if "atom_idx" in pdf else pdf
+        rows = rows.sort_by("atom_idx") if "atom_idx" in rows.column_names else rows
         system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        system.create_dir(root, recursive=True)
-        path = f"{root}/{slug(str(pdf[key].iloc[0]))}.feather"
-        with system.open_output_stream(path) as f:
-            feather.write_feather(pa.Table.from_pandas(pdf, preserve_index=False), f)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "path": [path], "n": [len(pdf)]})
-
-    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, path string, n long")
+        path = f"{root}/{slug(str(rows[key][0].as_py()))}.feather"
+        try:
+            out = system.open_output_stream(path)
+        except FileNotFoundError:  # the first file of the folder
+            system.create_dir(root, recursive=True)
+            out = system.open_output_stream(path)
+        with out:
+            feather.write_feather(rows, out)
+        return pa.table({key: rows[key].combine_chunks().slice(0, 1), "path": [path], "n": pa.array([rows.num_rows], pa.int64())})
+
+    return groups(df, key).applyInArrow(one, f"{key} {kind}, path string, n long")

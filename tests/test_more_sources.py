@@ -57,3 +57,14 @@ def test_wide_reads_a_log_once(spark):
     c = next(r for r in got if r["mol_id"] == "c")
     assert len(c["errors"]) == 7 and c["x"] is None and c["total_dipole"] is None
     assert [tuple(r) for r in quantum.errors(files).where("mol_id = 'b'").collect()] == [("b", ["2 charges for 3 atoms"])]
+
+
+def test_feather_files_are_written_without_pandas(spark, tmp_path):
+    """In the session's partitions; what isn't a number is kept apart from what isn't there."""
+    rows = [("a", 2, "H", 1.0), ("a", 1, "C", float("nan")), ("b", 1, None, None), ("b", None, "O", 3.0)]
+    out = results.write_feather(spark.createDataFrame(rows, "mol_id string, atom_idx int, atom string, x double"), str(tmp_path / "f"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r["mol_id"], r["n"]) for r in out.collect()) == [("a", 2), ("b", 2)]
+    got = {(r["mol_id"], r["row"]): r["fields"] for r in quantum.read_feather(spark, str(tmp_path / "f")).collect()}
+    assert got["a", 0] == {"mol_id": "a", "atom_idx": "1", "atom": "C", "x": "nan"} and got["b", 0]["x"] is None and got["b", 1]["atom_idx"] is None
